@@ -1,4 +1,421 @@
-"""Registry of queries and their SQL."""
+"""Registry of queries over the driver's tables, with the SQL that must give the same rows."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidemark.functions import scalars as S
+from tidemark.operators import evaluation as E
+from tidemark.operators import features as P
+from tidemark.operators import monitoring as M
+from tidemark.operators import recommend as R
+from tidemark.operators import sequences as Q
+from tidemark.operators import splits as T
+from tidemark.plans import views as V
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Register a function as a query; SQL starts with the views that it names between braces."""
+
+    def add(f):
+        key = name or f.__name__
+        QUERIES[key] = f
+        if sql:
+            ORACLES[key] = sql
+        return f
+
+    return add
+
+
+RT, MV, TG, EV = V.RATINGS_SQL, V.MOVIES_SQL, V.TAGS_SQL, V.EVENTS_SQL
+STATS = "(SELECT ts AS t1 FROM (SELECT ts, row_number() OVER (ORDER BY ts) AS rn, count(*) OVER () AS n FROM ratings) q WHERE rn = CAST(floor({q} * (n - 1)) AS bigint) + 1)"
+SPLIT = f"""{RT}, cuts AS (SELECT a.t1 AS t1, b.t1 AS t2 FROM {STATS.format(q="CAST(0.8999999999999999 AS double)")} a, {STATS.format(q="CAST(0.95 AS double)")} b),
+split AS (SELECT r.*, CAST(rating >= 4.0 AS tinyint) AS label, CASE WHEN ts < t1 THEN 'train' WHEN ts < t2 THEN 'val' ELSE 'test' END AS partition FROM ratings r, cuts)"""
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[F.round(F.col(c), digits).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+
+
+def split_of(spark: SparkSession, d: str) -> DataFrame:
+    return T.temporal_split(V.ratings(spark, d))
+
+
+@query(f"WITH {RT} SELECT * FROM ratings")
+def a5_ratings(spark, d):
+    return V.ratings(spark, d)
+
+
+@query(f"WITH {MV} SELECT item_id, title, CAST(year AS double) AS year, array_to_string(genres, '|') AS genres, CAST(len(genres) AS integer) AS n_genres, genres[1] AS first_genre FROM movies")
+def a2_movies(spark, d):
+    return V.movies(spark, d).select("item_id", "title", F.col("year").cast("double").alias("year"), F.array_join("genres", "|").alias("genres"), F.size("genres").alias("n_genres"), F.get("genres", F.lit(0)).alias("first_genre"))
+
+
+@query(f"WITH {RT}, {TG} SELECT * FROM tags")
+def a3_tags(spark, d):
+    return V.clean_tags(V.tags_raw(spark, d))
+
+
+@query(f"""WITH {RT} SELECT 'item_id' AS rule, CAST(count(*) FILTER (NOT item_id >= 0) AS bigint) AS violations FROM ratings UNION ALL SELECT 'rating', count(*) FILTER (NOT (rating BETWEEN 0.5 AND 5.0 AND rating * 2 = floor(rating * 2))) FROM ratings
+UNION ALL SELECT 'ts', count(*) FILTER (NOT ts >= 0) FROM ratings UNION ALL SELECT 'user_id', count(*) FILTER (NOT user_id >= 0) FROM ratings""")
+def b1_expectations(spark, d):
+    return T.expectations(V.ratings(spark, d), T.RATING_RULES)
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def b2_repeated_keys(spark, d):
+    return V.table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query(f"WITH {SPLIT} SELECT * FROM split")
+def b4_temporal_split(spark, d):
+    return split_of(spark, d)
+
+
+@query(f"WITH {RT} SELECT * FROM ratings WHERE ((((((user_id + ((42::hugeint * 2654435769) % 4294967296)) % 4294967296) * 2654435761::hugeint) % 4294967296) // 65536) % 100) < 10")
+def b6_user_sample(spark, d):
+    return T.sample_users(V.ratings(spark, d), 10)
+
+
+@query()
+def b7_fixed_sample(spark, d):
+    return T.fixed_sample(V.ratings(spark, d), 1000)
+
+
+@query()
+def b8_user_halves(spark, d):
+    rows = V.ratings(spark, d)
+    return T.split_users(rows, T.sample_users(rows, 10), 0.5)
+
+
+@query(f"""WITH {SPLIT}, w AS (SELECT DISTINCT user_id FROM split WHERE partition = 'train'), i AS (SELECT DISTINCT item_id FROM split WHERE partition = 'train')
+SELECT partition, count(*) AS n_rows, CAST(sum(label) AS bigint) AS n_positive, count(DISTINCT s.user_id) AS n_users, count(DISTINCT s.item_id) AS n_items, min(ts) AS start_ts, max(ts) AS end_ts,
+count(DISTINCT CASE WHEN w.user_id IS NULL THEN s.user_id END) AS cold_users, count(DISTINCT CASE WHEN i.item_id IS NULL THEN s.item_id END) AS new_items,
+count(*) FILTER (w.user_id IS NOT NULL AND label = 1) AS warm_positives FROM split s LEFT JOIN w ON s.user_id = w.user_id LEFT JOIN i ON s.item_id = i.item_id GROUP BY partition""")
+def d8_split_statistics(spark, d):
+    return T.split_statistics(split_of(spark, d))
+
+
+@query(f"WITH {RT} SELECT t1.t1 AS t1, t2.t1 AS t2 FROM {STATS.format(q='CAST(0.8999999999999999 AS double)')} t1, {STATS.format(q='CAST(0.95 AS double)')} t2")
+def d13_cut_points(spark, d):
+    rows = V.ratings(spark, d)
+    return spark.range(1).select(F.lit(T.order_statistic(rows, "ts", 1 - 0.05 - 0.05)).cast("bigint").alias("t1"), F.lit(T.order_statistic(rows, "ts", 0.95)).cast("bigint").alias("t2"))
+
+
+@query(f"WITH {RT}, m AS (SELECT p_partkey FROM part WHERE p_size > 10) SELECT 'kept' AS side, count(*) AS n FROM ratings SEMI JOIN m ON item_id = p_partkey UNION ALL SELECT 'orphans', count(*) FROM ratings ANTI JOIN m ON item_id = p_partkey")
+def c1_c2_orphans(spark, d):
+    known = V.table(spark, d, "part").where("p_size > 10").select(F.col("p_partkey").alias("item_id"))
+    rows = V.ratings(spark, d)
+    count = lambda how, name: rows.join(known, "item_id", how).agg(F.lit(name).alias("side"), F.count("*").alias("n"))
+    return count("left_semi", "kept").unionByName(count("left_anti", "orphans"))
+
+
+def snapshot_sql(key: str, p: str, from_day: int | None = None) -> str:
+    lo = f"WHERE s >= {from_day}" if from_day is not None else ""
+    edge = f"UNION SELECT DISTINCT {key}, {from_day} FROM ev WHERE day < {from_day}" if from_day is not None else ""
+    agg = lambda expr, w: f"(SELECT {expr} FROM ev e WHERE e.{key} = d.{key} AND e.day < d.s{f' AND e.day >= d.s - {w}' if w else ''})"
+    return f"""WITH {RT}, ev AS (SELECT *, CAST(floor(ts / 86400) AS bigint) AS day FROM ratings), act AS (SELECT DISTINCT {key}, day FROM ev),
+due AS (SELECT * FROM (SELECT {key}, day + 1 AS s FROM act UNION SELECT {key}, day + 8 FROM act UNION SELECT {key}, day + 31 FROM act) x {lo} {edge}),
+f AS (SELECT d.{key}, d.s AS snapshot_day, count(e.ts) AS n, count(e.ts) FILTER (e.rating >= 4) AS np, coalesce(sum(e.rating), 0.0) AS rs, count(e.ts) FILTER (e.day >= d.s - 7) AS n7,
+ count(e.ts) FILTER (e.day >= d.s - 30) AS n30, min(e.ts) AS ft, max(e.ts) AS lt FROM due d LEFT JOIN ev e ON e.{key} = d.{key} AND e.day < d.s GROUP BY d.{key}, d.s)
+SELECT {key}, snapshot_day, n AS {p}_n_ratings, np AS {p}_n_positive, rs AS {p}_rating_sum, n7 AS {p}_n_ratings_7d, n30 AS {p}_n_ratings_30d, ft AS {p}_first_ts, lt AS {p}_last_ts,
+round((rs + 17.5) / (n + 5.0), 6) AS {p}_mean_rating, round((np + 2.5) / (n + 5.0), 6) AS {p}_positive_rate FROM f"""
+
+
+@query(snapshot_sql("item_id", "item"))
+def e2_item_snapshots(spark, d):
+    return rounded(P.snapshots(V.ratings(spark, d), P.standard("item")).drop("event_timestamp"))
+
+
+@query(snapshot_sql("user_id", "user", 9800))
+def e2_user_snapshots_from_day(spark, d):
+    return rounded(P.snapshots(V.ratings(spark, d), P.standard("user"), 9800).drop("event_timestamp"))
+
+
+@query(f"""WITH {RT}, ev AS (SELECT *, CAST(floor(ts / 86400) AS bigint) AS day FROM ratings), snap AS (SELECT item_id, day + 1 AS s, sum(n) OVER (PARTITION BY item_id ORDER BY day) AS n_before FROM (SELECT item_id, day, count(*) AS n FROM ev GROUP BY ALL) q)
+SELECT ev.user_id, ev.item_id, ev.ts, CAST(n_before AS double) AS n_before FROM ev ASOF LEFT JOIN snap ON ev.item_id = snap.item_id AND ev.day >= snap.s""")
+def c7_as_of_join(spark, d):
+    rows = V.ratings(spark, d).withColumn("day", S.day_of(F.col("ts")))
+    total = F.sum("n").over(Window.partitionBy("item_id").orderBy("day"))
+    snaps = rows.groupBy("item_id", "day").agg(F.count("*").alias("n")).select("item_id", (F.col("day") + 1).alias("s"), total.alias("n_before"))
+    return P.as_of_join(rows, snaps, "item_id", "day", "s", ["n_before"]).select("user_id", "item_id", "ts", F.col("n_before").cast("double").alias("n_before"))
+
+
+@query(f"""WITH {RT}, ev AS (SELECT *, CAST(floor(ts / 86400) AS bigint) AS day FROM ratings), u AS (SELECT user_id, max(day) + 1 AS snapshot_day, count(*) AS user_n_ratings FROM ev WHERE day < 9800 GROUP BY user_id)
+SELECT k.c_custkey AS user_id, CAST(user_n_ratings AS double) AS user_n_ratings FROM customer k LEFT JOIN u ON k.c_custkey = u.user_id""")
+def a16_a17_online_lookup(spark, d):
+    snaps = P.snapshots(V.ratings(spark, d), P.standard("user"))
+    online = P.latest_per_key(snaps, "user_id", "event_timestamp", F.timestamp_seconds(F.lit(9800 * 86400)))
+    keys = V.table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"))
+    return P.online_lookup(keys, online, "user_id", ["user_n_ratings"]).withColumn("user_n_ratings", F.col("user_n_ratings").cast("double"))
+
+
+@query(f"WITH {RT} SELECT item_id, count(*) AS n, count(*) FILTER (rating >= 4) AS n_positive, round(count(*) / CAST(sum(count(*)) OVER () AS double), 9) AS share, round((count(*) FILTER (rating >= 4) + 1) / CAST(sum(count(*) FILTER (rating >= 4) + 1) OVER () AS double), 9) AS positive_share FROM ratings GROUP BY item_id")
+def d4_d6_d34_popularity(spark, d):
+    c = V.ratings(spark, d).groupBy("item_id").agg(F.count("*").alias("n"), F.count_if(F.col("rating") >= 4).alias("n_positive"))
+    t = c.agg(F.sum("n").alias("t"), F.sum(F.col("n_positive") + 1).alias("tp"))
+    return c.crossJoin(F.broadcast(t)).select("item_id", "n", "n_positive", F.round(F.col("n") / F.col("t"), 9).alias("share"), F.round((F.col("n_positive") + 1) / F.col("tp"), 9).alias("positive_share"))
+
+
+TRAIN = f"{SPLIT}, train AS (SELECT * FROM split WHERE partition = 'train')"
+
+
+def train_of(spark, d):
+    split = split_of(spark, d)
+    return split, split.where("partition = 'train'")
+
+
+def cutoff_of(split: DataFrame) -> int:
+    return split.where("partition = 'val'").agg(F.min("ts")).first()[0]
+
+
+@query(f"""WITH {TRAIN}, c AS (SELECT item_id, count(*) FILTER (ts >= (SELECT min(ts) FROM split WHERE partition = 'val') - 90 * 86400) AS r, count(*) AS n FROM train GROUP BY item_id)
+SELECT item_id, round(r + n / (max(n) OVER () + 1.0), 9) AS score FROM c""")
+def d5_recent_popularity(spark, d):
+    split, train = train_of(spark, d)
+    return rounded(R.recent_popularity(train, cutoff_of(split)), 9)
+
+
+USERS = "u AS (SELECT DISTINCT s.user_id FROM split s WHERE partition = 'val' AND label = 1 AND user_id IN (SELECT user_id FROM train))"
+POPULAR = f"""{TRAIN}, {USERS}, p AS (SELECT item_id, CAST(count(*) AS double) AS score FROM train GROUP BY item_id),
+recs AS (SELECT * FROM (SELECT u.user_id, p.item_id, p.score, row_number() OVER (PARTITION BY u.user_id ORDER BY p.score DESC, p.item_id) AS rank
+ FROM u, p WHERE NOT EXISTS (SELECT 1 FROM train t WHERE t.user_id = u.user_id AND t.item_id = p.item_id)) q WHERE rank <= 100),
+relevant AS (SELECT user_id, item_id FROM split WHERE partition = 'val' AND label = 1 AND user_id IN (SELECT user_id FROM u))"""
+
+
+def popular_lists(spark, d, k: int = 100):
+    split, train = train_of(spark, d)
+    relevant, excluded, _ = R.targets(split.where("partition = 'val'"), train)
+    recs = R.popular_unseen(R.popularity(train), relevant.select("user_id").distinct(), excluded, k)
+    return split, train, relevant, excluded, recs
+
+
+@query(f"WITH {POPULAR} SELECT user_id, item_id, score, CAST(rank AS integer) AS rank FROM recs")
+def j4_popular_unseen(spark, d):
+    return popular_lists(spark, d)[4].select("user_id", "item_id", "score", "rank")
+
+
+METRICS = f"""{POPULAR}, hit AS (SELECT r.user_id, r.item_id, rank FROM relevant r LEFT JOIN recs c ON r.user_id = c.user_id AND r.item_id = c.item_id),
+m AS (SELECT user_id, count(*) AS n_relevant, count(*) FILTER (rank <= 10) / CAST(least(10, count(*)) AS double) AS recall_10, count(*) FILTER (rank <= 100) / CAST(least(100, count(*)) AS double) AS recall_100,
+ coalesce(sum(1 / log2(rank + 1.0)) FILTER (rank <= 10), 0) / list_sum(list_transform(range(1, least(10, count(*)) + 1), lambda r: 1 / log2(r + 1.0))) AS ndcg_10,
+ coalesce(sum(1 / log2(rank + 1.0)) FILTER (rank <= 100), 0) / list_sum(list_transform(range(1, least(100, count(*)) + 1), lambda r: 1 / log2(r + 1.0))) AS ndcg_100,
+ coalesce(1.0 / min(rank), 0) AS mrr FROM hit GROUP BY user_id)"""
+
+
+@query(f"WITH {METRICS} SELECT user_id, n_relevant, round(CAST(recall_10 AS double), 6) AS recall_10, round(CAST(recall_100 AS double), 6) AS recall_100, round(CAST(ndcg_10 AS double), 6) AS ndcg_10, round(CAST(ndcg_100 AS double), 6) AS ndcg_100, round(CAST(mrr AS double), 6) AS mrr FROM m")
+def d14_d17_user_metrics(spark, d):
+    _, _, relevant, _, recs = popular_lists(spark, d)
+    return rounded(E.per_user_metrics(recs, relevant))
+
+
+@query()
+def d18_d20_bootstrap(spark, d):
+    _, _, relevant, _, recs = popular_lists(spark, d)
+    return E.bootstrap(E.per_user_metrics(recs, relevant), ["recall_10", "recall_100", "ndcg_10", "mrr"], 200)
+
+
+@query(f"""WITH {POPULAR}, c AS (SELECT i.item_id, count(r.user_id) AS c FROM (SELECT DISTINCT item_id FROM train) i LEFT JOIN (SELECT * FROM recs WHERE rank <= 10) r ON i.item_id = r.item_id GROUP BY i.item_id),
+o AS (SELECT c, row_number() OVER (ORDER BY c) AS k, count(*) OVER () AS n, sum(c) OVER () AS t FROM c)
+SELECT round(CAST((SELECT count(*) FROM c WHERE c > 0) / CAST((SELECT count(*) FROM c) AS double) AS double), 9) AS coverage, round(CAST((SELECT 2 * sum(c * k) / CAST(max(n) * max(t) AS double) - (max(n) + 1.0) / max(n) FROM o) AS double), 9) AS gini""")
+def d9_d10_coverage_gini(spark, d):
+    _, train, _, _, recs = popular_lists(spark, d)
+    items = train.select("item_id").distinct()
+    return rounded(E.coverage(recs, items, 10).crossJoin(E.gini(recs, items, 10)), 9)
+
+
+@query(f"WITH {POPULAR} SELECT user_id, round(avg(p.score / (SELECT count(*) FROM train)), 9) AS arp FROM recs JOIN p USING (item_id) WHERE rank <= 10 GROUP BY user_id")
+def d11_average_popularity(spark, d):
+    _, train, _, _, recs = popular_lists(spark, d)
+    return rounded(E.average_popularity(recs, train, 10), 9)
+
+
+@query(f"""WITH {POPULAR} SELECT r.user_id, r.item_id, CAST(r.score AS float) AS retrieval_score, CAST(rank AS integer) AS retrieval_rank, CAST(v.item_id IS NOT NULL AS tinyint) AS label, n AS n_relevant
+FROM recs r JOIN (SELECT user_id, count(*) AS n FROM relevant GROUP BY user_id) k USING (user_id) LEFT JOIN relevant v ON r.user_id = v.user_id AND r.item_id = v.item_id""")
+def j19_candidates(spark, d):
+    _, _, relevant, _, recs = popular_lists(spark, d)
+    return R.candidates(recs, relevant)
+
+
+KNN = f"""{RT}, n AS (SELECT item_id, sqrt(count(*)) AS norm FROM ratings GROUP BY item_id), co AS (SELECT a.item_id AS i, b.item_id AS j, count(*) AS c FROM ratings a JOIN ratings b ON a.user_id = b.user_id AND a.item_id <> b.item_id GROUP BY ALL),
+sim AS (SELECT i AS item_id, j AS other, c / (x.norm * y.norm + 10.0) AS similarity FROM co JOIN n x ON x.item_id = i JOIN n y ON y.item_id = j)"""
+
+
+@query(f"WITH {KNN}, top AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(similarity, 9) DESC, other) AS rn FROM sim) SELECT item_id, other, round(similarity, 9) AS similarity FROM top WHERE rn <= 20")
+def j6_item_knn(spark, d):
+    sim = R.item_knn(V.ratings(spark, d), 1 << 30)
+    return E.top_k(rounded(sim, 9), 20, "item_id", "similarity", "other").drop("rank")
+
+
+@query(f"WITH {RT} SELECT a.item_id AS i, b.item_id AS j, count(*) AS n FROM ratings a JOIN ratings b ON a.user_id = b.user_id AND a.item_id < b.item_id GROUP BY ALL")
+def c12_co_occurrence(spark, d):
+    return R.co_occurrence(V.ratings(spark, d))
+
+
+@query()
+def j7_ease(spark, d):
+    return rounded(R.ease(V.ratings(spark, d), 200), 6)
+
+
+@query()
+def j8_implicit_als(spark, d):
+    split, train = train_of(spark, d)
+    relevant, _, _ = R.targets(split.where("partition = 'val'"), train)
+    return R.implicit_als(train, relevant.select("user_id").distinct(), 20, maxIter=3)
+
+
+@query("""SELECT query_id, vec_id, CAST(rank AS integer) AS rank, round(score, 6) AS score FROM (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(CAST(q.embedding AS double[]), CAST(v.embedding AS double[])) AS score,
+row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(CAST(q.embedding AS double[]), CAST(v.embedding AS double[])), 9) DESC, v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id % 10 = 0 AND v.vec_id % 10 <> 0) x WHERE rank <= 10""")
+def j14_exact_inner_product(spark, d):
+    # The queries are a stated set against all rows; each executor meets them as a broadcast of checked size.
+    e = V.table(spark, d, "embeddings")
+    q = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    scores = e.where("vec_id % 10 <> 0").crossJoin(q).select("query_id", "vec_id", F.round(S.dot(F.col("q"), F.col("embedding")), 9).alias("score"))
+    return rounded(E.top_k(scores, 10, "query_id", "score", "vec_id").select("query_id", "vec_id", "rank", "score"))
+
+
+@query(f"""WITH {RT}, o AS (SELECT *, md5(CAST(user_id AS varchar) || '-' || CAST(item_id AS varchar)) AS tie, row_number() OVER w AS pos, ts - lag(ts) OVER w AS gap FROM ratings WINDOW w AS (PARTITION BY user_id ORDER BY ts, md5(CAST(user_id AS varchar) || '-' || CAST(item_id AS varchar)), item_id))
+SELECT user_id, CAST(pos AS integer) AS pos, item_id, item_id AS token, CAST(rating >= 4 AS integer) AS positive, CAST(CASE WHEN gap IS NULL THEN 1 ELSE least(32, 2 + floor(log2(gap + 1))) END AS integer) AS gap, ts FROM o""")
+def e5_e6_sequences(spark, d):
+    return Q.user_sequences(V.ratings(spark, d))
+
+
+@query(f"""WITH {RT}, o AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, md5(CAST(user_id AS varchar) || '-' || CAST(item_id AS varchar)) DESC, item_id DESC) AS b FROM ratings)
+SELECT user_id, array_to_string(list_concat(list_transform(range(20 - count(*)), lambda x: 0), list(item_id ORDER BY b DESC)), ',') AS tokens FROM o WHERE b <= 20 GROUP BY user_id""")
+def e7_e11_last_events(spark, d):
+    return Q.last_events(Q.user_sequences(V.ratings(spark, d)), 20).select("user_id", F.array_join("tokens", ",").alias("tokens"))
+
+
+@query()
+def e8_training_windows(spark, d):
+    return Q.training_windows(Q.user_sequences(V.ratings(spark, d)), 20, 0)
+
+
+@query(f"WITH {RT} SELECT item_id, row_number() OVER (ORDER BY item_id) AS token FROM (SELECT DISTINCT item_id FROM ratings) q")
+def c15_catalog_tokens(spark, d):
+    return Q.catalog_tokens(V.ratings(spark, d))
+
+
+TAGS = f"{RT}, {TG}, vocab AS (SELECT tag, row_number() OVER (ORDER BY count(*) DESC, tag) AS tag_index FROM tags WHERE ts < 846720000 GROUP BY tag ORDER BY count(*) DESC, tag LIMIT 50)"
+
+
+@query(f"WITH {TAGS} SELECT tag, CAST(tag_index AS integer) AS tag_index FROM vocab")
+def d23_tag_vocabulary(spark, d):
+    return Q.tag_vocabulary(V.clean_tags(V.tags_raw(spark, d)), 846_720_000, 50)
+
+
+@query(f"""WITH {TAGS}, c AS (SELECT item_id, tag_index, count(*) AS n FROM tags JOIN vocab USING (tag) WHERE ts < 846720000 GROUP BY ALL)
+SELECT item_id, array_to_string(list(tag_index ORDER BY n DESC, tag_index), ',') AS tag_ids FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, tag_index) AS r FROM c) q WHERE r <= 8 GROUP BY item_id""")
+def d24_top_tags(spark, d):
+    tags = V.clean_tags(V.tags_raw(spark, d))
+    return Q.top_tags(tags, Q.tag_vocabulary(tags, 846_720_000, 50), 846_720_000).select("item_id", F.array_join("tag_ids", ",").alias("tag_ids"))
+
+
+@query(f"""WITH {EV} SELECT event_id, CAST(count(*) OVER w AS bigint) AS session_n_events, CAST(count(*) FILTER (rating >= 4) OVER w AS bigint) AS session_n_positive, round(avg(rating) OVER w, 6) AS session_mean_rating
+FROM stream WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN 1799 PRECEDING AND CURRENT ROW)""")
+def e4_rolling_sessions(spark, d):
+    from tidemark.streaming.sessions import WINDOW_SECONDS
+
+    w = Window.partitionBy("user_id").orderBy("ts").rangeBetween(-WINDOW_SECONDS + 1, 0)
+    e = V.event_stream(spark, d)
+    return rounded(e.select("event_id", F.count("*").over(w).alias("session_n_events"), F.count_if(F.col("rating") >= 4).over(w).alias("session_n_positive"), F.avg("rating").over(w).alias("session_mean_rating")))
+
+
+@query("SELECT event_type AS stage, count(value) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, max(value) AS max_ms FROM events GROUP BY event_type")
+def d31_latency_percentiles(spark, d):
+    r = M.latency_percentiles(V.table(spark, d, "events"), "event_type", "value")
+    return r.select("stage", "n", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")], "max_ms")
+
+
+@query("SELECT event_type AS stage, CAST(le AS double) AS le, count(*) FILTER (value <= le) AS n FROM events, (SELECT unnest([1.0, 5.0, 10.0, 50.0, 100.0]) AS le) e GROUP BY ALL")
+def d32_latency_histogram(spark, d):
+    return M.latency_histogram(V.table(spark, d, "events"), "event_type", "value", [1, 5, 10, 50, 100])
+
+
+@query(f"WITH {RT}, {MV}, x AS (SELECT user_id, avg(year) AS y FROM ratings JOIN movies USING (item_id) GROUP BY user_id) SELECT user_id, round(y, 6) AS user_mean_year FROM x")
+def d22_mean_year(spark, d):
+    return rounded(R.user_profiles(V.ratings(spark, d), V.movies(spark, d), V.GENRES).select("user_id", "user_mean_year"))
+
+
+@query(f"""WITH {RT}, {MV}, g AS (SELECT user_id, unnest(genres) AS g FROM ratings JOIN movies USING (item_id) WHERE rating >= 4), c AS (SELECT user_id, g, count(*) AS n FROM g GROUP BY ALL)
+SELECT user_id, g AS genre, round(n / sqrt(sum(n * n) OVER (PARTITION BY user_id)), 6) AS weight FROM c""")
+def d21_genre_profile(spark, d):
+    p = R.user_profiles(V.ratings(spark, d), V.movies(spark, d), V.GENRES)
+    rows = p.select("user_id", F.posexplode("user_genres").alias("i", "weight")).where("weight > 0")
+    return rounded(rows.select("user_id", F.element_at(F.array(*map(F.lit, V.GENRES)), F.col("i") + 1).alias("genre"), "weight"))
+
+
+@query(f"""WITH {RT}, h AS (SELECT user_id, count(*) AS n, max(ts) AS last_ts FROM ratings GROUP BY user_id) SELECT CASE WHEN n <= 20 THEN '1-20' WHEN n <= 40 THEN '21-40' WHEN n <= 60 THEN '41-60' ELSE '>60' END AS bucket, count(*) AS users, round(avg(n), 6) AS mean_n, max(last_ts) AS last_ts FROM h GROUP BY 1""")
+def d25_d26_segments(spark, d):
+    h = V.ratings(spark, d).groupBy("user_id").agg(F.count("*").alias("n"), F.max("ts").alias("last_ts"))
+    b = S.label_bucket(F.col("n"), [20, 40, 60], ["1-20", "21-40", "41-60", ">60"])
+    return rounded(h.groupBy(b.alias("bucket")).agg(F.count("*").alias("users"), F.avg("n").alias("mean_n"), F.max("last_ts").alias("last_ts")))
+
+
+@query()
+def j23_ranker_features(spark, d):
+    split, train, relevant, _, recs = popular_lists(spark, d)
+    movies = V.movies(spark, d)
+    rows = R.candidates(recs, relevant)
+    return R.ranker_features(rows, P.snapshots(train, P.standard("user")), P.snapshots(train, P.standard("item")), R.user_profiles(train, movies, V.GENRES), movies, cutoff_of(split), V.GENRES)
+
+
+@query()
+def k4_k8_drift(spark, d):
+    rows = V.ratings(spark, d)
+    feats = M.event_features(rows, P.snapshots(rows, P.standard("item")).select("item_id", "snapshot_day", "item_n_ratings_30d", "item_first_ts"), V.movies(spark, d))
+    last, day = rows.agg(F.max("ts")).first()[0], S.DAY_SECONDS
+    return rounded(M.drift_summary(feats.where((F.col("ts") >= last - 720 * day) & (F.col("ts") < last - 360 * day)), feats.where(F.col("ts") >= last - 360 * day)))
+
+
+def sides(spark, d):
+    rows = V.ratings(spark, d)
+    return rows.where("ts < 820454400"), rows.where("ts >= 820454400")
+
+
+@query(f"""WITH {RT}, x AS (SELECT rating, count(*) FILTER (ts < 820454400) AS a, count(*) FILTER (ts >= 820454400) AS b FROM ratings GROUP BY rating), c AS (SELECT lead(rating) OVER (ORDER BY rating) - rating AS gap, abs(sum(a) OVER (ORDER BY rating) / (SELECT sum(a) FROM x) - sum(b) OVER (ORDER BY rating) / (SELECT sum(b) FROM x)) AS dd FROM x)
+SELECT 'rating' AS "column", round(sum(gap * dd) / greatest((SELECT stddev_pop(rating) FROM ratings WHERE ts < 820454400), 0.001), 6) AS score FROM c""")
+def k6_wasserstein(spark, d):
+    return rounded(M.wasserstein(*sides(spark, d), "rating"))
+
+
+@query(f"""WITH {RT}, x AS (SELECT rating, count(*) FILTER (ts < 820454400) / CAST((SELECT count(*) FROM ratings WHERE ts < 820454400) AS double) AS p, count(*) FILTER (ts >= 820454400) / CAST((SELECT count(*) FROM ratings WHERE ts >= 820454400) AS double) AS q FROM ratings GROUP BY rating)
+SELECT 'rating' AS "column", round(sqrt(sum(CASE WHEN p > 0 THEN p * ln(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(q / ((p + q) / 2)) ELSE 0 END) / 2), 6) AS score FROM x""")
+def k7_jensen_shannon(spark, d):
+    return rounded(M.jensen_shannon(*sides(spark, d), "rating"))
+
+
+@query(f"WITH {RT} SELECT user_id, item_id, rating, ts, CAST(n AS integer) AS n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, item_id) AS n FROM ratings WHERE rating >= 4) q WHERE n <= 20")
+def k3_capped_impressions(spark, d):
+    rows = M.capped_impressions(V.ratings(spark, d))
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "item_id")))
+
+
+@query()
+def k1_k2_interleaving(spark, d):
+    split, train, relevant, excluded, recs = popular_lists(spark, d, 20)
+    recent = R.popular_unseen(R.recent_popularity(train, cutoff_of(split)), relevant.select("user_id").distinct(), excluded, 20)
+    lists = lambda df, name: df.groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "item_id"))), lambda x: x["item_id"]).alias(name))
+    shown = M.interleave(lists(recs, "a").join(lists(recent, "b"), "user_id").withColumnRenamed("user_id", "impression_id"), 10)
+    return M.credit(shown, relevant.select(F.col("user_id").alias("impression_id"), "item_id"))
+
+
+@query(f"WITH {RT} SELECT item_id, CAST(year(make_timestamp(min(ts) * 1000000)) AS integer) AS first_year FROM ratings GROUP BY item_id")
+def d29_first_event(spark, d):
+    return V.ratings(spark, d).groupBy("item_id").agg(F.year(F.timestamp_seconds(F.min("ts"))).alias("first_year"))
+
+
+@query(f"WITH {EV} SELECT event_id, CAST(hour(make_timestamp(ts * 1000000)) AS integer) AS hour_utc, CAST(isodow(make_timestamp(ts * 1000000)) AS integer) AS weekday, CAST(floor(ts / 86400) AS bigint) AS day FROM stream")
+def h6_h7_calendar(spark, d):
+    at = F.timestamp_seconds("ts")
+    return V.event_stream(spark, d).select("event_id", F.hour(at).alias("hour_utc"), (F.weekday(at) + 1).alias("weekday"), S.day_of(F.col("ts")).alias("day"))
+
+
+@query(f"WITH {RT} SELECT user_id, item_id, ts, md5(CAST(user_id AS varchar) || '-' || CAST(item_id AS varchar)) AS tie FROM ratings WHERE ts >= 883612800")
+def f2_replay_order(spark, d):
+    return V.ratings(spark, d).where("ts >= 883612800").select("user_id", "item_id", "ts", S.tie_key(F.col("user_id"), F.col("item_id")).alias("tie"))

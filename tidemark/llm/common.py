@@ -41,6 +41,8 @@ def batch(**columns) -> pa.RecordBatch:
 
 #: Members of one bucket held in memory at most; larger buckets are linked through midpoints.
 BUCKET_ROWS = 65_536
+#: Buckets of up to so many members are compared side by side, all at once.
+FEW = 24
 
 
 def _sphere(free: int, radius: int) -> np.ndarray:
@@ -96,10 +98,15 @@ def hamming_links(batches: Iterator[pa.RecordBatch], radius: int, masks: list[in
             return
         starts = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (key[1:] != key[:-1])])
         sizes = np.diff(np.r_[starts, len(fp)])
-        two = starts[sizes == 2]
-        near = np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius
-        left, right = [fp[two][near]], [fp[two + 1][near]]
-        for s, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
+        left, right = [fp[:0]], [fp[:0]]
+        few = sizes <= FEW
+        room = np.repeat(np.where(few, sizes, 0), sizes) - (np.arange(len(fp)) - np.repeat(starts, sizes)) - 1
+        for step in range(1, int(sizes[few].max(initial=1))):  # members that have another so many rows on
+            at = np.flatnonzero(room >= step)
+            near = np.bitwise_count(fp[at] ^ fp[at + step]) <= radius
+            left.append(fp[at[near]])
+            right.append(fp[at[near] + step])
+        for s, n in zip(starts[~few], sizes[~few], strict=True):
             a, b = link_bucket(fp[s : s + n], radius)
             left += a
             right += b

@@ -34,7 +34,7 @@ def _fold_table() -> dict[int, str]:
 
 FOLD = _fold_table()
 LEET_WORD = re.compile(r"(?=\w*[^\W\d])(?=\w*\d)\w+")
-INNER_SIGN = re.compile(r"(?<=[^\W\d_])[@$!](?=[^\W\d_])")
+INNER_SIGN = re.compile(r"(?<=[^\W\d_])[@$!]+(?=[^\W\d_])")
 WORD = re.compile(r"[^\W_]+")
 _DIGIT_TABLE = {ord(d): x for d, x in DIGITS.items()}
 
@@ -43,7 +43,7 @@ def fold(text: str) -> list[str]:
     """Words of a text: lower case, accents and lookalikes folded, digits and signs inside words read as letters."""
     text = text.lower() if text.isascii() else text.translate(FOLD).lower()
     if "@" in text or "$" in text or "!" in text:
-        text = INNER_SIGN.sub(lambda m: SIGNS[m[0]], text)
+        text = INNER_SIGN.sub(lambda m: "".join(SIGNS[c] for c in m[0]), text)
     words = WORD.findall(text)
     return [w.translate(_DIGIT_TABLE) if not w.isalpha() and LEET_WORD.fullmatch(w) else w for w in words]
 

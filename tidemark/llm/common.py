@@ -166,3 +166,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return known.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         known.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+
+
+def least_hashed(ids: DataFrame, id_col: str, rows: int) -> DataFrame:
+    """The ``rows`` rows whose ids hash lowest, marked for broadcast: ``rows`` bounds their size, so the texts that
+    they select are read where they lie and never shuffled."""
+    return F.broadcast(ids.orderBy(F.xxhash64(id_col), id_col).limit(rows))

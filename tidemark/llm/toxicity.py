@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import batch
+from tidemark.llm.common import batch, cut, least_hashed
 
 # Letters of other scripts that look like Latin ones, and signs that stand for letters.
 LOOKALIKES = dict(zip("абвгеёкморстухіјѕԁԛԝһɡıοαενρτυχικβ", "abbreekmopctyxijsdqwhgioaevptuxikb", strict=True))
@@ -126,8 +126,7 @@ def fit_toxicity(
     and not in toxic ones. Rows without label are left out; no row, or one class only, gives an empty lexicon.
     """
     sample = labelled.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.col(label_col) > 0).cast("int").alias("y"))
-    hashes = sample.select("id").distinct().select("id", F.xxhash64("id").alias("h")).orderBy("h").limit(sample_rows)
-    sample = sample.join(hashes.select("id"), "id", "left_semi").select("text", "y").repartition(16)
+    sample = cut(sample.join(least_hashed(sample.select("id").distinct(), "id", sample_rows), "id", "left_semi").select("text", "y").repartition(16))
 
     def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(seen: dict[str, list[int]]) -> pa.RecordBatch:
@@ -201,12 +200,12 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     return found.select(F.col("id").alias(id_col), "score", "predicted")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5) -> DataFrame:
-    """Fit on the labelled rows outside the held-out fold, then score every document.
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, sample_rows: int = 20_000) -> DataFrame:
+    """Fit on at most ``sample_rows`` labelled ids outside the held-out fold, those of least hash, then score every document.
 
     Returns (id_col, held_out, score, predicted). Several labels of an id count as toxic if any is. A null id isn't held out.
     """
     known = labels.where(F.col(label_col).isNotNull() & ~is_held_out(id_col, folds)).groupBy(id_col).agg(F.max(label_col).alias("_y"))
-    train = docs.select(id_col, text_col).join(known, id_col).withColumnRenamed("_y", label_col)
-    model = fit_toxicity(train, text_col, label_col, id_col)
+    train = docs.select(id_col, text_col).join(least_hashed(known, id_col, sample_rows), id_col).withColumnRenamed("_y", label_col)
+    model = fit_toxicity(train, text_col, label_col, id_col, sample_rows)
     return score_toxicity(docs, model, id_col, text_col).select(id_col, is_held_out(id_col, folds).alias("held_out"), "score", "predicted")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, least_hashed
 
 WORDS = r"[^\p{L}]+"
 
@@ -31,7 +31,7 @@ def fit_domains(labelled: DataFrame, domain_col: str, text_col: str = "text", id
     Rows without a domain are left out. The vocabulary table is bounded by its parameter, so it can be broadcast.
     """
     rows = labelled.where(F.col(domain_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(domain_col).cast("string").alias("domain"))
-    ids = rows.select("id").distinct().orderBy(F.xxhash64("id")).limit(sample_rows)
+    ids = least_hashed(rows.select("id").distinct(), "id", sample_rows)
     words = rows.join(ids, "id", "left_semi").select("domain", F.explode(_words(F.col("text"))).alias("word"))
     counts = cut(words.groupBy("word", "domain").count())
     totals = counts.groupBy("domain").agg(F.sum("count").alias("n")).orderBy("domain").limit(max_domains + 1).collect()

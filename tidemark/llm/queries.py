@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import least_hashed
 from tidemark.llm.html_text import main_text
 from tidemark.llm.lines import line_dedup
 from tidemark.llm.mixing import mixing_rates
@@ -26,9 +27,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def labelled_languages(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the labels table covers; their language is the domain."""
-    return docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
+def labelled_languages(docs: DataFrame, labels: DataFrame, rows: int = 20_000) -> DataFrame:
+    """Documents of at most ``rows`` ids that the labels table covers, those of least hash; their language is the domain."""
+    return docs.join(least_hashed(labels.select("doc_id").distinct(), "doc_id", rows), "doc_id", "left_semi")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import batch, cut, texts_as_bytes
+from tidemark.llm.common import batch, cut, least_hashed, texts_as_bytes
 from tidemark.llm.toxicity import logistic
 
 _PUNCTUATION = [i for i in range(33, 127) if not chr(i).isalnum()]
@@ -53,7 +53,7 @@ def fit_quality(labelled: DataFrame, text_col: str = "text", label_col: str = "q
     Rows without a label are left out. With no row or one class, the model is constant.
     """
     picked = labelled.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("double").alias("y"))
-    ids = picked.select("id").distinct().orderBy(F.xxhash64("id")).limit(sample_rows)
+    ids = least_hashed(picked.select("id").distinct(), "id", sample_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -100,7 +100,7 @@ def group_posteriors(evidence: DataFrame, strength: float = 20.0) -> DataFrame:
 
 def quality_scores(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang",
-    label_col: str = "quality", threshold: float = 0.5, weight: float = 0.5, broadcast_rows: int = 100_000,
+    label_col: str = "quality", threshold: float = 0.5, weight: float = 0.5, broadcast_rows: int = 100_000, sample_rows: int = 20_000,
 ) -> DataFrame:
     """``docs`` plus (_p_doc, _host_post, _path_post, _quality, _keep), every row kept.
 
@@ -110,7 +110,7 @@ def quality_scores(
     unless they have the same name.
     """
     known = labels.where(F.col(label_col).isNotNull()).groupBy(id_col).agg(F.avg(label_col).alias("_y"))
-    model = fit_quality(docs.select(id_col, text_col).join(known, id_col), text_col, "_y", id_col)
+    model = fit_quality(docs.select(id_col, text_col).join(least_hashed(known, id_col, sample_rows), id_col), text_col, "_y", id_col, sample_rows)
 
     @F.arrow_udf("double")
     def logit(text: pa.Array) -> pa.Array:

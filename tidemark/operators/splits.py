@@ -53,17 +53,17 @@ def require_unique(df: DataFrame, keys: list[str]) -> None:
         raise ValueError(f"{keys} repeat: {repeated[0]}")
 
 
-def expectations(df: DataFrame, rules: dict[str, Column], columns: list[str] | None = None) -> DataFrame:
-    """(rule, violations): rows for which a rule is false or null, all in one pass. ``columns`` makes the schema strict."""
+def expectations(df: DataFrame, rules: dict[str, str], columns: list[str] | None = None) -> DataFrame:
+    """(rule, violations): rows for which a rule, in SQL, is false or null, all in one pass. ``columns`` makes the schema strict."""
     if columns is not None and set(columns) != set(df.columns):
         raise ValueError(f"columns differ: {sorted(set(columns) ^ set(df.columns))}")
-    counted = df.agg(*[F.count_if(~F.coalesce(rule, F.lit(False))).alias(name) for name, rule in rules.items()])
+    counted = df.agg(*[F.count_if(~F.coalesce(F.expr(rule), F.lit(False))).alias(name) for name, rule in rules.items()])
     return counted.unpivot([], list(rules), "rule", "violations")
 
 
 RATING_RULES = {
-    "user_id": F.expr("user_id >= 0"), "item_id": F.expr("item_id >= 0"), "ts": F.expr("ts >= 0"),
-    "rating": F.expr("rating between 0.5 and 5.0 and rating * 2 = floor(rating * 2)"),
+    "user_id": "user_id >= 0", "item_id": "item_id >= 0", "ts": "ts >= 0",
+    "rating": "rating between 0.5 and 5.0 and rating * 2 = floor(rating * 2)",
 }
 
 

@@ -23,7 +23,7 @@ class Feature:
     positives: bool = False
 
     def __post_init__(self) -> None:
-        if self.kind not in MERGE or (self.kind == "count") == (self.column is not None) or (self.days or 1) < 1:
+        if self.kind not in MERGE or (self.kind == "count") == (self.column is not None) or (self.days is not None and self.days < 1):
             raise ValueError(f"{self.name}: a count has no column, other kinds need one, days must be positive")
 
     def daily(self) -> Column:

@@ -419,3 +419,65 @@ def h6_h7_calendar(spark, d):
 @query(f"WITH {RT} SELECT user_id, item_id, ts, md5(CAST(user_id AS varchar) || '-' || CAST(item_id AS varchar)) AS tie FROM ratings WHERE ts >= 883612800")
 def f2_replay_order(spark, d):
     return V.ratings(spark, d).where("ts >= 883612800").select("user_id", "item_id", "ts", S.tie_key(F.col("user_id"), F.col("item_id")).alias("tie"))
+
+
+@query(f"""WITH {SPLIT}, a AS (SELECT DISTINCT item_id FROM split WHERE partition = 'train'), b AS (SELECT DISTINCT item_id FROM split WHERE partition <> 'train')
+SELECT 'both' AS side, item_id FROM (SELECT * FROM a INTERSECT SELECT * FROM b) x UNION ALL SELECT 'history', item_id FROM (SELECT * FROM a EXCEPT SELECT * FROM b) y UNION ALL SELECT 'later', item_id FROM (SELECT * FROM b EXCEPT SELECT * FROM a) z""")
+def g2_g3_g5_item_sets(spark, d):
+    split, train = train_of(spark, d)
+    a, b = train.select("item_id"), split.where("partition <> 'train'").select("item_id")
+    name = lambda df, side: df.select(F.lit(side).alias("side"), "item_id")
+    return name(a.intersect(b), "both").unionByName(name(a.subtract(b), "history")).unionByName(name(b.subtract(a), "later"))
+
+
+@query(f"""WITH {POPULAR} SELECT user_id, count(*) AS n_relevant, count(*) FILTER (item_id IN (SELECT item_id FROM train)) AS n_reachable FROM relevant GROUP BY user_id""")
+def d27_j2_targets(spark, d):
+    split, train = train_of(spark, d)
+    relevant, _, _ = R.targets(split.where("partition = 'val'"), train)
+    return relevant.groupBy("user_id").agg(F.count("*").alias("n_relevant"), F.count_if("reachable").alias("n_reachable"))
+
+
+RECENT = f"""{POPULAR}, rc AS (SELECT item_id, count(*) FILTER (ts >= (SELECT min(ts) FROM split WHERE partition = 'val') - 90 * 86400) AS r, count(*) AS n FROM train GROUP BY item_id),
+rp AS (SELECT item_id, r + n / (max(n) OVER () + 1.0) AS score FROM rc),
+recent AS (SELECT * FROM (SELECT u.user_id, rp.item_id, row_number() OVER (PARTITION BY u.user_id ORDER BY rp.score DESC, rp.item_id) AS rank
+ FROM u, rp WHERE NOT EXISTS (SELECT 1 FROM train t WHERE t.user_id = u.user_id AND t.item_id = rp.item_id)) q WHERE rank <= 100)"""
+
+
+def recent_lists(split: DataFrame, train: DataFrame, relevant: DataFrame, excluded: DataFrame) -> DataFrame:
+    return R.popular_unseen(R.recent_popularity(train, cutoff_of(split)), relevant.select("user_id").distinct(), excluded, 100)
+
+
+@query(f"""WITH {RECENT} SELECT round(avg(o), 9) AS recall FROM (SELECT a.user_id, avg(CAST(b.item_id IS NOT NULL AS integer)) AS o FROM (SELECT * FROM recs WHERE rank <= 20) a
+LEFT JOIN (SELECT * FROM recent WHERE rank <= 20) b ON a.user_id = b.user_id AND a.item_id = b.item_id GROUP BY a.user_id) q""")
+def d30_list_overlap(spark, d):
+    split, train, relevant, excluded, recs = popular_lists(spark, d)
+    return rounded(E.recall_against_exact(recent_lists(split, train, relevant, excluded), recs, 20, "user_id", "item_id"), 9)
+
+
+@query()
+def c5_d19_k9_paired_difference(spark, d):
+    split, train, relevant, excluded, recs = popular_lists(spark, d)
+    a, b = E.per_user_metrics(recs, relevant), E.per_user_metrics(recent_lists(split, train, relevant, excluded), relevant)
+    return E.paired_difference(a, b, "recall_100", replicates=200)
+
+
+@query(f"""WITH {POPULAR}, pos AS (SELECT item_id, count(*) AS np FROM train WHERE label = 1 GROUP BY item_id), s AS (SELECT r.user_id, r.item_id, CAST(r.rank AS integer) AS retrieval_rank, coalesce(np, 0) AS score FROM recs r LEFT JOIN pos USING (item_id))
+SELECT user_id, item_id, retrieval_rank, score, CAST(rank AS integer) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, retrieval_rank) AS rank FROM s) q WHERE rank <= 10""")
+def e10_e12_rerank(spark, d):
+    _, train, _, _, recs = popular_lists(spark, d)
+    positives = train.where("label = 1").groupBy("item_id").agg(F.count("*").alias("score"))
+    rows = recs.select("user_id", "item_id", F.col("rank").alias("retrieval_rank")).join(positives, "item_id", "left")
+    return R.rerank(rows.withColumn("score", F.coalesce("score", F.lit(0))), "score", 10).select("user_id", "item_id", "retrieval_rank", "score", "rank")
+
+
+@query(f"WITH {RT} SELECT item_id, count(*) AS n FROM ratings GROUP BY item_id ORDER BY n DESC, item_id LIMIT 200")
+def f3_most_popular(spark, d):
+    return V.ratings(spark, d).groupBy("item_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "item_id").limit(200)
+
+
+@query(f"""WITH {RT}, x AS (SELECT user_id, unnest(CAST(embedding AS double[])) AS v, generate_subscripts(embedding, 1) - 1 AS dim FROM ratings JOIN embeddings ON item_id = vec_id WHERE rating >= 4),
+m AS (SELECT user_id, dim, avg(v) AS v FROM x GROUP BY ALL) SELECT user_id, CAST(dim AS integer) AS dim, round(v / sqrt(sum(v * v) OVER (PARTITION BY user_id)), 6) AS value FROM m""")
+def j21_pooled_user_vectors(spark, d):
+    vectors = V.table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
+    pooled = R.pooled_vectors(R.signal(V.ratings(spark, d), "positive"), vectors)
+    return rounded(pooled.select("user_id", F.posexplode("vector").alias("dim", "value")))

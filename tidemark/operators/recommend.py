@@ -130,6 +130,17 @@ def implicit_als(history: DataFrame, users: DataFrame, k: int, rank: int = 16, s
     return top_k(scores.join(history.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti"), k)
 
 
+def pooled_vectors(history: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(user_id, vector): mean of the vectors of a user's items, to unit length; users without a vector have no row."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    rows = history.select("user_id", "item_id").join(vectors.select("item_id", array_to_vector("embedding").alias("v")), "item_id")
+    mean = rows.groupBy("user_id").agg(vector_to_array(Summarizer.mean(F.col("v"))).alias("m"))
+    norm = F.sqrt(F.aggregate("m", F.lit(0.0), lambda s, x: s + x * x))
+    return mean.select("user_id", F.transform("m", lambda x: x / norm).alias("vector"))
+
+
 def candidates(recs: DataFrame, relevant: DataFrame) -> DataFrame:
     """Lists with score, rank, label and how many relevant items their user has."""
     n = relevant.groupBy("user_id").agg(F.count("*").alias("n_relevant"))

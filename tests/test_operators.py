@@ -1,6 +1,7 @@
 import math
 
 import pytest
+from conftest import DATA
 from pyspark.sql import functions as F
 
 from tidemark.operators import evaluation as E
@@ -159,3 +160,22 @@ def test_fallback_sources(spark):
     popular = spark.createDataFrame([(3, 9.0), (4, 8.0)], "item_id long, score double")
     got = {(r.user_id, r.item_id): r.source for r in R.recommend_with_fallback(requests, personal, popular, spark.createDataFrame([(2, 3)], "user_id long, item_id long"), 1).collect()}
     assert got == {(1, 7): "personal", (2, 4): "popular"}
+
+
+def test_vector_lists_skip_seen_break_ties_and_merge_blocks(spark):
+    users = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "user_id long, vector array<double>")
+    items = spark.createDataFrame([(i, [1.0, float(i % 3)]) for i in range(9)], "item_id long, embedding array<double>")
+    seen = spark.createDataFrame([(1, 0), (2, 2), (9, 5)], "user_id long, item_id long")
+    found = {(r.user_id, r["rank"]): r.item_id for r in R.vector_lists(users, items, seen, 3, block_rows=2).collect()}
+    assert found == {(1, 1): 1, (1, 2): 2, (1, 3): 3, (2, 1): 5, (2, 2): 8, (2, 3): 1}
+    assert R.vector_lists(users, items.limit(0), seen, 3).count() == 0
+
+
+def test_inverted_lists_find_nine_tenths_and_fall_back(spark):
+    e = spark.read.parquet(f"{DATA}/embeddings.parquet")
+    vectors, queries = e.where("vec_id % 10 <> 0").select("vec_id", "embedding"), e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    exact = R.inverted_list_search(vectors, queries, 10, probes=16)
+    assert E.recall_against_exact(R.inverted_list_search(vectors, queries, 10), exact, 10).first()[0] >= 0.9
+    many = vectors.count()
+    short = R.inverted_list_search(vectors, queries, many, probes=1).groupBy("query_id").count()
+    assert short.where(F.col("count") < many).count() == 0

@@ -481,3 +481,84 @@ def j21_pooled_user_vectors(spark, d):
     vectors = V.table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
     pooled = R.pooled_vectors(R.signal(V.ratings(spark, d), "positive"), vectors)
     return rounded(pooled.select("user_id", F.posexplode("vector").alias("dim", "value")))
+
+
+@query(f"""WITH {TRAIN}, {USERS}, p AS (SELECT item_id, count(*) AS n FROM train GROUP BY item_id ORDER BY n DESC, item_id LIMIT 50), recs AS (SELECT user_id, item_id FROM u, p)
+SELECT 'unknown_item' AS rule, count(*) AS violations FROM recs WHERE item_id NOT IN (SELECT p_partkey FROM part WHERE p_size > 10)
+UNION ALL SELECT 'excluded_item', count(*) FROM recs r WHERE EXISTS (SELECT 1 FROM train t WHERE t.user_id = r.user_id AND t.item_id = r.item_id) UNION ALL SELECT 'repeated_item', 0 UNION ALL SELECT 'score_order', 0""")
+def b11_b12_b16_list_checks(spark, d):
+    split, train = train_of(spark, d)
+    relevant, excluded, _ = R.targets(split.where("partition = 'val'"), train)
+    recs = R.popular_unseen(R.popularity(train), relevant.select("user_id").distinct(), excluded.limit(0), 50)
+    return T.recommendation_violations(recs, V.table(spark, d, "part").where("p_size > 10").select(F.col("p_partkey").alias("item_id")), excluded)
+
+
+@query(f"""WITH {SPLIT}, f AS (SELECT item_id, max(ts) AS item_last_ts FROM split GROUP BY item_id)
+SELECT max(item_last_ts) AS latest, count(*) FILTER (item_last_ts >= (SELECT min(ts) FROM split WHERE partition = 'val')) AS ahead FROM f""")
+def b13_clock_guard(spark, d):
+    split = split_of(spark, d)
+    return T.features_ahead(split.groupBy("item_id").agg(F.max("ts").alias("item_last_ts")), cutoff_of(split))
+
+
+@query(f"""WITH {EV}, s AS (SELECT event_id, count(*) OVER a AS n1, count(*) OVER b AS n2, avg(rating) OVER a AS m1, avg(rating) OVER b AS m2 FROM stream
+WINDOW a AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN 899 PRECEDING AND CURRENT ROW), b AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN 1799 PRECEDING AND CURRENT ROW))
+SELECT 'session_n_events' AS feature, count(*) FILTER (n1 <> n2) AS mismatches FROM s UNION ALL SELECT 'session_mean_rating', count(*) FILTER (abs(m1 - m2) > 1e-9 * greatest(1, abs(m1), abs(m2))) FROM s""")
+def d33_parity(spark, d):
+    e = V.event_stream(spark, d)
+
+    def sessions(seconds: int) -> DataFrame:
+        w = Window.partitionBy("user_id").orderBy("ts").rangeBetween(-seconds + 1, 0)
+        return e.select("event_id", F.count("*").over(w).alias("session_n_events"), F.avg("rating").over(w).alias("session_mean_rating"))
+
+    return E.parity(sessions(900), sessions(1800), ["event_id"], ["session_n_events", "session_mean_rating"])
+
+
+VECTOR = f"""{RT}, x AS (SELECT user_id, unnest(CAST(embedding AS double[])) AS v, generate_subscripts(embedding, 1) AS dim FROM ratings JOIN embeddings ON item_id = vec_id WHERE rating >= 4),
+m AS (SELECT user_id, dim, avg(v) AS v FROM x GROUP BY ALL), uv AS (SELECT user_id, list(v ORDER BY dim) AS m, sqrt(sum(v * v)) AS norm FROM m GROUP BY user_id),
+sc AS (SELECT user_id, vec_id AS item_id, round(list_dot_product(m, CAST(embedding AS double[])) / norm, 9) AS score FROM uv, embeddings),
+lists AS (SELECT * FROM (SELECT sc.*, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM sc ANTI JOIN ratings r ON r.user_id = sc.user_id AND r.item_id = sc.item_id) q WHERE rank <= 10)"""
+
+
+def vector_recommendations(spark, d) -> tuple[DataFrame, DataFrame]:
+    rows = V.ratings(spark, d)
+    items = V.table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
+    users = R.pooled_vectors(R.signal(rows, "positive"), items)
+    return rows, R.vector_lists(users, items, rows.select("user_id", "item_id"), 10)
+
+
+@query(f"WITH {VECTOR} SELECT user_id, item_id, round(score, 6) AS score, CAST(rank AS integer) AS rank FROM lists")
+def j9_j13_j16_vector_lists(spark, d):
+    return rounded(vector_recommendations(spark, d)[1])
+
+
+@query(f"""WITH {VECTOR}, pop AS (SELECT item_id, CAST(count(*) AS double) AS score FROM ratings GROUP BY item_id), rest AS (SELECT c_custkey AS user_id FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM lists)),
+fb AS (SELECT * FROM (SELECT user_id, pop.item_id, score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, pop.item_id) AS rank FROM rest, pop
+ WHERE NOT EXISTS (SELECT 1 FROM ratings r WHERE r.user_id = rest.user_id AND r.item_id = pop.item_id)) q WHERE rank <= 10)
+SELECT user_id, item_id, round(score, 6) AS score, CAST(rank AS integer) AS rank, 'personal' AS source FROM lists WHERE user_id IN (SELECT c_custkey FROM customer) UNION ALL SELECT user_id, item_id, score, CAST(rank AS integer), 'popular' FROM fb""")
+def j31_recommend_with_fallback(spark, d):
+    rows, personal = vector_recommendations(spark, d)
+    requests = V.table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"))
+    return rounded(R.recommend_with_fallback(requests, personal, R.popularity(rows), rows.select("user_id", "item_id"), 10))
+
+
+def searches(spark, d) -> tuple[DataFrame, DataFrame]:
+    e = V.table(spark, d, "embeddings")
+    return e.where("vec_id % 10 <> 0").select("vec_id", "embedding"), e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+
+
+@query()
+def j15_j17_inverted_lists(spark, d):
+    return R.inverted_list_search(*searches(spark, d), 10)
+
+
+@query(ORACLES["j14_exact_inner_product"])
+def j17_all_lists_probed(spark, d):
+    return rounded(R.inverted_list_search(*searches(spark, d), 10, probes=16).select("query_id", "vec_id", "rank", "score"))
+
+
+@query()
+def j18_index_quality(spark, d):
+    vectors, queries = searches(spark, d)
+    exact = QUERIES["j14_exact_inner_product"](spark, d)
+    reports = [E.recall_against_exact(R.inverted_list_search(vectors, queries, 10, probes=n), exact, 10).select(F.lit(n).alias("probes"), F.round("recall", 9).alias("recall")) for n in (1, 4, 10)]
+    return reports[0].unionByName(reports[1]).unionByName(reports[2])

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import DAY_SECONDS, POSITIVE
+from tidemark.functions.scalars import DAY_SECONDS, POSITIVE, dot
 from tidemark.operators.evaluation import top_k
 from tidemark.operators.features import latest_per_key
 
@@ -61,15 +61,18 @@ def popular_unseen(scores: DataFrame, users: DataFrame, seen: DataFrame, k: int)
     return top_k(rows.join(seen, ["user_id", "item_id"], "left_anti"), k)
 
 
-def co_occurrence(history: DataFrame, max_history: int = 1000) -> DataFrame:
-    """(i, j, n): users that have both items, i < j. A user's latest ``max_history`` items count: pairs grow with its square."""
-    recent = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), "item_id"))
-    rows = history.withColumn("_r", recent).where(F.col("_r") <= max_history).select("user_id", "item_id")
+def co_occurrence(history: DataFrame, max_history: int | None = None) -> DataFrame:
+    """(i, j, n): users that have both items, i < j. Pairs grow with the square of a history; all of it counts unless
+    ``max_history`` asks for a user's latest items only."""
+    rows = history.select("user_id", "item_id")
+    if max_history:
+        recent = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), "item_id"))
+        rows = history.withColumn("_r", recent).where(F.col("_r") <= max_history).select("user_id", "item_id")
     a, b = rows.withColumnRenamed("item_id", "i"), rows.withColumnRenamed("item_id", "j")
     return a.join(b, "user_id").where("i < j").groupBy("i", "j").agg(F.count("*").alias("n"))
 
 
-def item_knn(history: DataFrame, neighbours: int = 200, shrink: float = 10.0, max_history: int = 1000) -> DataFrame:
+def item_knn(history: DataFrame, neighbours: int = 200, shrink: float = 10.0, max_history: int | None = None) -> DataFrame:
     """(item_id, other, similarity): the most similar items by shrunk cosine over users."""
     norms = history.groupBy("item_id").agg(F.sqrt(F.count("*")).alias("norm"))
     pairs = co_occurrence(history, max_history)
@@ -141,6 +144,61 @@ def pooled_vectors(history: DataFrame, vectors: DataFrame) -> DataFrame:
     return mean.select("user_id", F.transform("m", lambda x: x / norm).alias("vector"))
 
 
+def vector_lists(users: DataFrame, items: DataFrame, seen: DataFrame, k: int, block_rows: int = 1024) -> DataFrame:
+    """(user_id, item_id, score, rank): the k unseen items of largest inner product of each user (user_id, vector).
+
+    Users and items (item_id, embedding) meet block by block; a pair of blocks is one matrix product that gives each
+    user its k best, and only those are shuffled. Scores are rounded to 9 digits, ties go to the smaller id.
+    """
+    own = seen.join(users.select("user_id"), "user_id", "left_semi").groupBy("user_id").agg(F.collect_set("item_id").alias("seen"))
+    wide = users.join(own, "user_id", "left").select("user_id", "vector", F.coalesce("seen", F.array().cast("array<bigint>")).alias("seen"))
+
+    def packed(df: DataFrame, key: str, columns: list[str], name: str) -> DataFrame:
+        n = F.broadcast(df.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block_rows)).alias("n")))
+        block = F.pmod(F.xxhash64(key), F.col("n")).alias("block")
+        return df.crossJoin(n).select(block, F.struct(*columns).alias("x")).groupBy("block").agg(F.collect_list("x").alias(name)).select(name)
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for us, its in zip(b["us"], b["its"], strict=True):
+                ids = np.array([x["item_id"] for x in its], dtype=np.int64)
+                order = np.argsort(ids)
+                ids, matrix = ids[order], np.array([x["embedding"] for x in its], dtype=float)[order]
+                for u in us:
+                    scores = np.round(matrix @ np.asarray(u["vector"], dtype=float), 9)
+                    scores[np.isin(ids, u["seen"])] = -np.inf
+                    best = np.argsort(-scores, kind="stable")[:k]
+                    best = best[np.isfinite(scores[best])]
+                    yield pd.DataFrame({"user_id": u["user_id"], "item_id": ids[best], "score": scores[best]})
+
+    # A stated set of users against all items, in blocks.
+    pairs = packed(wide, "user_id", ["user_id", "vector", "seen"], "us").crossJoin(packed(items, "item_id", ["item_id", "embedding"], "its"))
+    return top_k(pairs.mapInPandas(score, "user_id bigint, item_id bigint, score double"), k)
+
+
+def inverted_list_search(vectors: DataFrame, queries: DataFrame, k: int, lists: int = 16, probes: int = 10, fit_rows: int = 8192, seed: int = 42) -> DataFrame:
+    """(query_id, vec_id, score, rank): inner-product search in the ``probes`` nearest of ``lists`` clusters.
+
+    Centers are fit on the ``fit_rows`` vectors of least hash; every vector (vec_id, embedding) gets a list. A query
+    (query_id, q) whose lists hold fewer than k vectors is answered from all of them.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    spark = vectors.sparkSession
+    rows = vectors.select("vec_id", "embedding", array_to_vector("embedding").alias("features"))
+    model = KMeans(k=lists, seed=seed, maxIter=10).fit(rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_rows))
+    placed = model.transform(rows).select("vec_id", "embedding", F.col("prediction").alias("list"))
+    centers = F.broadcast(spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(model.clusterCenters())], "list int, center array<double>"))  # ``lists`` rows
+    gap = F.aggregate(F.zip_with("q", "center", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    near = top_k(queries.crossJoin(centers).withColumn("near", -gap), probes, "query_id", "near", "list")
+    held = placed.groupBy("list").agg(F.count("*").alias("n"))
+    short = near.join(held, "list", "left").groupBy("query_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).where(F.col("n") < k)
+    probed = near.select("query_id", "q", "list").unionByName(queries.join(short, "query_id", "left_semi").crossJoin(centers).select("query_id", "q", "list")).distinct()
+    scores = probed.join(placed, "list").select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("embedding")), 9).alias("score"))
+    return top_k(scores, k, "query_id", "score", "vec_id")
+
+
 def candidates(recs: DataFrame, relevant: DataFrame) -> DataFrame:
     """Lists with score, rank, label and how many relevant items their user has."""
     n = relevant.groupBy("user_id").agg(F.count("*").alias("n_relevant"))

@@ -114,19 +114,37 @@ def drop_orphans(ratings: DataFrame, tags: DataFrame, movies: DataFrame) -> tupl
     return ratings.join(known, "item_id", "left_semi"), tags.join(known, "item_id", "left_semi"), audit
 
 
+def recommendation_violations(recs: DataFrame, items: DataFrame, excluded: DataFrame) -> DataFrame:
+    """(rule, violations) of lists: items outside the catalog, repeats within a list, items to be left out, and rows
+    that score higher than the row before them (lists with score and rank)."""
+    by = ["user_id", "item_id"]
+    count = lambda df, rule, n=F.count("*"): df.agg(F.lit(rule).alias("rule"), F.coalesce(n, F.lit(0)).alias("violations"))
+    out = count(recs.join(items, "item_id", "left_anti"), "unknown_item")
+    out = out.unionByName(count(recs.groupBy(*by).count().where("count > 1"), "repeated_item", F.sum(F.col("count") - 1)))
+    out = out.unionByName(count(recs.join(excluded, by, "left_semi"), "excluded_item"))
+    return out.unionByName(count(out_of_order(recs), "score_order")) if {"score", "rank"} <= set(recs.columns) else out
+
+
 def check_recommendations(recs: DataFrame, items: DataFrame, excluded: DataFrame) -> None:
-    """Raise if a list holds an unknown item, an item twice, or one to be left out."""
-    if recs.join(items, "item_id", "left_anti").limit(1).count():
-        raise ValueError("items outside the catalog")
-    require_unique(recs, ["user_id", "item_id"])
-    if recs.join(excluded, ["user_id", "item_id"], "left_semi").limit(1).count():
-        raise ValueError("items already seen")
+    """Raise if a list holds an unknown item, an item twice, or one to be left out, or isn't in order of score where it has one."""
+    if broken := [r.rule for r in recommendation_violations(recs, items, excluded).where("violations > 0").collect()]:
+        raise ValueError(f"lists break {broken}")
+
+
+def out_of_order(recs: DataFrame) -> DataFrame:
+    """Rows that have a higher score than the row before them in rank."""
+    before = F.lag("score").over(Window.partitionBy("user_id").orderBy("rank"))
+    return recs.withColumn("before", before).where("score > before")
 
 
 def check_score_order(recs: DataFrame) -> int:
     """How many rows have a higher score than the row before them in rank."""
-    before = F.lag("score").over(Window.partitionBy("user_id").orderBy("rank"))
-    return recs.withColumn("before", before).where("score > before").count()
+    return out_of_order(recs).count()
+
+
+def features_ahead(items: DataFrame, now: int, column: str = "item_last_ts") -> DataFrame:
+    """(latest, ahead): the last time in a table of features, and how many rows reach the clock or pass it."""
+    return items.agg(F.max(column).alias("latest"), F.count_if(F.col(column) >= now).alias("ahead"))
 
 
 def check_clock(items: DataFrame, now: int, column: str = "item_last_ts") -> None:

@@ -42,7 +42,8 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("lines", lines), ("near_dedup", near_dedup), ("mixing", mixture), ("sentencepiece", pieces)]
 
-#: SQL can't express the classifier and the hashes; a brute-force version tests the pipeline.
+#: SQL can't express the classifier and the hashes. Tests check the stages' columns and the round trip; a brute-force version of
+#: the whole pipeline is still to be written.
 ORACLE_SQL = None
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut
-from tidemark.llm.lines import line_dedup
+from tidemark.llm.lines import WHOLE, line_dedup
 from tidemark.llm.mixing import mix
 from tidemark.llm.quality import keep_good
 from tidemark.llm.queries import PIECES, labelled_languages, table
@@ -21,7 +21,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with repeated lines taken out of its text."""
-    return line_dedup(docs).withColumn("n_chars", F.char_length("text").cast("bigint")).select(*docs.columns)
+    return line_dedup(docs, **WHOLE).withColumn("n_chars", F.char_length("text").cast("bigint")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import least_hashed
 from tidemark.llm.html_text import main_text
-from tidemark.llm.lines import line_dedup
+from tidemark.llm.lines import WHOLE, line_dedup
 from tidemark.llm.mixing import mixing_rates
 from tidemark.llm.quality import quality_scores
 from tidemark.llm.sentencepieces import Pieces, encode
@@ -41,7 +41,7 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup(table(spark, sf_dir, "documents"))
+    found = line_dedup(table(spark, sf_dir, "documents"), **WHOLE)
     return found.select("doc_id", "text", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"))
 
 

@@ -1,12 +1,39 @@
 """Whole-job tests: results against brute force without the candidate rules."""
 
+import random
+
 import numpy as np
 from conftest import DATA
-from test_corpus import groups_of
+from test_corpus import groups_of, odd, slow_edits
 
 from tidemark.llm import lines as L
 
 
+def test_lines_cover_the_similarity(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    texts = [None, "", "Of.\nAnd  ornd.\n\n", "of.\n  \nand ornd.\nOf. In", "Of. in"]
+    for n in (5, 9, 12, 20, 40, 100, 300):
+        base = [rng.choice(words) for _ in range(n)]
+        for edits in (0, 1, 2, n // 10, n // 6, n // 5, n // 4):
+            line = list(base)
+            for _ in range(edits):
+                at, kind = rng.randrange(len(line)), rng.random()
+                line[at : at + 1] = [] if kind < 0.2 else [rng.choice(words)] if kind < 0.8 else [line[at], "the"]
+            texts.append("\n".join([" ".join(line), " ".join(rng.choice(words) for _ in range(8))]))
+    docs = odd(spark, *texts)
+    got = {(r.id, r.pos): r.keep for r in L.line_groups(docs, block_rows=4, **L.WHOLE).collect()}
+    rows = [(i, p, L.normalise(x.encode())) for i, t in enumerate(texts) for p, x in enumerate((t or "").split("\n")) if x.split()]
+    link = [(i, j) for i in range(len(rows)) for j in range(i) if slow_edits(rows[i][2], rows[j][2]) <= 0.2 * max(len(rows[i][2]), len(rows[j][2])) + 1e-9]
+    first: dict = {}
+    root = groups_of(len(rows), link)
+    for g, (i, p, _) in zip(root, rows, strict=True):
+        first[g] = min((i, p), first.get(g, (i, p)))
+    assert got == {(i, p): first[g] == (i, p) for g, (i, p, _) in zip(root, rows, strict=True)}
+    out = {r.doc_id: r.text for r in L.line_dedup(docs, **L.WHOLE).collect()}
+    assert out[2] == "Of.\nAnd  ornd.\n\n" and out[3] == "  \nOf. In" and out[4] == ""
+
+
 def test_similar_pairs_share_a_bucket(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(200)
     distinct = {L.line_hash(w): w for r in docs.collect() for x in (r.text or "").encode().split(b"\n") if len(w := L.normalise(x)) >= 5}

@@ -7,6 +7,7 @@ from conftest import DATA
 from test_corpus import groups_of, odd, slow_edits
 
 from tidemark.llm import lines as L
+from tidemark.llm import sentencepieces as SP
 
 
 def test_lines_cover_the_similarity(spark):
@@ -43,3 +44,25 @@ def test_similar_pairs_share_a_bucket(spark):
     at = {x: i for i, x in enumerate(h)}
     root = groups_of(len(h), [(at[a], at[b]) for a, b in edges])
     assert true and all(root[at[a]] == root[at[b]] for a, b in true)
+
+
+def test_pieces_across_runs_of_spaces(spark):
+    pieces = SP.Pieces.load(spark, "file:///opt/tokenizers/piece_bpe_32k.model")
+    coder, names = SP.Encoder(pieces), {i: s for s, (i, _) in pieces.scores.items()}
+    longest = max(map(len, pieces.scores))
+
+    def best(text):
+        score = [0.0] + [-np.inf] * len(text)
+        for end in range(1, len(text) + 1):
+            score[end] = score[end - 1] + coder.unknown
+            for start in range(max(0, end - longest), end):
+                if text[start:end] in pieces.scores:
+                    score[end] = max(score[end], score[start] + pieces.scores[text[start:end]][1])
+        return score[-1]
+
+    for n in (1, 2, *range(3, 41)):
+        for text in (f"x{' ' * n}y", " " * n, f"{' ' * n}if a:\n{' ' * n}return b{' ' * n}", f"a{' ' * n}b{' ' * (n // 2)}c"):
+            ids = coder.encode(text)
+            score = sum(pieces.scores[names[i]][1] if i in names else 0.0 for i in ids) + coder.unknown * text.count("\n") * ("\n" not in pieces.scores)
+            assert abs(score - best((SP.SPACE + text).replace(" ", SP.SPACE))) < 1e-3 and coder.decode(ids) == text
+    assert coder.encode("x   y") == [pieces.scores[s][0] for s in ("▁x", "▁▁", "▁y")]

@@ -16,8 +16,8 @@ from pyspark.sql import types as T
 from tidemark.llm.common import batch
 
 SPACE = "▁"
-#: A word is a run that starts at a space mark; no piece of more than marks holds one elsewhere.
-WORD = re.compile(rf"{SPACE}?[^{SPACE}]+|{SPACE}")
+#: A word is a whole run of space marks and what follows up to the next mark; a piece of more than marks holds one only in front.
+WORD = re.compile(rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
 UNKNOWN_PENALTY = 10.0
 
 

@@ -11,7 +11,7 @@ from tidemark.llm.mixing import mix
 from tidemark.llm.quality import keep_good
 from tidemark.llm.queries import PIECES, labelled_languages, table
 from tidemark.llm.sentencepieces import Pieces, encode
-from tidemark.llm.simhash import simhash_dedup
+from tidemark.llm.shingles import jaccard_dedup
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +25,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return simhash_dedup(docs)
+    """One document of each group of near copies: five-word shingles of Jaccard similarity 0.8."""
+    return jaccard_dedup(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

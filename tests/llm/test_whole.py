@@ -7,6 +7,7 @@ from conftest import DATA
 from test_corpus import groups_of, odd, slow_edits
 
 from tidemark.llm import lines as L
+from tidemark.llm import shingles as J
 from tidemark.llm import sentencepieces as SP
 
 
@@ -66,3 +67,31 @@ def test_pieces_across_runs_of_spaces(spark):
             score = sum(pieces.scores[names[i]][1] if i in names else 0.0 for i in ids) + coder.unknown * text.count("\n") * ("\n" not in pieces.scores)
             assert abs(score - best((SP.SPACE + text).replace(" ", SP.SPACE))) < 1e-3 and coder.decode(ids) == text
     assert coder.encode("x   y") == [pieces.scores[s][0] for s in ("▁x", "▁▁", "▁y")]
+
+
+def test_near_copies_by_jaccard(spark):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(500)]
+    texts = [None, " ", "one two", "One  two", "one two three"]
+    for n in (6, 30, 80, 250):
+        base = [rng.choice(words) for _ in range(n)]
+        for edits in (0, 1, 1, 2, 3, 4, 6):
+            line = list(base)
+            for _ in range(edits):
+                line[rng.randrange(n)] = rng.choice(words)
+            texts.append(" ".join(line))
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    rows += [(5, texts[5], "en", "s", len(texts[5])), (5, "other text under a used id", "en", "s", 26), (5, "Other text under a used id", "en", "s", 26), (None, "one two", "en", "s", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    tokens = [(r[1] or "").lower().split() for r in rows]
+    sets = [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t in tokens]
+    link = [(i, j) for i in range(len(rows)) for j in range(i) if tokens[i] == tokens[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    members: dict = {}
+    for g, r in zip(groups_of(len(rows), link), rows, strict=True):
+        members.setdefault(g, []).append(r)
+    got = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    want = sorted(min(r[0] for r in m if r[0] is not None) for m in members.values())
+    assert sorted(r.doc_id for r in got) == want and len(got) == len(members) < len(rows) - 10
+    assert all(sum(tuple(r) in m for r in got) == 1 for m in members.values())

@@ -94,7 +94,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, words: int = 4) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its group: one document of each group stays.
 
-    Rows that repeat that id all stay only if they are the same document listed twice; the first by text is kept.
+    Rows that repeat that id all stay, whatever their texts; ids are taken to be unique.
     Rows with a null id are one group by fingerprint like others and stay only if no other id is in it.
     """
     groups = simhash_groups(docs, id_col, text_col, radius, words)

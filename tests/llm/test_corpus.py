@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from conftest import DATA
@@ -18,6 +19,7 @@ from tidemark.llm.quality import keep_good, quality_scores
 from tidemark.llm.sharding import communication_matrix, shard_documents
 from tidemark.llm.simhash import covering_masks, fingerprint, simhash_dedup, simhash_groups
 from tidemark.llm.toxicity import fold, toxicity
+from tidemark.llm.words import split_lines, words_of
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -133,7 +135,8 @@ def test_lines(spark):
     docs = odd(spark, *texts)
     got = {(r.id, r.pos): r.keep for r in L.line_groups(docs, block_rows=4).collect()}
     all_lines = [(i, p, L.normalise(x.encode())) for i, t in enumerate(texts) for p, x in enumerate((t or "").split("\n")) if len(x.split()) >= 5]
-    sims = [int(L.line_simhashes([w], {})[0]) for _, _, w in all_lines]
+    hashed = [words_of([b" ".join(w)]) for _, _, w in all_lines]
+    sims = [int(L.line_simhashes(x.words, x.sizes)[0]) for x in hashed]
     n = len(all_lines)
     link = [(i, j) for i in range(n) for j in range(i) if all_lines[i][2] == all_lines[j][2] or (sims[i] ^ sims[j]).bit_count() <= 4 and slow_edits(all_lines[i][2], all_lines[j][2]) <= 0.2 * max(len(all_lines[i][2]), len(all_lines[j][2]))]
     root = groups_of(n, link)
@@ -155,6 +158,20 @@ def slow_edits(a, b):
     return row[-1]
 
 
+def test_lines_and_words_by_definition(monkeypatch):
+    texts = ["A b  c\n\nd E\x0bf", None, "", "  \n é x", "a\tB c", "d e F\nd\r\n", "long " * 400]
+    want = [(i, p, tuple(w)) for i, t in enumerate(texts) for p, x in enumerate((t or "").encode().split(b"\n")) if (w := x.lower().split())]
+    for size in (1 << 20, 4, 1):
+        monkeypatch.setattr("tidemark.llm.words.CHUNK_BYTES", size)
+        got = words_of(texts)
+        assert list(zip(got.row.tolist(), got.pos.tolist(), got.sizes.tolist(), strict=True)) == [(i, p, len(w)) for i, p, w in want]
+        names = {}
+        for (_, _, w), h, span in zip(want, got.h.tolist(), got.spans(), strict=True):
+            assert names.setdefault(w, h) == h and len(set(span.tolist())) == len(set(w))
+        assert len(set(names.values())) == len(names)
+        assert [x.row.tolist() for x in split_lines(pa.array(texts).slice(3, 3), by_line=False)][0][0] == 0
+
+
 def test_edit_distance():
     rng = random.Random(2)
     for _ in range(500):

@@ -139,13 +139,40 @@ def hamming_links(batches: Iterator[pa.RecordBatch], radius: int, masks: list[in
         yield from flush(*held[0])
 
 
+def stars(batches: Iterator[pa.RecordBatch], hold: int = 500_000) -> Iterator[pa.RecordBatch]:
+    """From edges (a, b) to edges (u, v) from each node to the least that it is connected to, over up to ``hold`` edges at a time."""
+
+    def contract(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        nodes, at = np.unique(np.r_[a, b], return_inverse=True)
+        i, j, root = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+        while True:
+            x, y = root[i], root[j]
+            if (x == y).all():
+                break
+            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+            while (root[root] != root).any():
+                root = root[root]
+        below = root != np.arange(len(nodes))
+        return batch(u=nodes[below], v=nodes[root[below]])
+
+    held, n = [], 0
+    for rows in batches:
+        held.append([c.to_numpy() for c in rows.columns])
+        n += rows.num_rows
+        if n > hold:
+            yield contract(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held, n = [], 0
+    if n:
+        yield contract(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) of every node in ``edges(a, b)``; component is the smallest node reachable.
+    """(node, component) of every node in ``edges(a, b)``, longs; component is the smallest node reachable.
 
-    Alternates large-star and small-star steps; both hang each node below the smallest neighbour known, so the
+    Each task first contracts the edges that lie in it. Then alternates large-star and small-star steps; both hang each node below the smallest neighbour known, so the
     number of rounds grows with the logarithm of the diameter and no group is ever gathered in a task.
     """
-    known = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    known = cut(edges.where("a <> b").select(F.col("a").cast("bigint"), F.col("b").cast("bigint")).mapInArrow(stars, "u bigint, v bigint").distinct())
     digest = [F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))]
     before = known.agg(*digest).first()
     for _ in range(max_rounds):

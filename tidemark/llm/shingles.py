@@ -6,65 +6,39 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import batch, connected_components, cut, texts_as_bytes
-from tidemark.llm.lines import _bitmap, _in_bitmap, _may_be_similar, line_sketches, similar_candidates
-from tidemark.llm.vectors import blocks, small_batches
+from tidemark.llm.common import batch, connected_components, cut
+from tidemark.llm.lines import _bitmap, _in_bitmap, _may_be_similar, first_seen, line_sketches, similar_candidates
+from tidemark.llm.vectors import block_pairs, blocks, small_batches
+from tidemark.llm.words import Lines, mixed, split_lines
 
 
-def text_hash(tokens: list[bytes]) -> int:
-    return xxhash.xxh64_intdigest(b" ".join(tokens), 0)
-
-
-def shingles(tokens: list[bytes], words: int) -> np.ndarray:
-    """Different 64-bit hashes, sorted, of the runs of ``words`` words; a shorter text is one run, no word gives none."""
-    if len(tokens) <= words:
-        return np.array([text_hash(tokens)] if tokens else [], np.uint64)
-    h = np.array([xxhash.xxh64_intdigest(w, 3) for w in tokens], np.uint64)
-    n = len(h) - words + 1
-    out = np.zeros(n, np.uint64)
+def shingles(texts: Lines, words: int) -> list[np.ndarray]:
+    """Of each text the different 64-bit hashes, sorted, of its runs of ``words`` words; a shorter text is one run."""
+    w, n = texts.words, len(texts.words)
+    rolled = np.zeros(n, np.uint64)
     for i in range(words):
-        out = (out ^ h[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-    return np.unique(out * np.uint64(0xBF58476D1CE4E5B9) ^ out >> np.uint64(32))
+        rolled[: n - i] = mixed(rolled[: n - i] ^ w[i:])
+    out, at = [], 0
+    for size, h in zip(texts.sizes.tolist(), texts.h, strict=True):
+        out.append(np.unique(rolled[at : at + size - words + 1]) if size > words else np.array([h]))
+        at += size
+    return out
 
 
-def _sets(words: int, hold: int = 200_000):
-    """Reader of (id, doc, text) for ``similar_candidates``: shingle sets of texts that another set can resemble, each once a task."""
+def _sets(words: int):
+    """Reader of (id, doc, text) for ``similar_candidates``: shingle sets of texts, each once a task while 500,000 are remembered."""
 
     def groups(batches: Iterator[pa.RecordBatch], least: float, handle) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        hs, sets, held = [], [], 0
-
-        def done() -> pa.RecordBatch | None:
-            sizes = np.array([len(x) for x in sets])
-            out = handle(np.array(hs, np.uint64).view(np.int64), np.concatenate(sets), sizes)
-            hs.clear(), sets.clear()
-            if len(seen) > 500_000:
-                seen.clear()
-            return out
-
         for b in batches:
-            for text in texts_as_bytes(b.column(2)):
-                tokens = text.lower().split()
-                h = text_hash(tokens)
-                if h in seen:
-                    continue
-                seen.add(h)
-                found = shingles(tokens, words)
-                if not len(found):
-                    continue
-                hs.append(h)
-                sets.append(found)
-                held += len(found)
-                if held > hold:
-                    yield done()
-                    held = 0
-        if hs:
-            yield done()
+            for texts in split_lines(b.column(2), by_line=False):
+                texts = texts.take(first_seen(texts.h, seen))
+                if len(texts.h):
+                    sets = shingles(texts, words)
+                    yield handle(texts.h.view(np.int64), np.concatenate(sets), np.array([len(x) for x in sets]))
 
     return groups
 
@@ -98,21 +72,13 @@ def text_groups(docs: DataFrame, text_col: str = "text", words: int = 5, least:
 
     def payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hs, packed = [], []
-            for t in texts_as_bytes(b.column(2)):
-                tokens = t.lower().split()
-                h = np.array([text_hash(tokens)], np.uint64).view(np.int64)
-                if _in_bitmap(seen, h)[0]:
-                    hs.append(h[0])
-                    packed.append(shingles(tokens, words).tobytes())
-            yield batch(h=pa.array(hs, pa.int64()), words=pa.array(packed, pa.binary()))
+            for texts in split_lines(b.column(2), by_line=False):
+                texts = texts.take(_in_bitmap(seen, texts.h.view(np.int64)))
+                yield batch(h=texts.h.view(np.int64), words=pa.array([x.tobytes() for x in shingles(texts, words)], pa.binary()))
 
     texts = rows.mapInArrow(payload, "h bigint, words binary").groupBy("h").agg(F.first("words").alias("words"))
     packed = cut(blocks(suspects.join(texts, "h"), ["cluster"], "h", ["h", "words"], block_rows))
-    one = packed.select("cluster", F.col("block").alias("b1"), F.col("members").alias("m1"))
-    two = packed.where("block > 0").select("cluster", F.col("block").alias("b2"), F.col("members").alias("m2"))
-    cross = one.join(two, "cluster").where("b1 < b2").select("m1", "m2")
-    alone = packed.select(F.col("members").alias("m1"), F.slice("members", 1, 0).alias("m2"))
+    alone, cross = packed.select(F.col("members").alias("m1"), F.slice("members", 1, 0).alias("m2")), block_pairs(packed, "cluster")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -138,7 +104,9 @@ def jaccard_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h = np.array([text_hash(t.lower().split()) for t in texts_as_bytes(b.column(2))], np.uint64).view(np.int64)
+            h = np.zeros(b.num_rows, np.int64)  # blank texts
+            for texts in split_lines(b.column(2), by_line=False):
+                h[texts.row] = texts.h.view(np.int64)
             yield batch(id=b.column(0), row=b.column(1), h=h)
 
     kind = docs.schema[id_col].dataType.simpleString()

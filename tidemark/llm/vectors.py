@@ -63,6 +63,16 @@ def blocks(df: DataFrame, keys: list[str], id_col: str, fields: list[str], block
     return dealt.groupBy(*keys, "block").agg(F.collect_list(F.struct(*fields)).alias("members"))
 
 
+def block_pairs(packed: DataFrame, *keys: str) -> DataFrame:
+    """(m1, m2) of each two different blocks of the same keys. The pairs of a key are listed first and each fetches its
+    blocks by number, so they are dealt over as many tasks as the key has blocks."""
+    most = packed.groupBy(*keys).agg(F.max("block").alias("last")).where("last > 0")
+    listed = most.select(*keys, F.explode(F.sequence(F.lit(1), F.col("last"))).alias("b2")).select(*keys, "b2", F.explode(F.sequence(F.lit(0), F.col("b2") - 1)).alias("b1"))
+    one = packed.select(*keys, F.col("block").alias("b1"), F.col("members").alias("m1"))
+    two = packed.select(*keys, F.col("block").alias("b2"), F.col("members").alias("m2"))
+    return listed.join(one, [*keys, "b1"]).join(two, [*keys, "b2"]).select("m1", "m2")
+
+
 # --- nearest neighbours ---------------------------------------------------------------------------------------------
 
 

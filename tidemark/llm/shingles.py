@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import batch, connected_components, cut
-from tidemark.llm.lines import _bitmap, _in_bitmap, _may_be_similar, first_seen, line_sketches, similar_candidates
+from tidemark.llm.lines import _bitmap, _in_bitmap, _may_be_similar, first_seen, line_sketches, shared, similar_candidates
 from tidemark.llm.vectors import block_pairs, blocks, small_batches
 from tidemark.llm.words import Lines, mixed, split_lines
 
@@ -53,7 +53,7 @@ def _verified(sets: list[np.ndarray], least: float) -> tuple[list[int], list[int
         while queue and len(rest):
             x = queue.pop()
             near = np.flatnonzero(_may_be_similar(n, sketch, rest, x, least, True))
-            both = [len(np.intersect1d(sets[x], sets[i], assume_unique=True)) for i in rest[near]]
+            both = [shared(sets[x], sets[i]) for i in rest[near]]
             hits = near[[b >= least * (n[x] + n[i] - b) - 1e-9 for b, i in zip(both, rest[near], strict=True)]] if len(near) else near
             left += [x] * len(hits)
             right += rest[hits].tolist()

@@ -139,31 +139,54 @@ def hamming_links(batches: Iterator[pa.RecordBatch], radius: int, masks: list[in
         yield from flush(*held[0])
 
 
-def stars(batches: Iterator[pa.RecordBatch], hold: int = 500_000) -> Iterator[pa.RecordBatch]:
-    """From edges (a, b) to edges (u, v) from each node to the least that it is connected to, over up to ``hold`` edges at a time."""
+def contracted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from each node to the least that the edges (a, b) connect it to."""
+    nodes, at = np.unique(np.r_[a, b], return_inverse=True)
+    i, j, root = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while True:
+        x, y = root[i], root[j]
+        if (x == y).all():
+            break
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+    below = root != np.arange(len(nodes))
+    return nodes[below], nodes[root[below]]
+
+
+class Forest:
+    """Edges added piece by piece; what they connect is kept by one edge a node."""
 
-    def contract(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        nodes, at = np.unique(np.r_[a, b], return_inverse=True)
-        i, j, root = at[: len(a)], at[len(a) :], np.arange(len(nodes))
-        while True:
-            x, y = root[i], root[j]
-            if (x == y).all():
-                break
-            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
-            while (root[root] != root).any():
-                root = root[root]
-        below = root != np.arange(len(nodes))
-        return batch(u=nodes[below], v=nodes[root[below]])
+    def __init__(self, hold: int = 500_000):
+        self._parts, self._n, self._hold = [], 0, hold
 
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        self._parts.append((a, b))
+        self._n += len(a)
+        if self._n > self._hold:
+            self.edges()
+            self._hold = max(self._hold, 2 * self._n)
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        none = np.zeros(0, np.int64)
+        self._parts = [contracted(*(np.concatenate(x) for x in zip((none, none), *self._parts, strict=True)))]
+        self._n = len(self._parts[0][0])
+        return self._parts[0]
+
+
+def stars(batches: Iterator[pa.RecordBatch], hold: int = 500_000) -> Iterator[pa.RecordBatch]:
+    """From edges (a, b) to edges (u, v) from each node to the least that it is connected to, over up to ``hold`` edges at a time."""
     held, n = [], 0
     for rows in batches:
         held.append([c.to_numpy() for c in rows.columns])
         n += rows.num_rows
         if n > hold:
-            yield contract(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            u, v = contracted(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield batch(u=u, v=v)
             held, n = [], 0
     if n:
-        yield contract(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        u, v = contracted(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        yield batch(u=u, v=v)
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -236,17 +236,31 @@ def test_nearest_neighbours(spark):
     assert V.nearest_neighbours(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
 
 
-@pytest.mark.parametrize("split", [False, True])
-def test_vector_duplicates(spark, monkeypatch, split):
+def test_neighbour_lists_are_whole(spark):
+    """Clusters whose lists hold fewer than k, repeated rows, two vectors of one id, and a null id."""
+    for seed in range(3):
+        rng = np.random.default_rng(seed)
+        n = 100 + 40 * seed
+        x = (rng.normal(size=(12, 16))[rng.integers(0, 12, n)] * 5 + rng.normal(size=(n, 16))).astype(np.float32)
+        rows = [(i, v.tolist()) for i, v in enumerate(x)]
+        rows += rows[:60] + [(0, x[5].tolist()), (None, x[0].tolist())]
+        got = V.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5), F.col("vec_id") % 25 == 0, recall=0.5).toPandas()
+        assert sorted(got.groupby("query_id").size().to_dict().items()) == [(0, 20)] + [(q, 10) for q in range(25, n, 25)]
+        assert not got[got.query_id != 0].duplicated(["query_id", "vec_id"]).any() and (got.query_id != got.vec_id).all()
+    few = spark.createDataFrame(rows[:4] * 2, "vec_id long, embedding array<float>")
+    assert V.nearest_neighbours(few, F.col("vec_id") == 0).select("vec_id").distinct().count() == 3 == V.nearest_neighbours(few, F.col("vec_id") == 0).count()
+
+
+@pytest.mark.parametrize("block_rows", [1024, 4, 1])
+def test_vector_duplicates(spark, block_rows):
     rng = np.random.default_rng(1)
     centre = rng.normal(size=(5, 32))
     x = np.concatenate([c + rng.normal(size=(40, 32)) * s for c, s in zip(centre, (0.05, 0.2, 0.25, 0.3, 1.0), strict=True)]).astype(np.float32)
     x[10:15] = x[9]
     label = [int(v) for v in rng.integers(0, 2, len(x))]
     rows = [(i, v.tolist(), l) for i, (v, l) in enumerate(zip(x, label, strict=True))] + [(900, None, 1), (901, [0.0] * 32, 1), (902, x[0].tolist(), None)]
-    if split:
-        monkeypatch.setattr(V, "bucket_plan", lambda count, threshold: (2, 40))
-    got = V.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), block_rows=16).toPandas().set_index("vec_id")
+    # Few rows a block make many cells (3 and 12), so the pruning of cells is at work.
+    got = V.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), block_rows=block_rows).toPandas().set_index("vec_id")
     y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
     ok = (y @ y.T >= 0.93) & (np.array(label)[:, None] == np.array(label))
     np.fill_diagonal(ok, False)

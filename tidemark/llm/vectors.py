@@ -57,7 +57,7 @@ def blocks(df: DataFrame, keys: list[str], id_col: str, fields: list[str], block
 
     Members are arrays of structs of ``fields``. A key with a third of all rows is many blocks, never one group.
     """
-    # Salting the count keeps a large key out of one task before its number of blocks is known.
+    # Counts are summed where the rows lie first; AQE splits the join with a large key's count.
     counts = df.groupBy(*keys).count().select(*keys, F.ceil(F.col("count") / block_rows).alias("_n"))
     dealt = df.join(counts, keys).withColumn("block", F.pmod(F.xxhash64(id_col, F.lit(7)), F.col("_n")).cast("int"))
     return dealt.groupBy(*keys, "block").agg(F.collect_list(F.struct(*fields)).alias("members"))
@@ -149,14 +149,16 @@ def nearest_neighbours(
     every row is indexed. Lists are cut into blocks, so is the set of queries of a list, and each pair of blocks is
     one piece of work. score is the Euclidean distance of the original vectors in double precision, ties go to the
     smaller id. Fewer than k candidates give them all; no usable row gives no row. Rows that share an id are
-    candidates of one another's queries only if their ids differ.
+    candidates of one another's queries only if their ids differ; rows equal in id and vector are one, and each
+    different vector of an id is a query of its own. Rows with a null id take no part, nor do vectors of another size
+    than the commonest. A query that finds fewer than k in its lists is answered from all of them. Extra columns are left out.
     """
     spark = vectors.sparkSession
-    good = vectors.where(usable(F.col(vector_col))).select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v"), F.coalesce(queries, F.lit(False)).alias("q"))
+    good = vectors.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull())
+    good = good.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(vector_col).alias("mark"), F.col(vector_col).alias("v"), F.coalesce(queries, F.lit(False)).alias("q"))
     size = common_size(good, "v")
     good = good.where(F.size("v") == size)
     count = good.count()
-    schema = "query_id bigint, vec_id bigint, score double"
     if not count:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     sample = matrix(good.select("v").orderBy(F.xxhash64("v", F.lit(seed))).limit(sample_rows).toArrow()["v"].combine_chunks(), size)
@@ -169,39 +171,56 @@ def nearest_neighbours(
             for b in batches:
                 for at in range(0, b.num_rows, 2048):
                     part = b.slice(at, 2048)
-                    lists = nearest_lists(matrix(part.column(1), size), centres, n).astype(np.int32)
-                    yield batch(id=part.column(0), v=part.column(1), lists=pa.array(list(lists)))
+                    lists = nearest_lists(matrix(part.column(2), size), centres, n).astype(np.int32)
+                    yield batch(id=part.column(0), mark=part.column(1), v=part.column(2), lists=pa.array(list(lists)))
 
         return run
 
     kind = "array<float>" if "float" in vectors.schema[vector_col].dataType.simpleString() else "array<double>"
-    placed = f"id bigint, v {kind}, lists array<int>"
-    stored = good.select("id", "v").mapInArrow(place(1), placed).select("id", "v", F.col("lists")[0].alias("list"))
-    asked = good.where("q").select("id", "v").mapInArrow(place(probes), placed).select("id", "v", F.explode("lists").alias("list"))
-    left = blocks(asked, ["list"], "id", ["id", "v"], 256).select("list", F.col("members").alias("asked"))
-    right = blocks(stored, ["list"], "id", ["id", "v"]).select("list", F.col("members").alias("stored"))
+    placed, fields = f"id bigint, mark bigint, v {kind}, lists array<int>", ["id", "mark", "v"]
+    stored = good.select(*fields).mapInArrow(place(1), placed).select(*fields, F.col("lists")[0].alias("list"))
+    asked = good.where("q").select(*fields).mapInArrow(place(probes), placed).select(*fields, F.explode("lists").alias("list"))
+    right = cut(blocks(stored, ["list"], "id", fields))
+    numbers = right.groupBy("list").agg(F.max("block").alias("last")).select("list", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("block"))
+
+    def members(x: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, marks and vectors of a block; rows equal in all lie in the same block and are one."""
+        ids, marks, v = x.field(0).to_numpy(), x.field(1).to_numpy(), matrix(x.field(2), size)
+        _, first = np.unique(np.stack([ids, marks]), axis=1, return_index=True)
+        return ids[first], marks[first], v[first]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                a, s = b.column(0)[i].values, b.column(1)[i].values
-                ask, ids = a.field(0).to_numpy(), s.field(0).to_numpy()
-                x, y = matrix(a.field(1), size), matrix(s.field(1), size)
+                ask, marks, x = members(b.column(0)[i].values)
+                ids, _, y = members(b.column(1)[i].values)
                 xr, yr = x @ turn, y @ turn
                 out: list[tuple] = []
-                for q, v, vr in zip(ask, x, xr, strict=True):
-                    rows = scan(vr, yr, k + 1)
+                for q, mark, v, vr in zip(ask, marks, x, xr, strict=True):
+                    rows = scan(vr, yr, k + int((ids == q).sum()))
                     rows = rows[ids[rows] != q]
                     score = np.sqrt(((y[rows] - v) ** 2).sum(axis=1))
                     best = np.lexsort((ids[rows], score))[:k]
-                    out.append((np.full(len(best), q), ids[rows][best], score[best]))
+                    out.append((np.full(len(best), q), np.full(len(best), mark), ids[rows][best], score[best]))
                 parts = [np.concatenate(c) for c in zip(*out, strict=True)]
-                yield batch(query_id=parts[0], vec_id=parts[1], score=parts[2])
-
-    with small_batches(spark):
-        found = cut(left.join(right, "list").select("asked", "stored").mapInArrow(search, schema))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                yield batch(query_id=parts[0], mark=parts[1], vec_id=parts[2], score=parts[3])
+
+    def answers(asked: DataFrame) -> DataFrame:
+        # Blocks of queries and of stored rows meet as pairs, dealt by list and block.
+        left = blocks(asked, ["list"], "id", fields, 256).select("list", F.col("members").alias("asked"))
+        pairs = left.join(numbers, "list").join(right, ["list", "block"]).select("asked", "members")
+        with small_batches(spark):
+            found = cut(pairs.mapInArrow(search, "query_id bigint, mark bigint, vec_id bigint, score double"))
+        rank = F.row_number().over(Window.partitionBy("query_id", "mark").orderBy("score", "vec_id"))
+        return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+    ranked = cut(answers(asked))
+    full = ranked.where(F.col("rank") == k).select("query_id", "mark")
+    short = good.where("q").join(full, (F.col("id") == F.col("query_id")) & (good["mark"] == full["mark"]), "left_anti").select(*fields)
+    if probes < len(centres) and not short.isEmpty():
+        every = answers(short.select(*fields, F.explode(F.sequence(F.lit(0), F.lit(len(centres) - 1))).alias("list")))
+        ranked = ranked.join(full, ["query_id", "mark"], "left_semi").select(*every.columns).unionByName(every)
+    return ranked.select("query_id", "rank", "vec_id", "score")
 
 
 # --- near duplicates ------------------------------------------------------------------------------------------------
@@ -214,7 +233,7 @@ def binary_codes(x: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return rotated.astype(np.float32), signs, np.abs(rotated).sum(axis=1) / math.sqrt(x.shape[1])
 
 
-def close_pairs(x: np.ndarray, y: np.ndarray, cx: tuple, cy: tuple, threshold: float, confidence: float = 4.0) -> np.ndarray:
+def close_pairs(x: np.ndarray, y: np.ndarray, cx: tuple, cy: tuple, threshold: float, confidence: float = 5.0) -> np.ndarray:
     """Which pairs of rows have a cosine of at least ``threshold``, as a boolean matrix.
 
     The code of a row of x times the rotated row of y, over the correction factor, estimates their cosine without
@@ -259,19 +278,22 @@ def spanning_edges(ok: np.ndarray) -> tuple[list[int], list[int]]:
     return left, right
 
 
-def bucket_plan(count: int, threshold: float, whole: int = 65_536, bucket: int = 8192, miss: float = 1e-4) -> tuple[int, int]:
-    """(bits, tables): a label of up to ``whole`` different vectors is one bucket. A larger one is split by sign bits
-    of further rotations into buckets of about ``bucket`` rows, in as many tables as keep the chance to miss a pair
-    just at the threshold below ``miss``."""
-    if count <= whole:
-        return 0, 1
-    bits = math.ceil(math.log2(count / bucket)) + 4
-    meet = (1 - math.acos(threshold) / math.pi) ** bits
-    return bits, math.ceil(math.log(miss) / math.log(1 - meet))
+def close_cells(pivots: np.ndarray, threshold: float):
+    """Filter of pairs of cells (label, a, b, most_a, most_b, ...): vectors lie within those angles of their pivots, so two
+    cells can hold a link only if their pivots' angle is at most both angles and that of the threshold together."""
+    unit = pivots / np.linalg.norm(pivots, axis=1, keepdims=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            i, j, p, q = (b.column(c).to_numpy() for c in range(1, 5))
+            angle = np.arccos(np.clip((unit[i] * unit[j]).sum(axis=1), -1, 1))
+            yield b.filter(pa.array(angle <= p + q + math.acos(threshold) + 1e-6))
+
+    return run
 
 
 def near_duplicate_vectors(
-    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, seed: int = 42, block_rows: int = BLOCK_ROWS
+    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, seed: int = 42, block_rows: int = BLOCK_ROWS, max_cells: int = 1024
 ) -> DataFrame:
     """One row per row of ``vectors``: (id_col, n_links, component_id, kept).
 
@@ -279,7 +301,12 @@ def near_duplicate_vectors(
     component_id is the smallest id that links reach, kept says it is the row's own. Unusable vectors, those of
     another size than the commonest and rows without label link with nothing. Equal vectors of a label are one
     class with a count, so copies aren't paired; classes are compared in pairs of bounded blocks, which return
-    counts and spanning edges instead of pairs. Rows with a null id get a null component of their own.
+    counts and spanning edges instead of pairs. Rows with a null id get a null component of their own, repeated rows
+    a row each; extra columns are left out.
+
+    Blocks lie in cells, a vector in that of its nearest pivot (up to ``max_cells`` vectors, those of least hash); only
+    pairs of blocks whose cells are too far apart for a link are left out, whatever a label's size. So no link is
+    lost to the search, but the work on one label whose cells all lie close grows with the square of its vectors.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("v"))
@@ -287,40 +314,41 @@ def near_duplicate_vectors(
     size = common_size(live, "v")
     live = live.where(F.size("v") == size)
     classes = cut(live.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
-    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    bits, tables = bucket_plan(largest, threshold)
     turn = rotation(size, seed) if size else np.zeros((0, 0))
-    planes = np.random.default_rng(seed + 1).normal(size=(tables, bits, size))
+    cells = min(max_cells, max(1, classes.count() // (16 * block_rows)))
+    chosen = classes.select("v").orderBy(F.xxhash64("v", F.lit(seed)), "rep").limit(cells).toArrow()["v"].combine_chunks()
+    pivots = matrix(chosen, size) if len(chosen) else np.ones((1, max(1, size)))
+    pivots = pivots / np.linalg.norm(pivots, axis=1, keepdims=True)
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = matrix(b.column(2), size)
-            keys = np.stack([((x @ p.T >= 0) * (1 << np.arange(bits))).sum(axis=1) if bits else np.zeros(len(x), int) for p in planes], axis=1)
-            yield batch(label=b.column(0), rep=b.column(1), v=b.column(2), copies=b.column(3), keys=pa.array(list(keys.astype(np.int32))))
+            nearness = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ pivots.T
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nearness.argmax(axis=1).astype(np.int32)), pa.array(np.arccos(np.clip(nearness.max(axis=1), -1, 1)))], names=["label", "rep", "v", "copies", "cell", "angle"])
 
     types = {f.name: f.dataType.simpleString() for f in classes.schema}
-    table = classes.select("label", "rep", "v", "copies").mapInArrow(keyed, f"label {types['label']}, rep bigint, v {types['v']}, copies bigint, keys array<int>")
-    table = table.select("*", F.posexplode("keys").alias("t", "key"))
-    packed = blocks(table, ["label", "t", "key"], "rep", ["rep", "v", "copies", "keys"], block_rows)
-    one = packed.select("label", "t", "key", F.col("block").alias("b1"), F.col("members").alias("m1"))
-    two = packed.select("label", "t", "key", F.col("block").alias("b2"), F.col("members").alias("m2"))
-    pairs = one.join(two, ["label", "t", "key"]).where("b1 <= b2").select("t", "b1", "b2", "m1", "m2")
+    table = cut(classes.select("label", "rep", "v", "copies").mapInArrow(placed, f"label {types['label']}, rep bigint, v {types['v']}, copies bigint, cell int, angle double"))
+    packed = cut(blocks(table, ["label", "cell"], "rep", ["rep", "v", "copies"], block_rows))
+    sized = packed.groupBy("label", "cell").agg(F.max("block").alias("last")).join(table.groupBy("label", "cell").agg(F.max("angle").alias("most")), ["label", "cell"])
+    side = lambda n: sized.select("label", F.col("cell").alias(f"c{n}"), F.col("most").alias(f"most{n}"), F.col("last").alias(f"last{n}"))
+    met = side(1).join(side(2), "label").where("c1 <= c2").select("label", "c1", "c2", "most1", "most2", "last1", "last2")
+    met = met.mapInArrow(close_cells(pivots, threshold), met.schema)
+    listed = met.select("label", "c1", "c2", "last2", F.explode(F.sequence(F.lit(0), F.col("last1"))).alias("b1"))
+    listed = listed.select("label", "c1", "c2", "b1", F.explode(F.sequence(F.lit(0), F.col("last2"))).alias("b2")).where("c1 < c2 or b1 <= b2")
+    part = lambda n: packed.select("label", F.col("cell").alias(f"c{n}"), F.col("block").alias(f"b{n}"), F.col("members").alias(f"m{n}"))
+    pairs = listed.join(part(1), ["label", "c1", "b1"]).join(part(2), ["label", "c2", "b2"]).select((F.expr("c1 = c2 and b1 = b2")).alias("same"), "m1", "m2")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                t, same = b.column(0)[i].as_py(), b.column(1)[i].as_py() == b.column(2)[i].as_py()
-                m, n = b.column(3)[i].values, b.column(4)[i].values
-                (ids, copies, keys), (ids2, copies2, keys2) = ((z.field(0).to_numpy(), z.field(2).to_numpy(), matrix(z.field(3), tables)) for z in (m, n))
+                same, m, n = b.column(0)[i].as_py(), b.column(1)[i].values, b.column(2)[i].values
+                (ids, copies), (ids2, copies2) = ((z.field(0).to_numpy(), z.field(2).to_numpy()) for z in (m, n))
                 x, y = matrix(m.field(1), size), matrix(n.field(1), size)
                 cx = binary_codes(x, turn)
                 ok = close_pairs(x, y, cx, cx if same else binary_codes(y, turn), threshold)
                 if same:
                     ok |= ok.T
                     np.fill_diagonal(ok, False)
-                if t:  # a pair counts in the first table where it meets
-                    p, q = np.nonzero(ok)
-                    ok[p, q] = ~(keys[p, :t] == keys2[q, :t]).any(axis=1)
                 links = ok @ copies2
                 left, right = spanning_edges(ok)
                 a, c, k = [ids[links > 0], ids[left]], [np.full((links > 0).sum(), -1), ids2[right]], [links[links > 0], np.zeros(len(left), int)]

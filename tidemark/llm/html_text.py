@@ -1,4 +1,4 @@
-"""Main text of web pages: tag rules, then removal of subtrees that recur across a host."""
+"""Main text of web pages: subtrees that recur across a host are counted by Spark and deleted; tag rules drop what doesn't recur."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import batch, cut
 
 # Element and word lists of the tag rules.
-RAW = {"script", "style", "textarea", "title", "iframe", "xmp", "noembed", "noframes", "noscript", "template", "svg", "math", "object", "select", "canvas", "audio", "video"}
+RAW = {"script", "style", "textarea", "title", "iframe", "xmp", "noembed", "noframes", "noscript", "template", "svg", "object", "select", "canvas", "audio", "video"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -67,14 +67,15 @@ def _dropped(tag: str, attrs: str) -> str:
 
 
 class Page:
-    """Blocks of text and the elements around them, after the tag rules.
+    """Blocks of text and the elements around them.
 
-    ``elements`` holds [tag, parent, hash of the subtree, characters]; ``blocks`` holds (element, text, link characters).
+    ``elements`` holds [tag, parent, hash of the subtree, characters that the tag rules leave, all characters];
+    ``blocks`` holds (element, text, link characters, whether the rules drop it).
     """
 
     def __init__(self, source: str):
-        self.elements: list[list] = [["#root", -1, 0, 0]]
-        self.blocks: list[tuple[int, str, int]] = []
+        self.elements: list[list] = [["#root", -1, 0, 0, 0]]
+        self.blocks: list[tuple[int, str, int, bool]] = []
         self._digests = [xxhash.xxh64()]
         self._stack, self._drops = [0], [""]
         self._line: list[str] = []
@@ -90,9 +91,11 @@ class Page:
             text = " ".join(html.unescape("".join(self._line)).split())
             if text:
                 at = self._stack[-1]
-                self.blocks.append((at, text, self._linked))
+                dropped = bool(self._drops[-1])
+                self.blocks.append((at, text, self._linked, dropped))
                 self._digests[at].update(text.encode("utf-8", "replace"))
-                self.elements[at][3] += len(text)
+                self.elements[at][3] += 0 if dropped else len(text)
+                self.elements[at][4] += len(text)
             self._line, self._linked = [], 0
 
     def _pop(self) -> None:
@@ -104,7 +107,8 @@ class Page:
         digest = self._digests[at].intdigest()
         self.elements[at][2] = digest
         self.elements[up][3] += self.elements[at][3]
-        if self.elements[at][3]:
+        self.elements[up][4] += self.elements[at][4]
+        if self.elements[at][4]:
             self._digests[up].update(f"<{tag} {digest}>".encode())
 
     def _close(self, tags: set[str] | tuple[str, ...], scope: set[str] | tuple[str, ...] = ()) -> None:
@@ -124,7 +128,7 @@ class Page:
             drop = "all"
         elif drop == "soft" or kind == "soft":
             drop = "" if tag in HEADINGS and any(self.elements[i][0] in ("article", "main") for i in self._stack) else "soft"
-        self.elements.append([tag, self._stack[-1], 0, 0])
+        self.elements.append([tag, self._stack[-1], 0, 0, 0])
         self._digests.append(xxhash.xxh64())
         self._stack.append(len(self.elements) - 1)
         self._drops.append(drop)
@@ -132,7 +136,7 @@ class Page:
     def _read(self, source: str) -> None:
         at, inline = 0, []  # inline: open inline elements that drop text, and links
         for m in iter(lambda: TAG.search(source, at), None):
-            if m.start() > at and not self._drops[-1] and "drop" not in inline:
+            if m.start() > at and "drop" not in inline:
                 self._text(source[at : m.start()], "a" in inline)
             at = m.end()
             if m[1]:
@@ -147,14 +151,14 @@ class Page:
                 continue
             tag, attrs = (m[2] or m[4] or "").lower(), m[3] or m[5] or ""
             if not tag:
-                if m[0].startswith("<![CDATA[") and not self._drops[-1]:
+                if m[0].startswith("<![CDATA["):
                     self._text(html.escape(m[0][9:-3], quote=False), False)
                 continue
             if tag in RAW and not attrs.endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.IGNORECASE).search(source, at)
                 at = end.end() if end else len(source)
             elif tag == "br" or tag in ("img", "wbr", "input") or tag in VOID and tag != "hr":
-                if tag == "br" and not self._drops[-1]:
+                if tag == "br":
                     self._line.append(" ")
             elif tag == "hr":
                 self._close({"p"})
@@ -171,7 +175,7 @@ class Page:
                 inline = [x for x in inline if x != "a"] + ["a"]
             elif tag == "span" and not attrs.endswith("/"):
                 inline.append("drop" if _dropped(tag, attrs) == "all" else "span")
-        if at < len(source) and not self._drops[-1]:
+        if at < len(source) and "drop" not in inline:
             self._text(source[at:], False)
 
     def _text(self, text: str, linked: bool) -> None:
@@ -195,20 +199,35 @@ class Page:
             best = -sizes["main"][1]
         return best, self._inside(best)
 
+    def _boxes(self) -> list[bool]:
+        """Which elements may be site furniture: not what holds the article, and in a page with a marked article boxes, not prose."""
+        root, up = self.main()[0], set()
+        at = root
+        while at >= 0:
+            up.add(at)
+            at = self.elements[at][1]
+        return [i not in up and e[4] > 0 and (not root or e[0] not in PROSE) and e[0] not in ("body", "html") for i, e in enumerate(self.elements)]
+
     def subtrees(self) -> list[int]:
-        """Hashes of the subtrees that may be site furniture: in a marked article only boxes, not prose; never what holds the article."""
-        root, inside = self.main()
-        return [_signed(e[2]) for i, e in enumerate(self.elements) if i > root and inside[i] and e[3] and (not root or e[0] not in PROSE) and e[0] not in ("body", "html")]
+        """Hashes of the subtrees that may be site furniture."""
+        return [_signed(e[2]) for e, box in zip(self.elements, self._boxes(), strict=True) if box]
 
     def body_hash(self) -> int:
-        return _signed(self.elements[self.main()[0]][2])
+        """A hash of the article as the rules leave it: pages that differ around it only are copies."""
+        inside = self.main()[1]
+        return _signed(xxhash.xxh64_intdigest("\n".join(text for at, text, _, dropped in self.blocks if inside[at] and not dropped).encode("utf-8", "replace")))
 
-    def text(self, templates: set[int]) -> str:
+    def read(self, templates: set[int]) -> tuple[str, int]:
+        """The main text, and how many blocks the templates took."""
         root, inside = self.main()
-        gone = [False] * len(self.elements)
-        for i, e in enumerate(self.elements):
-            gone[i] = not inside[i] or (i > 0 and inside[e[1]] and gone[e[1]]) or (i > root and e[0] not in ("body", "html") and (not root or e[0] not in PROSE) and _signed(e[2]) in templates)
-        return "\n\n".join(text for at, text, linked in self.blocks if not gone[at] and (root or linked < 0.7 * len(text)))
+        gone: list[bool] = []
+        for e, box in zip(self.elements, self._boxes(), strict=True):
+            gone.append((e[1] >= 0 and gone[e[1]]) or (box and _signed(e[2]) in templates))
+        kept = [text for at, text, linked, dropped in self.blocks if not (gone[at] or dropped) and inside[at] and (root or linked < 0.7 * len(text))]
+        return "\n\n".join(kept), sum(gone[at] for at, *_ in self.blocks)
+
+    def text(self, templates: set[int]) -> str:
+        return self.read(templates)[0]
 
 
 def _signed(x: int) -> int:
@@ -219,13 +238,16 @@ HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 5, min_share: float = 0.2, broadcast_rows: int = 200_000) -> DataFrame:
-    """One row per row of ``pages``: (id_col, url_col, text, n_chars).
-
-    First tag, role and class rules drop what isn't the article. Then the subtrees left are hashed and counted per
-    host, once for each distinct page body, so copies of a page don't make its article a template; those on at
-    least ``min_pages`` bodies and ``min_share`` of the host's are deleted. A host has so few of them that its list
-    is bounded by (subtrees of a page / min_share). Null or empty html gives an empty text; a null or odd url is host ''.
-    Repeated rows each get a row; extra columns are left out.
+    """One row per row of ``pages``: (id_col, url_col, text, n_chars, n_template_blocks).
+
+    The subtrees of all pages are hashed and counted per host, once for each distinct article, so copies of a page don't
+    make its article a template; those on at least ``min_pages`` articles and ``min_share`` of the host's are deleted
+    (n_template_blocks: the blocks of text that go with them). A host has so few of them that its list is bounded by
+    (subtrees of a page / min_share). Tag, role and class rules then drop what isn't the article and doesn't recur: changing
+    adverts, reader comments, sidebars of a host with few pages. Inside a marked article, recurring paragraphs, list items,
+    headings and cells stay, since near copies of an article share them; in a page without one, blocks that are links
+    for 70 % go. Null or empty html gives an empty text; a null or odd url is host ''; a null id is one like any other.
+    Repeated rows each get a row; extra columns are left out; no row gives no row.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), HOST, 1)).alias("host"), F.col(html_col).alias("html"))
 
@@ -250,9 +272,10 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [Page(source or "").text(set(t or ())) for source, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield batch(id=b.column(0), url=b.column(1), text=pa.array(texts, pa.string()), n_chars=pa.array(map(len, texts), pa.int64()))
+            read = [Page(source or "").read(set(t or ())) for source, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            texts, n = [x[0] for x in read], [x[1] for x in read]
+            yield batch(id=b.column(0), url=b.column(1), text=pa.array(texts, pa.string()), n_chars=pa.array(map(len, texts), pa.int64()), n_template_blocks=pa.array(n, pa.int64()))
 
     kind = pages.schema[id_col].dataType.simpleString()
-    found = rows.join(templates, "host", "left").select("id", "url", "html", "templates").mapInArrow(extract, f"id {kind}, url string, text string, n_chars bigint")
-    return found.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")
+    found = rows.join(templates, "host", "left").select("id", "url", "html", "templates").mapInArrow(extract, f"id {kind}, url string, text string, n_chars bigint, n_template_blocks bigint")
+    return found.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars", "n_template_blocks")

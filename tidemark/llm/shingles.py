@@ -1,4 +1,8 @@
-"""Near copies by exact Jaccard similarity of word shingles: candidates by shared rare shingles, none missed."""
+"""Near copies by exact Jaccard similarity of word shingles.
+
+Candidates are the pairs of the SimHash operator's covering tables, and those that share a rare shingle: two texts of
+similarity 0.8 differ in some 10 of 64 bits, which no covering of so few bits reaches with selective tables.
+"""
 
 from __future__ import annotations
 
@@ -12,20 +16,46 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import batch, connected_components, cut
 from tidemark.llm.lines import _bitmap, _in_bitmap, _may_be_similar, first_seen, line_sketches, shared, similar_candidates
 from tidemark.llm.vectors import block_pairs, blocks, small_batches
-from tidemark.llm.words import Lines, mixed, split_lines
+from tidemark.llm.simhash import near_links
+from tidemark.llm.words import Lines, bit_majorities, mixed, split_lines
 
 
-def shingles(texts: Lines, words: int) -> list[np.ndarray]:
-    """Of each text the different 64-bit hashes, sorted, of its runs of ``words`` words; a shorter text is one run."""
+def runs(texts: Lines, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of ``words`` words, repeats included, text by text, and how many each has; a shorter text is one run."""
     w, n = texts.words, len(texts.words)
     rolled = np.zeros(n, np.uint64)
     for i in range(words):
-        rolled[: n - i] = mixed(rolled[: n - i] ^ w[i:])
-    out, at = [], 0
-    for size, h in zip(texts.sizes.tolist(), texts.h, strict=True):
-        out.append(np.unique(rolled[at : at + size - words + 1]) if size > words else np.array([h]))
-        at += size
-    return out
+        rolled[: max(0, n - i)] = mixed(rolled[: max(0, n - i)] ^ w[i:])
+    first = np.cumsum(texts.sizes) - texts.sizes
+    short = texts.sizes <= words
+    rolled[first[short]] = texts.h[short]
+    counts = np.maximum(texts.sizes - words + 1, 1)
+    return rolled[np.arange(n) - np.repeat(first, texts.sizes) < np.repeat(counts, texts.sizes)], counts
+
+
+def shingles(texts: Lines, words: int) -> list[np.ndarray]:
+    """Of each text the different hashes of its runs of words, sorted."""
+    if not len(texts.sizes):
+        return []
+    hashes, counts = runs(texts, words)
+    return [np.unique(x) for x in np.split(hashes, np.cumsum(counts)[:-1])]
+
+
+def simhash_links(rows: DataFrame, words: int) -> DataFrame:
+    """Edges (a, b) of text hashes that connect what fingerprints within the SimHash operator's radius connect."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            for texts in split_lines(b.column(2), by_line=False):
+                texts = texts.take(first_seen(texts.h, seen))
+                if len(texts.h):
+                    yield batch(h=texts.h.view(np.int64), fp=bit_majorities(*runs(texts, words)).view(np.int64))
+
+    prints = cut(rows.mapInArrow(read, "h bigint, fp bigint").distinct())
+    near = connected_components(near_links(prints.select("fp").distinct()))
+    named = prints.join(near, prints["fp"] == near["node"], "left").select("h", F.coalesce("component", "fp").alias("c"))
+    return named.join(named.groupBy("c").agg(F.min("h").alias("least")), "c").where("h <> least").select(F.col("h").alias("a"), F.col("least").alias("b"))
 
 
 def _sets(words: int):
@@ -66,7 +96,8 @@ def text_groups(docs: DataFrame, text_col: str = "text", words: int = 5, least:
     """(h, g) of each normalised text's hash that Jaccard similarity at least ``least`` connects to another; g names the component."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.lit(0).alias("id"), F.xxhash64(text).alias("doc"), text.alias("text"))
-    cluster = connected_components(similar_candidates(rows, least, _sets(words), True)).select(F.col("node").alias("h"), F.col("component").alias("cluster"))
+    candidates = simhash_links(rows, words).unionByName(similar_candidates(rows, least, _sets(words), True))
+    cluster = connected_components(candidates).select(F.col("node").alias("h"), F.col("component").alias("cluster"))
     suspects = cut(cluster)
     seen = _bitmap(suspects, "h")
 
@@ -99,6 +130,7 @@ def jaccard_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Texts are near copies if the sets of their ``words``-word shingles have at least Jaccard similarity ``least``;
     groups are the connected components. Texts of equal words are one text; null and blank ones are all equal.
+    Rows equal in all columns count once; no row gives no row; extra columns stay as they are.
     """
     group = text_groups(docs, text_col, words, least)
 

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import batch, connected_components, cut
 from tidemark.llm.lines import _bitmap, _in_bitmap, _may_be_similar, first_seen, line_sketches, shared, similar_candidates
-from tidemark.llm.vectors import block_pairs, blocks, small_batches
 from tidemark.llm.simhash import near_links
+from tidemark.llm.vectors import block_pairs, blocks, small_batches
 from tidemark.llm.words import Lines, bit_majorities, mixed, split_lines
 
 
@@ -76,7 +76,7 @@ def _sets(words: int):
 def _verified(sets: list[np.ndarray], least: float) -> tuple[list[int], list[int]]:
     """Edges that connect what pairs of Jaccard similarity ``least`` connect; sets reached leave the rest at once."""
     n = np.array([len(x) for x in sets])
-    sketch = line_sketches(np.concatenate(sets), n)
+    sketch = line_sketches(np.concatenate(sets), n, 2048)
     left, right, rest = [], [], np.arange(len(sets))
     while len(rest) > 1:
         queue, rest = [rest[0]], rest[1:]

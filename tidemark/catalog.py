@@ -15,6 +15,8 @@ from tidemark.operators import recommend as R
 from tidemark.operators import sequences as Q
 from tidemark.operators import splits as T
 from tidemark.plans import views as V
+from tidemark.sources.stages import stage
+from tidemark.streaming import sessions as SS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,7 +46,8 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def split_of(spark: SparkSession, d: str) -> DataFrame:
-    return T.temporal_split(V.ratings(spark, d))
+    """The split ratings, made once: all branches of a query read the same written table."""
+    return stage(T.temporal_split(stage(V.ratings(spark, d))))
 
 
 @query(f"WITH {RT} SELECT * FROM ratings")
@@ -83,17 +86,6 @@ def b6_user_sample(spark, d):
     return T.sample_users(V.ratings(spark, d), 10)
 
 
-@query()
-def b7_fixed_sample(spark, d):
-    return T.fixed_sample(V.ratings(spark, d), 1000)
-
-
-@query()
-def b8_user_halves(spark, d):
-    rows = V.ratings(spark, d)
-    return T.split_users(rows, T.sample_users(rows, 10), 0.5)
-
-
 @query(f"""WITH {SPLIT}, w AS (SELECT DISTINCT user_id FROM split WHERE partition = 'train'), i AS (SELECT DISTINCT item_id FROM split WHERE partition = 'train')
 SELECT partition, count(*) AS n_rows, CAST(sum(label) AS bigint) AS n_positive, count(DISTINCT s.user_id) AS n_users, count(DISTINCT s.item_id) AS n_items, min(ts) AS start_ts, max(ts) AS end_ts,
 count(DISTINCT CASE WHEN w.user_id IS NULL THEN s.user_id END) AS cold_users, count(DISTINCT CASE WHEN i.item_id IS NULL THEN s.item_id END) AS new_items,
@@ -217,7 +209,7 @@ def d14_d17_user_metrics(spark, d):
 @query()
 def d18_d20_bootstrap(spark, d):
     _, _, relevant, _, recs = popular_lists(spark, d)
-    return E.bootstrap(E.per_user_metrics(recs, relevant), ["recall_10", "recall_100", "ndcg_10", "mrr"], 200)
+    return E.bootstrap(E.per_user_metrics(recs, relevant), ["recall_10", "recall_100", "ndcg_10", "mrr"])
 
 
 @query(f"""WITH {POPULAR}, c AS (SELECT i.item_id, count(r.user_id) AS c FROM (SELECT DISTINCT item_id FROM train) i LEFT JOIN (SELECT * FROM recs WHERE rank <= 10) r ON i.item_id = r.item_id GROUP BY i.item_id),
@@ -248,8 +240,7 @@ sim AS (SELECT i AS item_id, j AS other, c / (x.norm * y.norm + 10.0) AS similar
 
 @query(f"WITH {KNN}, top AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(similarity, 9) DESC, other) AS rn FROM sim) SELECT item_id, other, round(similarity, 9) AS similarity FROM top WHERE rn <= 20")
 def j6_item_knn(spark, d):
-    sim = R.item_knn(V.ratings(spark, d), 1 << 30)
-    return E.top_k(rounded(sim, 9), 20, "item_id", "similarity", "other").drop("rank")
+    return R.item_knn(stage(V.ratings(spark, d)), 20)
 
 
 @query(f"WITH {RT} SELECT a.item_id AS i, b.item_id AS j, count(*) AS n FROM ratings a JOIN ratings b ON a.user_id = b.user_id AND a.item_id < b.item_id GROUP BY ALL")
@@ -259,24 +250,25 @@ def c12_co_occurrence(spark, d):
 
 @query()
 def j7_ease(spark, d):
-    return rounded(R.ease(V.ratings(spark, d), 200), 6)
+    """The strongest 20 weights of each target item."""
+    return rounded(E.top_k(rounded(R.ease(V.ratings(spark, d)), 9), 20, "other", "similarity", "item_id"), 6)
 
 
 @query()
 def j8_implicit_als(spark, d):
     split, train = train_of(spark, d)
     relevant, _, _ = R.targets(split.where("partition = 'val'"), train)
-    return R.implicit_als(train, relevant.select("user_id").distinct(), 20, maxIter=3)
+    return R.implicit_als(train, relevant.select("user_id").distinct(), 20, maxIter=15)
 
 
 @query("""SELECT query_id, vec_id, CAST(rank AS integer) AS rank, round(score, 6) AS score FROM (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(CAST(q.embedding AS double[]), CAST(v.embedding AS double[])) AS score,
 row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(CAST(q.embedding AS double[]), CAST(v.embedding AS double[])), 9) DESC, v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id % 10 = 0 AND v.vec_id % 10 <> 0) x WHERE rank <= 10""")
 def j14_exact_inner_product(spark, d):
-    # The queries are a stated set against all rows; each executor meets them as a broadcast of checked size.
-    e = V.table(spark, d, "embeddings")
-    q = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    scores = e.where("vec_id % 10 <> 0").crossJoin(q).select("query_id", "vec_id", F.round(S.dot(F.col("q"), F.col("embedding")), 9).alias("score"))
-    return rounded(E.top_k(scores, 10, "query_id", "score", "vec_id").select("query_id", "vec_id", "rank", "score"))
+    vectors, queries = searches(spark, d)
+    asked = queries.select(F.col("query_id").alias("user_id"), F.transform("q", lambda x: x.cast("double")).alias("vector"))
+    none = asked.select("user_id", F.col("user_id").alias("item_id")).limit(0)
+    found = R.vector_lists(asked, vectors.withColumnRenamed("vec_id", "item_id"), none, 10)
+    return rounded(found.select(F.col("user_id").alias("query_id"), F.col("item_id").alias("vec_id"), "rank", "score"))
 
 
 @query(f"""WITH {RT}, o AS (SELECT *, md5(CAST(user_id AS varchar) || '-' || CAST(item_id AS varchar)) AS tie, row_number() OVER w AS pos, ts - lag(ts) OVER w AS gap FROM ratings WINDOW w AS (PARTITION BY user_id ORDER BY ts, md5(CAST(user_id AS varchar) || '-' || CAST(item_id AS varchar)), item_id))
@@ -291,12 +283,6 @@ def e7_e11_last_events(spark, d):
     return Q.last_events(Q.user_sequences(V.ratings(spark, d)), 20).select("user_id", F.array_join("tokens", ",").alias("tokens"))
 
 
-@query()
-def e8_training_windows(spark, d):
-    return Q.training_windows(Q.user_sequences(V.ratings(spark, d)), 20, 0)
-
-
-@query(f"WITH {RT} SELECT item_id, row_number() OVER (ORDER BY item_id) AS token FROM (SELECT DISTINCT item_id FROM ratings) q")
 def c15_catalog_tokens(spark, d):
     return Q.catalog_tokens(V.ratings(spark, d))
 
@@ -316,14 +302,11 @@ def d24_top_tags(spark, d):
     return Q.top_tags(tags, Q.tag_vocabulary(tags, 846_720_000, 50), 846_720_000).select("item_id", F.array_join("tag_ids", ",").alias("tag_ids"))
 
 
-@query(f"""WITH {EV} SELECT event_id, CAST(count(*) OVER w AS bigint) AS session_n_events, CAST(count(*) FILTER (rating >= 4) OVER w AS bigint) AS session_n_positive, round(avg(rating) OVER w, 6) AS session_mean_rating
+@query(f"""WITH {EV} SELECT event_id, CAST(count(*) OVER w AS bigint) AS session_n_events, CAST(count(*) FILTER (rating >= 4) OVER w AS bigint) AS session_n_positive, round(avg(rating) OVER w, 6) AS session_mean_rating,
+ CAST(max(ts * 100000 + item_id) OVER w % 100000 AS bigint) AS session_last_item_id, max(ts) OVER w AS session_last_ts
 FROM stream WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN 1799 PRECEDING AND CURRENT ROW)""")
 def e4_rolling_sessions(spark, d):
-    from tidemark.streaming.sessions import WINDOW_SECONDS
-
-    w = Window.partitionBy("user_id").orderBy("ts").rangeBetween(-WINDOW_SECONDS + 1, 0)
-    e = V.event_stream(spark, d)
-    return rounded(e.select("event_id", F.count("*").over(w).alias("session_n_events"), F.count_if(F.col("rating") >= 4).over(w).alias("session_n_positive"), F.avg("rating").over(w).alias("session_mean_rating")))
+    return rounded(SS.rolling_sessions(V.event_stream(spark, d)).drop("user_id", "item_id", "rating", "ts"))
 
 
 @query("SELECT event_type AS stage, count(value) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, max(value) AS max_ms FROM events GROUP BY event_type")
@@ -367,10 +350,9 @@ def j23_ranker_features(spark, d):
 
 @query()
 def k4_k8_drift(spark, d):
-    rows = V.ratings(spark, d)
+    split, rows = split_of(spark, d), stage(V.ratings(spark, d))
     feats = M.event_features(rows, P.snapshots(rows, P.standard("item")).select("item_id", "snapshot_day", "item_n_ratings_30d", "item_first_ts"), V.movies(spark, d))
-    last, day = rows.agg(F.max("ts")).first()[0], S.DAY_SECONDS
-    return rounded(M.drift_summary(feats.where((F.col("ts") >= last - 720 * day) & (F.col("ts") < last - 360 * day)), feats.where(F.col("ts") >= last - 360 * day)))
+    return rounded(M.drift_summary(*M.drift_windows(stage(feats), cutoff_of(split))))
 
 
 def sides(spark, d):
@@ -458,7 +440,7 @@ def d30_list_overlap(spark, d):
 def c5_d19_k9_paired_difference(spark, d):
     split, train, relevant, excluded, recs = popular_lists(spark, d)
     a, b = E.per_user_metrics(recs, relevant), E.per_user_metrics(recent_lists(split, train, relevant, excluded), relevant)
-    return E.paired_difference(a, b, "recall_100", replicates=200)
+    return E.paired_difference(a, b, "recall_100")
 
 
 @query(f"""WITH {POPULAR}, pos AS (SELECT item_id, count(*) AS np FROM train WHERE label = 1 GROUP BY item_id), s AS (SELECT r.user_id, r.item_id, CAST(r.rank AS integer) AS retrieval_rank, coalesce(np, 0) AS score FROM recs r LEFT JOIN pos USING (item_id))
@@ -562,3 +544,7 @@ def j18_index_quality(spark, d):
     exact = QUERIES["j14_exact_inner_product"](spark, d)
     reports = [E.recall_against_exact(R.inverted_list_search(vectors, queries, 10, probes=n), exact, 10).select(F.lit(n).alias("probes"), F.round("recall", 9).alias("recall")) for n in (1, 4, 10)]
     return reports[0].unionByName(reports[1]).unionByName(reports[2])
+
+
+# Registers the rest; it needs the names above.
+from tidemark import studies  # noqa: E402, F401

@@ -50,6 +50,12 @@ def tie_key(user: Column, item: Column) -> Column:
     return F.md5(F.concat_ws("-", user.cast("string"), item.cast("string")))
 
 
+def unit(*parts) -> Column:
+    """A steady number in [0, 1) from columns and constants."""
+    text = F.concat_ws("-", *[(p if isinstance(p, Column) else F.lit(p)).cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") / float(1 << 32)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
 

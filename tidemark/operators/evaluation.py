@@ -24,21 +24,25 @@ def per_user_metrics(recs: DataFrame, relevant: DataFrame, ks: tuple[int, ...] =
     return out.select("user_id", "n_relevant", *recall, *ndcg, F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("mrr"))
 
 
-def bootstrap(per_user: DataFrame, metrics: list[str], replicates: int = 1000, level: float = 0.95, seed: int = 42, by: str | None = None) -> DataFrame:
-    """(metric, n, mean, low, high): Poisson bootstrap over users.
+def bootstrap(per_user: DataFrame, metrics: list[str], replicates: int = 1000, level: float = 0.95, seed: int = 42, by: str | None = None, aggregate=None) -> DataFrame:
+    """(metric, n, mean, low, high): Poisson bootstrap over users; ``aggregate(value, weight)`` takes the place of the weighted mean.
 
     Each user draws a Poisson(1) weight for each replicate from a hash, and each partition sums its replicates:
     the shuffle carries partitions x replicates rows, whatever the number of users.
     """
-    long = per_user.select("user_id", *([F.col(by).alias("segment")] if by else [F.lit("all").alias("segment")]), *metrics).unpivot(["user_id", "segment"], metrics, "metric", "value")
+    wide = per_user.select("user_id", (F.col(by) if by else F.lit("all")).alias("segment"), *metrics)
     u = F.pmod(F.xxhash64(F.lit(seed), "user_id", "r"), F.lit(1 << 30)) / float(1 << 30)
     weight: Column = F.lit(8)
     for k, edge in reversed(list(enumerate((0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518, 0.99991675885, 0.99998975080)))):
         weight = F.when(u < edge, k).otherwise(weight)  # fixed values: the cumulative Poisson(1) law
-    runs = long.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", weight).groupBy("segment", "metric", "r").agg((F.sum(F.col("w") * F.col("value")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
+    # Users are repeated once for all metrics, and draw one weight for each replicate.
+    drawn = wide.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", weight)
+    mean = aggregate or (lambda value, w: F.sum(w * value) / F.nullif(F.sum(F.when(value.isNotNull(), w)), F.lit(0)))
+    runs = drawn.groupBy("segment", "r").agg(*[mean(F.col(m), F.col("w")).alias(m) for m in metrics]).unpivot(["segment", "r"], metrics, "metric", "m")
     tail = (1 - level) / 2
     ends = runs.groupBy("segment", "metric").agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"))
-    means = long.groupBy("segment", "metric").agg(F.count("value").alias("n"), F.avg("value").alias("mean"))
+    long = wide.unpivot(["user_id", "segment"], metrics, "metric", "value").withColumn("w", F.lit(1))
+    means = long.groupBy("segment", "metric").agg(F.count("value").alias("n"), mean(F.col("value"), F.col("w")).alias("mean"))
     out = means.join(ends, ["segment", "metric"]).select("segment", "metric", "n", "mean", "low", "high")
     return out.withColumnRenamed("segment", by) if by else out.drop("segment")
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import DAY_SECONDS, POSITIVE
+from tidemark.operators.evaluation import bootstrap, verdict
 from tidemark.operators.features import as_of_join
 
 NUMERIC = ["rating", "hour_utc", "item_log_n_ratings_30d", "item_age_days", "item_year"]
@@ -30,13 +31,21 @@ def event_features(events: DataFrame, item_snaps: DataFrame, movies: DataFrame)
 def wasserstein(reference: DataFrame, current: DataFrame, column: str) -> DataFrame:
     """(column, score): area between the two distribution functions over the reference's standard deviation.
 
-    Values are counted first; the running sums go over different values.
+    Values are counted first and fall into ranges between approximate quantiles; each range adds up its own steps, starting
+    from the counts of the ranges before it, and the gap between two ranges is added once. No task sees all values.
     """
     sides = reference.select(F.col(column).alias("x"), F.lit(1).alias("a")).unionByName(current.select(F.col(column).alias("x"), F.lit(0).alias("a"))).where("x is not null and not isnan(x)")
     counts = sides.groupBy("x").agg(F.sum("a").alias("na"), F.sum(1 - F.col("a")).alias("nb"))
-    w = Window.orderBy("x")
+    cuts = sorted(set(counts.approxQuantile("x", [i / 32 for i in range(1, 32)], 0.01)))
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("x"))) if cuts else F.lit(0)
+    placed = counts.withColumn("p", part)
+    edge = Window.orderBy("p")  # over a row a range
+    ranges = placed.groupBy("p").agg(F.min("x").alias("lo"), F.sum("na").alias("na"), F.sum("nb").alias("nb"))
     total = counts.agg(F.sum("na").alias("ta"), F.sum("nb").alias("tb"))
-    steps = counts.crossJoin(total).select((F.lead("x").over(w) - F.col("x")).alias("gap"), F.abs(F.sum("na").over(w) / F.col("ta") - F.sum("nb").over(w) / F.col("tb")).alias("d"))
+    starts = ranges.select("p", F.lead("lo").over(edge).alias("next"), (F.sum("na").over(edge) - F.col("na")).alias("a0"), (F.sum("nb").over(edge) - F.col("nb")).alias("b0")).crossJoin(total)
+    w = Window.partitionBy("p").orderBy("x")
+    area = F.abs((F.col("a0") + F.sum("na").over(w)) / F.col("ta") - (F.col("b0") + F.sum("nb").over(w)) / F.col("tb")).alias("d")
+    steps = placed.join(F.broadcast(starts), "p").select((F.coalesce(F.lead("x").over(w), "next") - F.col("x")).alias("gap"), area)
     spread = reference.agg(F.stddev_pop(column).alias("sd"))
     return steps.agg(F.sum(F.col("gap") * F.col("d")).alias("area")).crossJoin(spread).select(F.lit(column).alias("column"), (F.col("area") / F.greatest("sd", F.lit(0.001))).alias("score"))
 
@@ -52,12 +61,21 @@ def jensen_shannon(reference: DataFrame, current: DataFrame, column: str) -> Dat
 
 
 def drift_summary(reference: DataFrame, current: DataFrame, threshold: float = 0.1) -> DataFrame:
-    """(column, score, drifted) for all columns of ``event_features``."""
+    """(column, score, drifted, n_drifted, share_drifted) for all columns of ``event_features``."""
     parts = [wasserstein(reference, current, c) for c in NUMERIC] + [jensen_shannon(reference, current, c) for c in CATEGORICAL]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.withColumn("drifted", F.col("score") >= threshold)
+    flagged = out.withColumn("drifted", F.coalesce(F.col("score") >= threshold, F.lit(False)))
+    every = flagged.agg(F.count_if("drifted").alias("n_drifted"), F.avg(F.col("drifted").cast("double")).alias("share_drifted"))
+    return flagged.crossJoin(F.broadcast(every))
+
+
+def drift_windows(events: DataFrame, cutoff: int, days: int = 90) -> tuple[DataFrame, DataFrame]:
+    """Events of the ``days`` before the cutoff, and of the last ``days`` up to the newest event."""
+    end = events.agg(F.max("ts")).first()[0] or 0
+    span = days * DAY_SECONDS
+    return events.where((F.col("ts") >= cutoff - span) & (F.col("ts") < cutoff)), events.where((F.col("ts") > end - span) & (F.col("ts") <= end))
 
 
 def interleave(impressions: DataFrame, k: int, seed: int = 42) -> DataFrame:
@@ -96,6 +114,18 @@ def credit(shown: DataFrame, clicks: DataFrame) -> DataFrame:
     return hit.groupBy("impression_id").agg(*[F.count_if((F.col("team") == t) & (F.col("hit") == 1)).alias(f"clicks_{t.lower()}") for t in "AB"])
 
 
+def interleaving_outcome(credits: DataFrame, **options) -> DataFrame:
+    """Per-user clicks (user_id, clicks_a, clicks_b) to one row: users, wins of each team, clicks, share of B, and the interval of
+    the mean delta (B - A) / (A + B) over users that clicked, with a verdict on B."""
+    per_user = credits.groupBy("user_id").agg(F.sum("clicks_a").alias("a"), F.sum("clicks_b").alias("b")).where("a + b > 0")
+    per_user = per_user.withColumn("delta", (F.col("b") - F.col("a")) / (F.col("a") + F.col("b")))
+    counts = per_user.agg(
+        F.count("*").alias("users"), F.count_if(F.col("a") > F.col("b")).alias("wins_a"), F.count_if(F.col("b") > F.col("a")).alias("wins_b"), F.sum("a").alias("clicks_a"), F.sum("b").alias("clicks_b"),
+        (F.sum("b") / F.sum(F.col("a") + F.col("b"))).alias("share_b"),
+    )
+    return counts.crossJoin(bootstrap(per_user, ["delta"], **options).select(F.col("mean").alias("delta"), "low", "high")).withColumn("verdict", verdict())
+
+
 def capped_impressions(positives: DataFrame, per_user: int = 20) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "item_id")
     return positives.where(F.col("rating") >= POSITIVE).withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_user).drop("n")

@@ -6,12 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import DAY_SECONDS, POSITIVE, dot
 from tidemark.operators.evaluation import top_k
 from tidemark.operators.features import latest_per_key
+from tidemark.operators.sequences import global_rank
+from tidemark.sources.stages import stage
 
 
 def signal(history: DataFrame, kind: str = "all") -> DataFrame:
@@ -49,16 +52,12 @@ def recent_popularity(history: DataFrame, cutoff: int, days: int = 90, kind: str
 def popular_unseen(scores: DataFrame, users: DataFrame, seen: DataFrame, k: int) -> DataFrame:
     """The k best items that each user hasn't seen.
 
-    A user who has seen s items needs only the best k + s: the list to pair users with is cut at k + the longest
-    history, and each user takes its own part of it.
+    A user who has seen s items needs only the best k + s: users fetch those by place, so no list is held whole for them.
     """
     length = seen.groupBy("user_id").agg(F.count("*").alias("s"))
-    longest = length.agg(F.max("s")).first()[0] or 0
-    ranked = scores.orderBy(F.desc("score"), "item_id").limit(k + longest)
-    ranked = ranked.agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("minus"), "item_id"))).alias("all"))
-    need = users.join(length, "user_id", "left").crossJoin(F.broadcast(ranked))
-    rows = need.select("user_id", F.explode(F.slice("all", 1, (F.lit(k) + F.coalesce("s", F.lit(0))).cast("int"))).alias("x")).select("user_id", "x.item_id", (-F.col("x.minus")).alias("score"))
-    return top_k(rows.join(seen, ["user_id", "item_id"], "left_anti"), k)
+    ranked = global_rank(scores.withColumn("minus", -F.col("score")), "minus", "item_id").select("place", "item_id", "score")
+    need = users.join(length, "user_id", "left").select("user_id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(k) + F.coalesce("s", F.lit(0).cast("bigint")))).alias("place"))
+    return top_k(need.join(ranked, "place").drop("place").join(seen, ["user_id", "item_id"], "left_anti"), k)
 
 
 def co_occurrence(history: DataFrame, max_history: int | None = None) -> DataFrame:
@@ -75,10 +74,11 @@ def co_occurrence(history: DataFrame, max_history: int | None = None) -> DataFra
 def item_knn(history: DataFrame, neighbours: int = 200, shrink: float = 10.0, max_history: int | None = None) -> DataFrame:
     """(item_id, other, similarity): the most similar items by shrunk cosine over users."""
     norms = history.groupBy("item_id").agg(F.sqrt(F.count("*")).alias("norm"))
-    pairs = co_occurrence(history, max_history)
-    both = pairs.unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "n"))
-    sized = both.join(norms.select(F.col("item_id").alias("i"), F.col("norm").alias("ni")), "i").join(norms.select(F.col("item_id").alias("j"), F.col("norm").alias("nj")), "j")
-    sim = sized.select(F.col("i").alias("item_id"), F.col("j").alias("other"), (F.col("n") / (F.col("ni") * F.col("nj") + shrink)).alias("similarity"))
+    # Norms are joined before pairs are doubled, and the similarity rounded once: ties go to the smaller id.
+    sized = co_occurrence(history, max_history).join(norms.select(F.col("item_id").alias("i"), F.col("norm").alias("ni")), "i").join(norms.select(F.col("item_id").alias("j"), F.col("norm").alias("nj")), "j")
+    half = sized.select("i", "j", F.round(F.col("n") / (F.col("ni") * F.col("nj") + shrink), 9).alias("similarity"))
+    both = half.select(F.explode(F.array(F.struct(F.col("i").alias("item_id"), F.col("j").alias("other")), F.struct(F.col("j").alias("item_id"), F.col("i").alias("other")))).alias("p"), "similarity")
+    sim = both.select("p.item_id", "p.other", "similarity")
     return top_k(sim, neighbours, "item_id", "similarity", "other").drop("rank")
 
 
@@ -88,49 +88,114 @@ def score_by_similarity(history: DataFrame, similar: DataFrame, seen: DataFrame,
     return top_k(scores.join(seen, ["user_id", "item_id"], "left_anti"), k)
 
 
-def ease(history: DataFrame, max_items: int = 2000, l2: float = 500.0) -> DataFrame:
+def gram_blocks(history: DataFrame, index: DataFrame, l2: float, block: int) -> DataFrame:
+    """(bi, bj, m): X'X + l2 of users and items in dense blocks of ``block`` rows, as bytes; ``index`` is (item_id, at) from 0."""
+    pairs = co_occurrence(history)
+    sizes = history.groupBy("item_id").agg(F.count("*").alias("n")).select(F.col("item_id").alias("i"), F.col("item_id").alias("j"), (F.col("n") + F.lit(float(l2))).alias("n"))
+    cells = pairs.withColumn("n", F.col("n").cast("double")).unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("n").cast("double"))).unionByName(sizes)
+    at = lambda c: index.select(F.col("item_id").alias(c), F.col("at").alias(f"a{c}"))
+    placed = cells.join(at("i"), "i").join(at("j"), "j")
+    part = lambda c: F.floor(F.col(c) / block).cast("int")
+    packed = placed.groupBy(part("ai").alias("bi"), part("aj").alias("bj")).agg(F.collect_list(F.struct((F.col("ai") % block).alias("r"), (F.col("aj") % block).alias("c"), "n")).alias("cells"))
+    last = index.agg(F.coalesce(F.max(part("at")), F.lit(-1)).alias("last")).where("last >= 0")
+    grid = last.select("last", F.explode(F.sequence(F.lit(0), "last")).alias("bi")).select("bi", F.explode(F.sequence(F.lit(0), "last")).alias("bj"))
+
+    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                m = np.zeros((block, block))
+                if b.column(2)[i].is_valid:
+                    cell = b.column(2)[i].values
+                    m[cell.field(0).to_numpy(), cell.field(1).to_numpy()] = cell.field(2).to_numpy()
+                one = b.slice(i, 1)
+                if one.column(0)[0] == one.column(1)[0]:  # beyond the last item the matrix is the identity
+                    empty = np.flatnonzero(m.diagonal() == 0)
+                    m[empty, empty] = 1.0
+                yield pa.RecordBatch.from_pydict({"bi": one.column(0), "bj": one.column(1), "m": pa.array([m.tobytes()], pa.binary())})
+
+    return grid.join(packed, ["bi", "bj"], "left").mapInArrow(dense, "bi int, bj int, m binary")
+
+
+def block_inverse(blocks: DataFrame, n_blocks: int, block: int) -> DataFrame:
+    """(bi, bj, m): the inverse of a symmetric positive definite matrix in blocks, by block elimination.
+
+    One step a diagonal block: its row and column of blocks meet all others by joins, and each block is updated where it lies.
+    """
+
+    def step(k: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                out = []
+                for r in b.to_pylist():
+                    m, row, column, pivot = (np.frombuffer(r[x]).reshape(block, block) for x in ("m", "row", "column", "pivot"))
+                    inverse = np.linalg.inv(pivot)
+                    if r["bi"] == k and r["bj"] == k:
+                        m = inverse
+                    elif r["bi"] == k:
+                        m = inverse @ m
+                    elif r["bj"] == k:
+                        m = -m @ inverse
+                    else:
+                        m = m - column @ (inverse @ row)
+                    out.append(np.ascontiguousarray(m).tobytes())
+                yield pa.RecordBatch.from_pydict({"bi": b.column(0), "bj": b.column(1), "m": pa.array(out, pa.binary())})
+
+        return run
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark, before = blocks.sparkSession, blocks.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set(name, "8")
+    try:
+        now = stage(blocks)
+        for k in range(n_blocks):
+            row = now.where(F.col("bi") == k).select("bj", F.col("m").alias("row"))
+            column = now.where(F.col("bj") == k).select("bi", F.col("m").alias("column"))
+            pivot = F.broadcast(now.where((F.col("bi") == k) & (F.col("bj") == k)).select(F.col("m").alias("pivot")))  # one block
+            met = now.join(row, "bj").join(column, "bi").crossJoin(pivot).select("bi", "bj", "m", "row", "column", "pivot")
+            now = stage(met.mapInArrow(step(k), "bi int, bj int, m binary"))
+    finally:
+        spark.conf.set(name, before)
+    return now
+
+
+def ease(history: DataFrame, max_items: int = 20_000, l2: float = 500.0, block: int = 512) -> DataFrame:
     """(item_id, other, similarity): item-item ridge without self-weights, on the most popular items.
 
-    Column j solves the ridge of item j on the others. The Gram matrix has max_items squared numbers at most, so it
-    is broadcast; the targets are dealt over tasks.
+    With P the inverse of the Gram matrix plus l2, the weight of item i for item j is -P[i, j] / P[j, j]. The matrix is
+    built and inverted in blocks that only tasks hold.
     """
-    spark = history.sparkSession
     best = history.groupBy("item_id").count().orderBy(F.desc("count"), "item_id").limit(max_items)
-    kept = history.join(F.broadcast(best.select("item_id")), "item_id", "left_semi")
-    sizes = {r.item_id: r["count"] for r in best.collect()}
-    ids = np.array(sorted(sizes))
-    gram = np.zeros((len(ids), len(ids)))
-    for part in co_occurrence(kept).toLocalIterator():
-        i, j = np.searchsorted(ids, (part.i, part.j))
-        gram[i, j] = gram[j, i] = part.n
-    gram[np.diag_indices(len(ids))] = [sizes[i] + l2 for i in ids]
-    shared = spark.sparkContext.broadcast((ids, gram))
-
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, gram = shared.value
-        factor = np.linalg.cholesky(gram)
+    index = stage(global_rank(best.select("item_id"), "item_id").select("item_id", (F.col("place") - 1).alias("at")))
+    n = index.count()
+    kept = history.join(index.select("item_id"), "item_id", "left_semi").select("user_id", "item_id")
+    inverse = block_inverse(gram_blocks(kept, index, l2, block), -(-n // block), block)
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for j in np.searchsorted(ids, b["item_id"].to_numpy()):
-                e = np.zeros(len(ids))
-                e[j] = 1.0
-                p = np.linalg.solve(factor.T, np.linalg.solve(factor, e))  # column j of the inverse
-                w = -p / p[j]
-                w[j] = 0.0
-                yield pd.DataFrame({"item_id": ids, "other": ids[j], "similarity": w})[w != 0]
+            for r in b.to_pylist():
+                w = -np.frombuffer(r["m"]).reshape(block, block) / np.frombuffer(r["d"]).reshape(block, block).diagonal()
+                if r["bi"] == r["bj"]:
+                    w[np.diag_indices(block)] = 0
+                i, j = np.nonzero(w)
+                yield pa.RecordBatch.from_pydict({"ai": i + r["bi"] * block, "aj": j + r["bj"] * block, "similarity": w[i, j]})
 
-    return best.select("item_id").repartition(8).mapInPandas(solve, "item_id bigint, other bigint, similarity double")
+    diagonal = inverse.where("bi = bj").select("bj", F.col("m").alias("d"))
+    weights = inverse.join(diagonal, "bj").select("bi", "bj", "m", "d").mapInArrow(cells, "ai bigint, aj bigint, similarity double")
+    named = lambda c, name: index.select(F.col("at").alias(c), F.col("item_id").alias(name))
+    return weights.join(named("ai", "item_id"), "ai").join(named("aj", "other"), "aj").select("item_id", "other", "similarity")
 
 
-def implicit_als(history: DataFrame, users: DataFrame, k: int, rank: int = 16, seed: int = 42, **options) -> DataFrame:
-    """Lists from MLlib's implicit matrix factorization; already seen items taken out after asking for more."""
+def implicit_als(history: DataFrame, users: DataFrame, k: int, rank: int = 64, seed: int = 42, **options) -> DataFrame:
+    """Lists from MLlib's implicit matrix factorization: unseen items of largest inner product. Ids are numbered first, so long ones do."""
     from pyspark.ml.recommendation import ALS
 
-    rows = history.select(F.col("user_id").cast("int"), F.col("item_id").cast("int"), F.lit(1.0).alias("value"))
-    model = ALS(rank=rank, seed=seed, implicitPrefs=True, userCol="user_id", itemCol="item_id", ratingCol="value", coldStartStrategy="drop", **options).fit(rows)
-    most = history.groupBy("user_id").count().agg(F.max("count")).first()[0] or 0
-    lists = model.recommendForUserSubset(users.select(F.col("user_id").cast("int")), k + most)
-    scores = lists.select(F.col("user_id").cast("bigint").alias("user_id"), F.explode("recommendations").alias("r")).select("user_id", F.col("r.item_id").cast("bigint").alias("item_id"), F.col("r.rating").cast("double").alias("score"))
-    return top_k(scores.join(history.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti"), k)
+    us = stage(global_rank(history.select("user_id").distinct(), "user_id", name="u"))
+    its = stage(global_rank(history.select("item_id").distinct(), "item_id", name="i"))
+    rows = history.join(us, "user_id").join(its, "item_id").select(F.col("u").cast("int").alias("u"), F.col("i").cast("int").alias("i"), F.lit(1.0).alias("value"))
+    model = ALS(rank=rank, seed=seed, implicitPrefs=True, userCol="u", itemCol="i", ratingCol="value", coldStartStrategy="drop", **options).fit(rows)
+    wide = lambda f, names, c, to: f.join(names, f["id"] == names[c]).select(names.columns[0], F.transform("features", lambda x: x.cast("double")).alias(to))
+    vectors = wide(model.userFactors, us, "u", "vector").join(users, "user_id", "left_semi")
+    return vector_lists(vectors, wide(model.itemFactors, its, "i", "embedding"), history.select("user_id", "item_id"), k)
 
 
 def pooled_vectors(history: DataFrame, vectors: DataFrame) -> DataFrame:

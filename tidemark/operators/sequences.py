@@ -5,17 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import POSITIVE, gap_bucket, tie_key, year_bucket
+from tidemark.functions.scalars import POSITIVE, gap_bucket, log_inclusion, tie_key, unit, year_bucket
+
+
+def global_rank(df: DataFrame, first: str, *rest: str, name: str = "place", ranges: int = 64) -> DataFrame:
+    """``df`` plus each row's position, from 1, in the order of numeric column ``first`` and the rest.
+
+    Rows fall into ranges of ``first`` between its approximate quantiles, are numbered within their range, and shifted by
+    the sizes of the ranges before: no task sorts the whole table. Rows of one value of ``first`` share a range.
+    """
+    cuts = sorted(set(df.approxQuantile(first, [i / ranges for i in range(1, ranges)], 0.01)))
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(first))) if cuts else F.lit(0)
+    ranked = df.withColumn("_p", part).withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(first, *rest)))
+    sizes = df.groupBy(part.alias("_p")).agg(F.count("*").alias("n"))  # a row a range
+    starts = sizes.select("_p", (F.sum("n").over(Window.orderBy("_p")) - F.col("n")).alias("_start"))
+    return ranked.join(F.broadcast(starts), "_p").withColumn(name, F.col("_start") + F.col("_r")).drop("_p", "_r", "_start")
 
 
 def catalog_tokens(items: DataFrame) -> DataFrame:
-    """(item_id, token): position among the sorted items, from 1. Items are ranked within ranges that Spark samples,
-    then shifted by the sizes of the ranges before: no task sorts the whole catalog."""
-    ranged = items.select("item_id").distinct().repartitionByRange("item_id").withColumn("_p", F.spark_partition_id())
-    ranked = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy("item_id")))
-    starts = ranked.groupBy("_p").agg(F.count("*").alias("n"), F.min("item_id").alias("lo"))
-    starts = starts.withColumn("_start", F.sum("n").over(Window.orderBy("lo")) - F.col("n")).select("_p", "_start")
-    return ranked.join(F.broadcast(starts), "_p").select("item_id", (F.col("_start") + F.col("_r")).alias("token"))
+    """(item_id, token): position among the sorted items, from 1."""
+    return global_rank(items.select("item_id").distinct(), "item_id", name="token")
 
 
 def user_sequences(history: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
@@ -40,9 +49,9 @@ def training_windows(sequences: DataFrame, length: int, epoch: int, latest_share
 
     The window ends at the last event with probability ``latest_share``, else at a uniform one; both by hashes.
     """
-    unit = lambda salt: F.pmod(F.xxhash64(F.lit(seed), F.lit(epoch), F.lit(salt), "user_id"), F.lit(1 << 30)) / float(1 << 30)
+    draw = lambda salt: unit(seed, epoch, salt, F.col("user_id"))
     n = F.max("pos").over(Window.partitionBy("user_id"))
-    end = F.when(unit("latest") < latest_share, F.col("n")).otherwise(F.least(F.col("n"), 2 + F.floor(unit("end") * F.greatest(F.col("n") - 1, F.lit(1)))))
+    end = F.when(draw("latest") < latest_share, F.col("n")).otherwise(F.least(F.col("n"), 2 + F.floor(draw("end") * F.greatest(F.col("n") - 1, F.lit(1)))))
     rows = sequences.withColumn("n", n).where("n >= 2").withColumn("end", end).where((F.col("pos") <= F.col("end")) & (F.col("pos") >= F.col("end") - length))
     w = Window.partitionBy("user_id").orderBy("pos")
     out = rows.select("user_id", "pos", "token", "gap", F.lead("token").over(w).alias("next_token"), F.lead("positive").over(w).alias("next_positive"))
@@ -69,7 +78,47 @@ def item_content(movies: DataFrame, tags: DataFrame, vocabulary: DataFrame, cuto
 
 
 def negatives(positives: DataFrame, catalog: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """(user_id, item_id, token): n uniform catalog draws a positive, by hash; a user's own positives are masked."""
-    size = catalog.count()
-    drawn = positives.select("user_id", F.explode(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: 1 + F.pmod(F.xxhash64(F.lit(seed), "user_id", "item_id", k), F.lit(max(size, 1))))).alias("token"))
-    return drawn.join(catalog, "token").join(positives.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
+    """(user_id, item_id, token, log_q): n uniform catalog draws a positive, by hash; a user's own positives are masked.
+
+    log_q is the log probability that the item is among as many draws by its share of positives or uniform ones, by
+    which a sampled loss is corrected.
+    """
+    size, total = catalog.count(), positives.count()
+    place = 1 + F.floor(unit(seed, F.col("user_id"), F.col("item_id"), F.col("k")) * max(size, 1))
+    drawn = positives.select("user_id", "item_id", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("k")).select("user_id", place.cast("bigint").alias("token"))
+    share = positives.groupBy("item_id").agg((F.count("*") / float(max(total, 1))).alias("share"))
+    chances = catalog.join(share, "item_id", "left").select("item_id", "token", log_inclusion(F.least(F.coalesce("share", F.lit(0.0)), F.lit(1 - 1e-9)), 1, n, max(size, 2)).alias("log_q"))
+    return drawn.join(chances, "token").join(positives.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti").select("user_id", "item_id", "token", "log_q")
+
+
+def append_events(state: DataFrame, events: DataFrame, n: int) -> DataFrame:
+    """Serving state after new events (user_id, token, positive, gap, ts) in order of ``ts``: the last ``n`` events, newest last,
+    and the sorted set of tokens seen. Events that a user has seen, or older than the newest, change nothing.
+
+    State rows are (user_id, recent array of (ts, token, positive, gap), seen array of tokens, last_ts).
+    """
+    fresh = events.join(state.select("user_id", "seen", "last_ts"), "user_id", "left")
+    fresh = fresh.where((F.col("last_ts").isNull() | (F.col("ts") >= F.col("last_ts"))) & ~F.coalesce(F.array_contains("seen", F.col("token")), F.lit(False)))
+    once = fresh.groupBy("user_id", "token").agg(F.min(F.struct("ts", "token", "positive", "gap")).alias("e"))
+    added = once.groupBy("user_id").agg(F.sort_array(F.collect_list("e")).alias("new"))
+    both = state.join(added, "user_id", "full_outer")
+    recent = F.concat(F.coalesce("recent", F.array().cast("array<struct<ts:bigint,token:bigint,positive:int,gap:int>>")), F.coalesce("new", F.array().cast("array<struct<ts:bigint,token:bigint,positive:int,gap:int>>")))
+    kept = F.when(F.size(recent) > n, F.slice(recent, -n, n)).otherwise(recent)
+    seen = F.sort_array(F.array_union(F.coalesce("seen", F.array().cast("array<bigint>")), F.coalesce(F.transform("new", lambda e: e["token"]), F.array().cast("array<bigint>"))))
+    return both.select("user_id", kept.alias("recent"), seen.alias("seen"), F.greatest("last_ts", F.array_max(F.transform("new", lambda e: e["ts"]))).alias("last_ts"))
+
+
+def load_state(sequences: DataFrame, n: int) -> DataFrame:
+    """Serving state of a whole history (``user_sequences``): last ``n`` events, tokens seen, newest time."""
+    back = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("pos")))
+    event = F.struct("ts", F.col("token").cast("bigint").alias("token"), "positive", "gap")
+    rows = sequences.withColumn("b", back)
+    return rows.groupBy("user_id").agg(
+        F.transform(F.sort_array(F.collect_list(F.when(F.col("b") <= n, F.struct("pos", event.alias("e"))))), lambda x: x["e"]).alias("recent"),
+        F.sort_array(F.collect_set(F.col("token").cast("bigint"))).alias("seen"), F.max("ts").alias("last_ts"),
+    )
+
+
+def history_view(state: DataFrame) -> DataFrame:
+    """(user_id, place, token, ts): each user's last events, newest first from 1."""
+    return state.select("user_id", F.posexplode(F.reverse("recent")).alias("p", "e")).select("user_id", (F.col("p") + 1).alias("place"), F.col("e.token").alias("token"), F.col("e.ts").alias("ts"))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import DAY_SECONDS, POSITIVE, day_of
+from tidemark.functions.scalars import DAY_SECONDS, POSITIVE, day_of, unit
 
 
 def order_statistic(df: DataFrame, column: str, share: float) -> int | None:
@@ -40,7 +40,7 @@ def label() -> Column:
 
 def check_no_leakage(split: DataFrame) -> None:
     """Raise unless all partitions have rows, their times don't overlap, and no (user, item) repeats."""
-    seen = {r.partition: r for r in split.groupBy("partition").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).collect()}
+    seen = {r.partition: r for r in partition_bounds(split).collect()}
     if set(seen) != {"train", "val", "test"}:
         raise ValueError(f"empty partitions: {sorted({'train', 'val', 'test'} - set(seen))}")
     if not seen["train"].hi < seen["val"].lo or not seen["val"].hi < seen["test"].lo:
@@ -65,6 +65,9 @@ RATING_RULES = {
     "user_id": "user_id >= 0", "item_id": "item_id >= 0", "ts": "ts >= 0",
     "rating": "rating between 0.5 and 5.0 and rating * 2 = floor(rating * 2)",
 }
+MOVIE_RULES = {"item_id": "item_id >= 1", "title": "length(title) >= 1", "year": "year is null or year between 1870 and 2100", "genres": "genres is not null"}
+TAG_RULES = {"user_id": "user_id >= 1", "item_id": "item_id >= 1", "tag": "length(tag) >= 1", "ts": "ts >= 0"}
+LINK_RULES = {"item_id": "item_id >= 1", "imdb_id": "imdb_id is null or imdb_id >= 1", "tmdb_id": "tmdb_id is null or tmdb_id >= 1"}
 
 
 def sample_users(df: DataFrame, percent: int, seed: int = 42) -> DataFrame:
@@ -79,14 +82,38 @@ def sample_users(df: DataFrame, percent: int, seed: int = 42) -> DataFrame:
 
 def fixed_sample(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """n rows, by least hash of all columns; the same rows each time."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *df.columns), *df.columns).limit(n)
+    return df.orderBy(unit(seed, *map(F.col, df.columns)), *df.columns).limit(n)
 
 
 def split_users(users: DataFrame, excluded: DataFrame, share: float, seed: int = 42) -> DataFrame:
     """(user_id, half): users that aren't excluded; the share of least hash is 'second', the rest 'first'."""
     pool = users.select("user_id").distinct().join(excluded.select("user_id"), "user_id", "left_anti")
-    unit = F.pmod(F.xxhash64(F.lit(seed), "user_id"), F.lit(1 << 30)) / float(1 << 30)
-    return pool.withColumn("half", F.when(unit < share, "second").otherwise("first"))
+    return pool.withColumn("half", F.when(unit(seed, F.col("user_id")) < share, "second").otherwise("first"))
+
+
+def early_stop_users(evaluation: DataFrame, sample: DataFrame | None = None, seed: int = 42) -> DataFrame:
+    """Users on whom training is stopped: those of a sample's evaluation rows, else a seeded half of all."""
+    users = evaluation.select("user_id").distinct()
+    if sample is not None:
+        return users.join(sample.select("user_id").distinct(), "user_id", "left_semi")
+    return split_users(users, users.limit(0), 0.5, seed).where("half = 'second'").select("user_id")
+
+
+def partition_bounds(split: DataFrame) -> DataFrame:
+    """(partition, n_rows, lo, hi, repeated): its times, and how many of its rows have a (user, item) that occurs elsewhere."""
+    n = F.count("*").over(Window.partitionBy("user_id", "item_id"))
+    marked = split.select("partition", "ts", (n > 1).alias("again"))
+    return marked.groupBy("partition").agg(F.count("*").alias("n_rows"), F.min("ts").alias("lo"), F.max("ts").alias("hi"), F.count_if("again").alias("repeated"))
+
+
+def lineage_differences(a: dict[str, object], b: dict[str, object]) -> list[str]:
+    """Fields in which the lineage of two splits differs: they may be used together only if there is none."""
+    return sorted(k for k in a.keys() | b.keys() if a.get(k) != b.get(k))
+
+
+def check_compatible(a: dict[str, object], b: dict[str, object]) -> None:
+    if wrong := lineage_differences(a, b):
+        raise ValueError(f"the splits differ in {wrong}")
 
 
 def split_targets(targets: DataFrame, users: DataFrame) -> tuple[DataFrame, DataFrame]:

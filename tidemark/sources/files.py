@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,8 +45,15 @@ def read_links(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, files: int | None = None) -> None:
-    """Parquet that appears whole or not at all; ``files=1`` for tables known to be small."""
-    (df.coalesce(files) if files else df).write.mode("overwrite").parquet(path)
+    """Parquet that appears whole or not at all: written beside the path and renamed; ``files=1`` for tables known to be small."""
+    spark = df.sparkSession
+    beside = f"{path}.part-{uuid.uuid4().hex}"
+    (df.coalesce(files) if files else df).write.parquet(beside)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(hadoop(path), True)
+    if not fs.rename(hadoop(beside), hadoop(path)):
+        raise OSError(f"cannot move {beside} to {path}")
 
 
 def write_ordered(df: DataFrame, path: str, keys: list[str]) -> None:
@@ -69,10 +79,11 @@ FINGERPRINT = T.StructType().add("name", "string").add("length", "long").add("sh
 
 
 def fingerprint(spark: SparkSession, path: str) -> DataFrame:
-    """(name, length, sha256) of the data files below a path. Files are hashed where Spark reads them."""
+    """(name, length, sha256) of the data files below a path; names are paths from there. Files are hashed where Spark reads them."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    name = F.regexp_extract("path", r"([^/]+)$", 1)
-    return files.where(~name.startswith("_") & ~name.startswith(".")).select(name.alias("name"), "length", F.sha2("content", 256).alias("sha256"))
+    name = F.regexp_replace("path", r"^.*?" + re.escape(path.rstrip("/").split("/")[-1]) + r"/?", "")
+    last = F.regexp_extract("path", r"([^/]+)$", 1)
+    return files.where(~last.startswith("_") & ~last.startswith(".")).select(name.alias("name"), "length", F.sha2("content", 256).alias("sha256"))
 
 
 def manifest(files: DataFrame, stage: str, config: dict[str, str], seed: int) -> DataFrame:
@@ -81,6 +92,12 @@ def manifest(files: DataFrame, stage: str, config: dict[str, str], seed: int) ->
     return files.agg(F.count("*").alias("n_files"), digest.alias("digest")).withColumns({"stage": F.lit(stage), "seed": F.lit(seed), "config": F.to_json(F.create_map(*[F.lit(str(x)) for kv in sorted(config.items()) for x in kv])) if config else F.lit("{}")})
 
 
+def verify_files(now: DataFrame, recorded: DataFrame) -> None:
+    """Raise if a recorded file is missing or differs, or a new one is there."""
+    if wrong := changed_files(now, recorded).limit(5).collect():
+        raise ValueError(f"outputs changed: {[tuple(r) for r in wrong]}")
+
+
 def changed_files(now: DataFrame, recorded: DataFrame) -> DataFrame:
     """(name, problem) of files that are missing, new or different."""
     a, b = now.select("name", F.col("sha256").alias("now")), recorded.select("name", F.col("sha256").alias("recorded"))

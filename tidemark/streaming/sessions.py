@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import POSITIVE, tie_key
-from tidemark.operators.features import latest_per_key
 
 WINDOW_SECONDS = 30 * 60
 EVENT = "user_id bigint, item_id bigint, rating double, ts bigint"
@@ -43,16 +42,22 @@ def write_kafka(events: DataFrame, servers: str, topic: str) -> None:
 
 
 def _advance(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Session features after each event of a user. Older events and repeats of (ts, item) change nothing."""
-    held = list(zip(*state.get, strict=True)) if state.exists else []
-    rows = sorted((r for f in frames for r in f[["ts", "item_id", "rating"]].itertuples(index=False, name=None)), key=lambda r: r[0])
+    """Session features after each event of a user, in order of time and item. State maps (ts, item) to a rating; an event
+    behind the clock, or one that the map has, leaves it as it is."""
+    window = {(t, i): r for t, i, r in zip(*state.get, strict=True)} if state.exists else {}
+    clock = max((t for t, _ in window), default=None)
+    frame = pd.concat(frames).sort_values(["ts", "item_id"], kind="stable")
     out = []
-    for ts, item, rating in rows:
-        if not held or ts >= held[-1][0] and (ts, item) not in {h[:2] for h in held}:
-            held = [h for h in [*held, (ts, item, rating)] if h[0] > ts - WINDOW_SECONDS]
-        n = len(held)
-        out.append((key[0], ts, item, float(n), float(sum(h[2] >= POSITIVE for h in held)), sum(h[2] for h in held) / n, float(held[-1][1]), float(held[-1][0])))
-    state.update(tuple([h[i] for h in held] for i in range(3)))
+    for ts, item, rating in frame[["ts", "item_id", "rating"]].itertuples(index=False, name=None):
+        if clock is None or ts >= clock:
+            clock = ts
+            window.setdefault((ts, item), rating)
+            for old in [k for k in window if k[0] <= clock - WINDOW_SECONDS]:
+                del window[old]
+        ratings, newest = list(window.values()), max(window)
+        positive = sum(r >= POSITIVE for r in ratings)
+        out.append((key[0], ts, item, float(len(ratings)), float(positive), sum(ratings) / len(ratings), float(newest[1]), float(newest[0])))
+    state.update(([k[0] for k in window], [k[1] for k in window], list(window.values())))
     yield pd.DataFrame(out, columns=[c.split()[0] for c in SESSION.split(", ")])
 
 
@@ -62,7 +67,7 @@ def stream_sessions(events: DataFrame, catalog: DataFrame | None = None) -> Data
     State per user is the events of the last half hour, so it stays small however long the stream runs.
     """
     if catalog is not None:
-        events = events.join(F.broadcast(catalog.select("item_id").distinct()), "item_id", "left_semi")
+        events = events.join(catalog.select("item_id").distinct(), "item_id", "left_semi")
     return events.select("user_id", "item_id", "rating", "ts").groupBy("user_id").applyInPandasWithState(_advance, SESSION, STATE, "append", "NoTimeout")
 
 
@@ -73,14 +78,17 @@ def upsert_latest(path: str):
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        latest_per_key(batch, "user_id", "ts").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        # Of rows of one time the last has seen most events.
+        last = batch.groupBy("user_id").agg(F.max_by(F.struct(*batch.columns), F.struct("session_last_ts", "ts", "session_n_events", "session_last_item_id")).alias("r"))
+        last.select("r.*").write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
 
 
 def latest_sessions(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.parquet(path)
-    return rows.groupBy("user_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "batch"]), F.struct("ts", "batch")).alias("r")).select("r.*")
+    newest = F.struct("session_last_ts", "ts", "batch", "session_n_events")
+    return rows.groupBy("user_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "batch"]), newest).alias("r")).select("r.*")
 
 
 def batch_sessions(events: DataFrame) -> DataFrame:
@@ -88,12 +96,17 @@ def batch_sessions(events: DataFrame) -> DataFrame:
     unique = events.dropDuplicates(["user_id", "ts", "item_id"])
     last = Window.partitionBy("user_id")
     inside = unique.withColumn("end", F.max("ts").over(last)).where(F.col("ts") > F.col("end") - WINDOW_SECONDS)
+    newest = F.max(F.struct("ts", "item_id"))
     return inside.groupBy("user_id").agg(
-        F.max("ts").alias("ts"), F.count("*").cast("double").alias("session_n_events"), F.count_if(F.col("rating") >= POSITIVE).cast("double").alias("session_n_positive"), F.avg("rating").alias("session_mean_rating"),
+        F.max("ts").alias("ts"), newest["item_id"].cast("double").alias("session_last_item_id"), newest["ts"].cast("double").alias("session_last_ts"), F.count("*").cast("double").alias("session_n_events"), F.count_if(F.col("rating") >= POSITIVE).cast("double").alias("session_n_positive"), F.avg("rating").alias("session_mean_rating"),
     )
 
 
 def rolling_sessions(events: DataFrame) -> DataFrame:
-    """Session features as of each event, events of the same second included."""
+    """Events plus session features as of each, events of the same second included; of those the largest item id is the last."""
     w = Window.partitionBy("user_id").orderBy("ts").rangeBetween(-WINDOW_SECONDS + 1, 0)
-    return events.select("user_id", "item_id", "ts", F.count("*").over(w).alias("session_n_events"), F.count_if(F.col("rating") >= POSITIVE).over(w).alias("session_n_positive"), F.avg("rating").over(w).alias("session_mean_rating"))
+    last = F.max(F.struct("ts", "item_id")).over(w)
+    return events.select(
+        *events.columns, F.count("*").over(w).alias("session_n_events"), F.count_if(F.col("rating") >= POSITIVE).over(w).alias("session_n_positive"),
+        F.avg("rating").over(w).alias("session_mean_rating"), last["item_id"].alias("session_last_item_id"), last["ts"].alias("session_last_ts"),
+    )

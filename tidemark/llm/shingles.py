@@ -59,16 +59,17 @@ def simhash_links(rows: DataFrame, words: int) -> DataFrame:
 
 
 def _sets(words: int):
-    """Reader of (id, doc, text) for ``similar_candidates``: shingle sets of texts, each once a task while 500,000 are remembered."""
+    """Reader of (id, doc, text) for ``similar_candidates``: shingle sets of texts, each once a task while 200,000 are remembered."""
 
-    def groups(batches: Iterator[pa.RecordBatch], least: float, handle) -> Iterator[pa.RecordBatch]:
+    def groups(batches: Iterator[pa.RecordBatch], least: float, handle, plain: bool = False) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
             for texts in split_lines(b.column(2), by_line=False):
                 texts = texts.take(first_seen(texts.h, seen))
                 if len(texts.h):
                     sets = shingles(texts, words)
-                    yield handle(texts.h.view(np.int64), np.concatenate(sets), np.array([len(x) for x in sets]))
+                    tokens, sizes = np.concatenate(sets), np.array([len(x) for x in sets])
+                    yield handle(texts.h.view(np.int64), tokens, sizes) if plain else handle(texts.h.view(np.int64), tokens, sizes, tokens)
 
     return groups
 

@@ -1,7 +1,7 @@
 """Near copies by exact Jaccard similarity of word shingles.
 
-Candidates are the pairs of the SimHash operator's covering tables, and those that share a rare shingle: two texts of
-similarity 0.8 differ in some 10 of 64 bits, which no covering of so few bits reaches with selective tables.
+Candidates are the pairs of the SimHash operator's covering tables and those that agree in a band of minimum hashes: two
+texts of similarity 0.8 differ in some 10 of 64 bits, which no covering of so few bits reaches with selective tables.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import batch, connected_components, cut
-from tidemark.llm.lines import _bitmap, _in_bitmap, _may_be_similar, first_seen, line_sketches, shared, similar_candidates
+from tidemark.llm.lines import _bitmap, _in_bitmap, _may_be_similar, first_seen, line_sketches, shared
 from tidemark.llm.simhash import near_links
 from tidemark.llm.vectors import block_pairs, blocks, small_batches
 from tidemark.llm.words import Lines, bit_majorities, mixed, split_lines
@@ -58,20 +58,32 @@ def simhash_links(rows: DataFrame, words: int) -> DataFrame:
     return named.join(named.groupBy("c").agg(F.min("h").alias("least")), "c").where("h <> least").select(F.col("h").alias("a"), F.col("least").alias("b"))
 
 
-def _sets(words: int):
-    """Reader of (id, doc, text) for ``similar_candidates``: shingle sets of texts, each once a task while 200,000 are remembered."""
+def band_links(rows: DataFrame, words: int, bands: int = 25, depth: int = 5) -> DataFrame:
+    """Edges (a, b) of text hashes that connect texts which agree in all ``depth`` minimum hashes of one of ``bands`` bands.
 
-    def groups(batches: Iterator[pa.RecordBatch], least: float, handle, plain: bool = False) -> Iterator[pa.RecordBatch]:
+    A pair of similarity s is missed with a chance of (1 - s^depth)^bands: 5e-5 at 0.8, less above.
+    """
+    turns = np.random.default_rng(11).integers(1 << 62, 1 << 63, bands * depth, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
             for texts in split_lines(b.column(2), by_line=False):
                 texts = texts.take(first_seen(texts.h, seen))
-                if len(texts.h):
-                    sets = shingles(texts, words)
-                    tokens, sizes = np.concatenate(sets), np.array([len(x) for x in sets])
-                    yield handle(texts.h.view(np.int64), tokens, sizes) if plain else handle(texts.h.view(np.int64), tokens, sizes, tokens)
-
-    return groups
+                if not len(texts.h):
+                    continue
+                hashes, counts = runs(texts, words)
+                starts, keys = np.cumsum(counts) - counts, []
+                for band in range(bands):
+                    key = np.full(len(counts), band, np.uint64)
+                    for turn in turns[band * depth : (band + 1) * depth]:
+                        key = mixed(key ^ np.minimum.reduceat(hashes * turn, starts))
+                    keys.append(key.view(np.int64))
+                yield batch(key=np.concatenate(keys), h=np.tile(texts.h.view(np.int64), bands))
+
+    keyed = cut(rows.mapInArrow(read, "key bigint, h bigint"))
+    least = keyed.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most")).where("least <> most").select("key", "least")
+    return keyed.join(least, "key").where("h <> least").select(F.col("h").alias("a"), F.col("least").alias("b")).distinct()
 
 
 def _verified(sets: list[np.ndarray], least: float) -> tuple[list[int], list[int]]:
@@ -97,7 +109,7 @@ def text_groups(docs: DataFrame, text_col: str = "text", words: int = 5, least:
     """(h, g) of each normalised text's hash that Jaccard similarity at least ``least`` connects to another; g names the component."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.lit(0).alias("id"), F.xxhash64(text).alias("doc"), text.alias("text"))
-    candidates = simhash_links(rows, words).unionByName(similar_candidates(rows, least, _sets(words), True))
+    candidates = simhash_links(rows, words).unionByName(band_links(rows, words))
     cluster = connected_components(candidates).select(F.col("node").alias("h"), F.col("component").alias("cluster"))
     suspects = cut(cluster)
     seen = _bitmap(suspects, "h")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import batch, connected_components, cut
-from tidemark.llm.lines import _bitmap, _in_bitmap, _may_be_similar, first_seen, line_sketches, shared
+from tidemark.llm.lines import TEXTS_PER_BATCH, _bitmap, _in_bitmap, _may_be_similar, first_seen, line_sketches, shared
 from tidemark.llm.simhash import near_links
 from tidemark.llm.vectors import block_pairs, blocks, small_batches
 from tidemark.llm.words import Lines, bit_majorities, mixed, split_lines
@@ -145,7 +145,8 @@ def jaccard_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     groups are the connected components. Texts of equal words are one text; null and blank ones are all equal.
     Rows equal in all columns count once; no row gives no row; extra columns stay as they are.
     """
-    group = text_groups(docs, text_col, words, least)
+    with small_batches(docs.sparkSession, TEXTS_PER_BATCH):
+        group = text_groups(docs, text_col, words, least)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import batch, connected_components, cut
-from tidemark.llm.lines import TEXTS_PER_BATCH, _bitmap, _in_bitmap, _may_be_similar, first_seen, line_sketches, shared
+from tidemark.llm.lines import TEXTS_PER_BATCH, _bitmap, _differ, _in_bitmap, _may_be_similar, first_seen, line_sketches, shared
 from tidemark.llm.simhash import near_links
 from tidemark.llm.vectors import block_pairs, blocks, small_batches
 from tidemark.llm.words import Lines, bit_majorities, mixed, split_lines
@@ -89,13 +89,13 @@ def band_links(rows: DataFrame, words: int, bands: int = 25, depth: int = 5) ->
 def _verified(sets: list[np.ndarray], least: float) -> tuple[list[int], list[int]]:
     """Edges that connect what pairs of Jaccard similarity ``least`` connect; sets reached leave the rest at once."""
     n = np.array([len(x) for x in sets])
-    sketch = line_sketches(np.concatenate(sets), n, 2048)
+    sketch = line_sketches(np.concatenate(sets), n)
     left, right, rest = [], [], np.arange(len(sets))
     while len(rest) > 1:
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             x = queue.pop()
-            near = np.flatnonzero(_may_be_similar(n, sketch, rest, x, least, True))
+            near = np.flatnonzero(_may_be_similar(n, _differ(sketch, rest, x), rest, x, least, True))
             both = [shared(sets[x], sets[i]) for i in rest[near]]
             hits = near[[b >= least * (n[x] + n[i] - b) - 1e-9 for b, i in zip(both, rest[near], strict=True)]] if len(near) else near
             left += [x] * len(hits)

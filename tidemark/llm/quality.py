@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import batch, cut, least_hashed, texts_as_bytes
 from tidemark.llm.toxicity import logistic
 
+#: Texts of a batch that are copied out of it at once.
+TEXTS_AT_ONCE = 500
+
 _PUNCTUATION = [i for i in range(33, 127) if not chr(i).isalnum()]
 
 
@@ -37,6 +40,12 @@ def features(text: bytes | None) -> np.ndarray:
 N_FEATURES = len(features(b""))
 
 
+def feature_rows(texts: pa.Array) -> Iterator[np.ndarray]:
+    """Features of a column of texts, a few at a time, as arrays of a row a text."""
+    for i in range(0, len(texts), TEXTS_AT_ONCE):
+        yield np.stack([features(t) for t in texts_as_bytes(texts.slice(i, TEXTS_AT_ONCE))])
+
+
 @dataclass
 class QualityModel:
     mean: np.ndarray
@@ -57,7 +66,7 @@ def fit_quality(labelled: DataFrame, text_col: str = "text", label_col: str = "q
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [features(t).astype(np.float32) for t in texts_as_bytes(b.column(0))]
+            x = [row for rows in feature_rows(b.column(0)) for row in rows.astype(np.float32)]
             yield batch(y=b.column(1), x=pa.array(x, pa.list_(pa.float32())))
 
     rows = picked.join(ids, "id", "left_semi").select("text", "y").mapInArrow(run, "y double, x array<float>").toArrow()
@@ -114,7 +123,7 @@ def quality_scores(
 
     @F.arrow_udf("double")
     def logit(text: pa.Array) -> pa.Array:
-        return pa.array(model.logits(np.stack([features(t) for t in texts_as_bytes(text)])) if len(text) else [], pa.float64())
+        return pa.array([y for rows in feature_rows(text) for y in model.logits(rows)], pa.float64())
 
     p = 1 / (1 + F.exp(-logit(F.col(text_col))))
     groups = group_posteriors(docs.select(F.col(host_col).alias("host"), F.col(path_col).alias("path"), p.alias("p")))

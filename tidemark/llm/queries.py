@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.alignment import Tokenizers, alignment
 from tidemark.llm.common import least_hashed
 from tidemark.llm.html_text import main_text
 from tidemark.llm.lines import WHOLE, line_dedup
@@ -22,6 +23,9 @@ from tidemark.llm.vectors import near_duplicate_vectors, nearest_neighbours
 #: Where the public piece table lies; set TIDEMARK_PIECES for another place.
 PIECES = os.environ.get("TIDEMARK_PIECES", "file:///opt/tokenizers/piece_bpe_32k.model")
 
+#: The tokenizers to align: the byte-level one.
+BYTE_LEVEL = os.environ.get("TIDEMARK_BYTE_LEVEL", "file:///opt/tokenizers/byte_bpe_50k.json")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -78,11 +82,16 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.withColumnRenamed("id", "doc_id").drop("digest")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment(table(spark, sf_dir, "documents"), Tokenizers.load(spark, BYTE_LEVEL, PIECES), keep=["doc_id"])
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash, op2_html_text, op3_line_dedup, op4_quality, op5_nearest_neighbours,
-        op6_sharding, op7_sentencepiece, op8_vector_dedup, op9_toxicity, op10_mixing,
+        op6_sharding, op7_sentencepiece, op8_vector_dedup, op9_toxicity, op10_mixing, op11_token_alignment,
     )
 }
 

@@ -8,6 +8,7 @@ from tidemark.operators import evaluation as E
 from tidemark.operators import features as P
 from tidemark.operators import monitoring as M
 from tidemark.operators import recommend as R
+from tidemark.operators import trees as G
 from tidemark.operators import splits as T
 from tidemark.sources import files
 from tidemark.streaming import sessions as SS
@@ -84,19 +85,6 @@ def test_recommendation_checks(spark):
             T.check_recommendations(*args)
 
 
-def test_ease_equals_inverse_formula(spark):
-    import numpy as np
-
-    rng = np.random.default_rng(0)
-    x = (rng.random((40, 6)) < 0.4).astype(float)
-    x[0] = 1
-    rows = [(u, i, 5.0, u) for u in range(40) for i in range(6) if x[u, i]]
-    got = {(r.item_id, r.other): r.similarity for r in R.ease(ratings(spark, rows), 10, 2.0).collect()}
-    p = np.linalg.inv(x.T @ x + 2 * np.eye(6))
-    want = -p / np.diag(p)
-    assert all(got.get((i, j), 0.0) == pytest.approx(want[i, j]) for i in range(6) for j in range(6) if i != j)
-
-
 def test_interleaving_is_fair_and_unique(spark):
     rows = spark.createDataFrame([(i, list(range(10)), list(range(5, 15))) for i in range(200)], "impression_id long, a array<long>, b array<long>")
     got = M.interleave(rows, 6).toPandas()
@@ -149,9 +137,11 @@ def test_ingest_and_lineage(spark, tmp_path):
 
 
 def test_ranker_learns(spark):
-    rows = spark.range(3000).select((F.col("id") / 20).cast("long").alias("user_id"), F.rand(1).alias("f1"), F.rand(2).alias("f2")).withColumn("label", (F.col("f1") > 0.7).cast("int"))
-    model = R.train_ranker(rows, ["f1", "f2"], rows.where("user_id % 5 = 0").select("user_id").distinct(), 5)
-    assert model.stages[-1].featureImportances[0] > 0.9
+    rows = spark.range(3000).select((F.col("id") / 20).cast("long").alias("user_id"), F.col("id").alias("item_id"), F.lit(1).alias("retrieval_rank"), F.rand(1).alias("f1"), F.rand(2).alias("f2"))
+    wide = G.vectors(rows.withColumn("label", (F.col("f1") > 0.7).cast("int")), ["f1", "f2"])
+    model = G.fit_ranker(wide, wide.select("user_id").distinct().where("user_id % 5 = 0"), {"maxDepth": 3}, 5)
+    found = {r.feature: r.importance for r in G.importances(model, wide, ["f1", "f2"]).collect()}
+    assert found["f1"] > 9 * found["f2"]
 
 
 def test_fallback_sources(spark):
@@ -169,13 +159,3 @@ def test_vector_lists_skip_seen_break_ties_and_merge_blocks(spark):
     found = {(r.user_id, r["rank"]): r.item_id for r in R.vector_lists(users, items, seen, 3, block_rows=2).collect()}
     assert found == {(1, 1): 1, (1, 2): 2, (1, 3): 3, (2, 1): 5, (2, 2): 8, (2, 3): 1}
     assert R.vector_lists(users, items.limit(0), seen, 3).count() == 0
-
-
-def test_inverted_lists_find_nine_tenths_and_fall_back(spark):
-    e = spark.read.parquet(f"{DATA}/embeddings.parquet")
-    vectors, queries = e.where("vec_id % 10 <> 0").select("vec_id", "embedding"), e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    exact = R.inverted_list_search(vectors, queries, 10, probes=16)
-    assert E.recall_against_exact(R.inverted_list_search(vectors, queries, 10), exact, 10).first()[0] >= 0.9
-    many = vectors.count()
-    short = R.inverted_list_search(vectors, queries, many, probes=1).groupBy("query_id").count()
-    assert short.where(F.col("count") < many).count() == 0

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import label_bucket, unit
@@ -115,26 +116,29 @@ def history_segments(history: DataFrame, edges: list[int], labels: list[str]) ->
     return history.groupBy("user_id").agg(F.count("*").alias("n")).select("user_id", label_bucket(F.col("n"), edges, labels).alias("segment"))
 
 
-def ranker_lists(model, rows: DataFrame, k: int) -> DataFrame:
-    """Candidates in the order of a fitted ranker's probability."""
-    from pyspark.ml.functions import vector_to_array
+def system_table(lists: dict[str, DataFrame], relevant: DataFrame, ks: tuple[int, ...] = (10, 100)) -> DataFrame:
+    """(system, users, mean metrics) over all users with relevant items, a row a system."""
+    tables = []
+    for name, recs in lists.items():
+        metrics = E.per_user_metrics(recs, relevant, ks)
+        names = [c for c in metrics.columns if c not in ("user_id", "n_relevant")]
+        tables.append(metrics.agg(F.count("*").alias("users"), *[F.avg(c).alias(c) for c in names]).select(F.lit(name).alias("system"), "*"))
+    return reduce(DataFrame.unionByName, tables)
 
-    doubles = rows.withColumns({c: F.col(c).cast("double") for c, t in rows.dtypes if t == "float"})
-    scored = model.transform(doubles).withColumn("score", vector_to_array("probability")[1])
-    return R.rerank(scored.select("user_id", "item_id", "retrieval_rank", "score"), "score", k)
 
+def paired_systems(lists: dict[str, DataFrame], relevant: DataFrame, metric: str, **options) -> DataFrame:
+    """(a, b, interval and verdict of b - a) for each pair of systems, over the same users."""
+    k = int(metric.rsplit("_", 1)[1]) if "_" in metric else 100
+    per_user = {name: stage(E.per_user_metrics(recs, relevant, (k,))) for name, recs in lists.items()}
+    pairs = [(a, b) for n, b in enumerate(per_user) for a in list(per_user)[:n]]
+    found = [E.paired_difference(per_user[a], per_user[b], metric, **options).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "*") for a, b in pairs]
+    return reduce(DataFrame.unionByName, found)
 
-def ranker_lift(model, rows: DataFrame, relevant: DataFrame, k: int = 10, **options) -> DataFrame:
-    """Interval of NDCG@k of the ranker's order less that of the retrieval order, on the same users."""
-    users = relevant.join(rows.select("user_id").distinct(), "user_id", "left_semi")
-    before = E.per_user_metrics(rows.select("user_id", "item_id", F.col("retrieval_rank").alias("rank")), users, (k,))
-    after = E.per_user_metrics(ranker_lists(model, rows, k), users, (k,))
-    return E.paired_difference(stage(before), stage(after), f"ndcg_{k}", **options)
 
-
-def importances(model, features: list[str]) -> DataFrame:
-    """(feature, importance) of a fitted tree ensemble: its share of the gain over all splits."""
-    return SparkSession.getActiveSession().createDataFrame(list(zip(features, map(float, model.stages[-1].featureImportances.toArray()), strict=True)), "feature string, importance double")
+def variants(lists: dict[str, DataFrame], k: int) -> DataFrame:
+    """(variant, user_id, item_id, rank): what each system shows each user."""
+    shown = [recs.where(F.col("rank") <= k).select(F.lit(name).alias("variant"), "user_id", "item_id", F.col("rank").cast("int").alias("rank")) for name, recs in lists.items()]
+    return reduce(DataFrame.unionByName, shown)
 
 
 def aligned_items(catalog: DataFrame, attributes: DataFrame) -> DataFrame:

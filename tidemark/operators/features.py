@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import DAY_SECONDS, POSITIVE, day_of, smoothed
+from tidemark.sources.stages import stage
 
 MERGE = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
 
@@ -83,16 +84,50 @@ def snapshots(events: DataFrame, spec: FeatureTable, from_day: int | None = None
     return out.withColumn("event_timestamp", F.timestamp_seconds(F.col("snapshot_day") * DAY_SECONDS)).drop("due")
 
 
-def as_of_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, columns: list[str]) -> DataFrame:
+#: Keys of more than one in so many of all rows are cut into ranges of time; there are fewer of them than this number.
+LONG_KEYS = 100_000
+RANGES = 256
+
+
+def time_ranges(rows: DataFrame, key: str, time: str, segment_rows: int) -> DataFrame | None:
+    """(key, cuts) of the keys with more than ``segment_rows`` rows: approximate quantiles of their times; none without such keys.
+
+    The result is small: with ``segment_rows`` or a hundred-thousandth of all rows, whichever is more, a key must have.
+    """
+    limit = max(segment_rows, rows.count() // LONG_KEYS)
+    shares = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
+    long = stage(rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > limit).select(key))
+    if long.limit(1).count() == 0:
+        return None
+    theirs = rows.join(F.broadcast(long), key)
+    return stage(theirs.groupBy(key).agg(F.array_sort(F.array_distinct(F.percentile_approx(time, shares, F.lit(10_000)))).alias("cuts")))
+
+
+def as_of_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, columns: list[str], segment_rows: int = 1_000_000) -> DataFrame:
     """``left`` with the columns of the latest ``right`` row of the same key at or before its time; nulls without one.
 
-    One union, one sort per key, one running last: no pairs are made, whatever the number of snapshots.
+    One union, one sort per key, one running last: no pairs are made, whatever the number of snapshots. A long key is cut into
+    ranges of time, each sorted by a task of its own; the last value of the ranges before one is put in front of it. A null
+    key or time finds nothing; of ``right`` rows that are equal in key and time any one counts.
     """
-    ours = left.withColumns({"_t": F.col(left_time), "_k": F.lit(1), "_row": F.struct(*left.columns), "_hit": F.lit(None).cast(right.select(F.struct(*columns)).schema[0].dataType)})
-    theirs = right.select(key, F.col(right_time).alias("_t"), F.lit(0).alias("_k"), F.struct(*columns).alias("_hit"))
-    both = ours.select(key, "_t", "_k", "_row", "_hit").unionByName(theirs, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy("_t", "_k").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("_hit", F.last("_hit", ignorenulls=True).over(w)).where("_k = 1")
+    wanted = right.select(F.struct(*columns)).schema[0].dataType
+    ours = left.select(key, F.col(left_time).alias("_t"), F.lit(1).alias("_k"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(wanted).alias("_hit"))
+    theirs = right.select(key, F.col(right_time).alias("_t"), F.lit(0).alias("_k"), F.struct(*columns).alias("_hit")).where(F.col(key).isNotNull() & F.col("_t").isNotNull())
+    both = stage(ours.unionByName(theirs, allowMissingColumns=True))
+    ranges = time_ranges(both.select(key, "_t"), key, "_t", segment_rows)
+    if ranges is None:
+        parted = both.withColumn("_part", F.lit(0))
+    else:
+        cuts = F.broadcast(ranges)
+        parted = both.join(cuts, key, "left").withColumn("_part", F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("_t"))), F.lit(0))).drop("cuts")
+        parted = parted.withColumn("_part", F.greatest("_part", F.lit(0)))
+        last = parted.where("_k = 0").join(F.broadcast(ranges.select(key)), key).groupBy(key, "_part").agg(F.max_by("_hit", "_t").alias("_hit"))
+        grid = ranges.select(key, F.explode(F.sequence(F.lit(0), F.size("cuts"))).alias("_part"))  # RANGES rows a key at most
+        before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        carried = grid.join(last, [key, "_part"], "left").withColumn("_hit", F.last("_hit", ignorenulls=True).over(before))
+        parted = parted.unionByName(carried.where("_hit is not null").withColumn("_k", F.lit(-1)), allowMissingColumns=True)
+    w = Window.partitionBy(key, "_part").orderBy(F.col("_t").asc_nulls_first(), "_k").rowsBetween(Window.unboundedPreceding, 0)
+    found = parted.withColumn("_hit", F.last("_hit", ignorenulls=True).over(w)).where("_k = 1")
     return found.select("_row.*", *[F.col(f"_hit.{c}").alias(c) for c in columns])
 
 

@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import DAY_SECONDS, POSITIVE, dot
+from tidemark.functions.scalars import DAY_SECONDS, POSITIVE
 from tidemark.operators.evaluation import top_k
 from tidemark.operators.features import latest_per_key
+from tidemark.operators.pairs import co_occurrence
 from tidemark.operators.sequences import global_rank
 from tidemark.sources.stages import stage
 
@@ -60,17 +60,6 @@ def popular_unseen(scores: DataFrame, users: DataFrame, seen: DataFrame, k: int)
     return top_k(need.join(ranked, "place").drop("place").join(seen, ["user_id", "item_id"], "left_anti"), k)
 
 
-def co_occurrence(history: DataFrame, max_history: int | None = None) -> DataFrame:
-    """(i, j, n): users that have both items, i < j. Pairs grow with the square of a history; all of it counts unless
-    ``max_history`` asks for a user's latest items only."""
-    rows = history.select("user_id", "item_id")
-    if max_history:
-        recent = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), "item_id"))
-        rows = history.withColumn("_r", recent).where(F.col("_r") <= max_history).select("user_id", "item_id")
-    a, b = rows.withColumnRenamed("item_id", "i"), rows.withColumnRenamed("item_id", "j")
-    return a.join(b, "user_id").where("i < j").groupBy("i", "j").agg(F.count("*").alias("n"))
-
-
 def item_knn(history: DataFrame, neighbours: int = 200, shrink: float = 10.0, max_history: int | None = None) -> DataFrame:
     """(item_id, other, similarity): the most similar items by shrunk cosine over users."""
     norms = history.groupBy("item_id").agg(F.sqrt(F.count("*")).alias("norm"))
@@ -88,103 +77,6 @@ def score_by_similarity(history: DataFrame, similar: DataFrame, seen: DataFrame,
     return top_k(scores.join(seen, ["user_id", "item_id"], "left_anti"), k)
 
 
-def gram_blocks(history: DataFrame, index: DataFrame, l2: float, block: int) -> DataFrame:
-    """(bi, bj, m): X'X + l2 of users and items in dense blocks of ``block`` rows, as bytes; ``index`` is (item_id, at) from 0."""
-    pairs = co_occurrence(history)
-    sizes = history.groupBy("item_id").agg(F.count("*").alias("n")).select(F.col("item_id").alias("i"), F.col("item_id").alias("j"), (F.col("n") + F.lit(float(l2))).alias("n"))
-    cells = pairs.withColumn("n", F.col("n").cast("double")).unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("n").cast("double"))).unionByName(sizes)
-    at = lambda c: index.select(F.col("item_id").alias(c), F.col("at").alias(f"a{c}"))
-    placed = cells.join(at("i"), "i").join(at("j"), "j")
-    part = lambda c: F.floor(F.col(c) / block).cast("int")
-    packed = placed.groupBy(part("ai").alias("bi"), part("aj").alias("bj")).agg(F.collect_list(F.struct((F.col("ai") % block).alias("r"), (F.col("aj") % block).alias("c"), "n")).alias("cells"))
-    last = index.agg(F.coalesce(F.max(part("at")), F.lit(-1)).alias("last")).where("last >= 0")
-    grid = last.select("last", F.explode(F.sequence(F.lit(0), "last")).alias("bi")).select("bi", F.explode(F.sequence(F.lit(0), "last")).alias("bj"))
-
-    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                m = np.zeros((block, block))
-                if b.column(2)[i].is_valid:
-                    cell = b.column(2)[i].values
-                    m[cell.field(0).to_numpy(), cell.field(1).to_numpy()] = cell.field(2).to_numpy()
-                one = b.slice(i, 1)
-                if one.column(0)[0] == one.column(1)[0]:  # beyond the last item the matrix is the identity
-                    empty = np.flatnonzero(m.diagonal() == 0)
-                    m[empty, empty] = 1.0
-                yield pa.RecordBatch.from_pydict({"bi": one.column(0), "bj": one.column(1), "m": pa.array([m.tobytes()], pa.binary())})
-
-    return grid.join(packed, ["bi", "bj"], "left").mapInArrow(dense, "bi int, bj int, m binary")
-
-
-def block_inverse(blocks: DataFrame, n_blocks: int, block: int) -> DataFrame:
-    """(bi, bj, m): the inverse of a symmetric positive definite matrix in blocks, by block elimination.
-
-    One step a diagonal block: its row and column of blocks meet all others by joins, and each block is updated where it lies.
-    """
-
-    def step(k: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                out = []
-                for r in b.to_pylist():
-                    m, row, column, pivot = (np.frombuffer(r[x]).reshape(block, block) for x in ("m", "row", "column", "pivot"))
-                    inverse = np.linalg.inv(pivot)
-                    if r["bi"] == k and r["bj"] == k:
-                        m = inverse
-                    elif r["bi"] == k:
-                        m = inverse @ m
-                    elif r["bj"] == k:
-                        m = -m @ inverse
-                    else:
-                        m = m - column @ (inverse @ row)
-                    out.append(np.ascontiguousarray(m).tobytes())
-                yield pa.RecordBatch.from_pydict({"bi": b.column(0), "bj": b.column(1), "m": pa.array(out, pa.binary())})
-
-        return run
-
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    spark, before = blocks.sparkSession, blocks.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set(name, "8")
-    try:
-        now = stage(blocks)
-        for k in range(n_blocks):
-            row = now.where(F.col("bi") == k).select("bj", F.col("m").alias("row"))
-            column = now.where(F.col("bj") == k).select("bi", F.col("m").alias("column"))
-            pivot = F.broadcast(now.where((F.col("bi") == k) & (F.col("bj") == k)).select(F.col("m").alias("pivot")))  # one block
-            met = now.join(row, "bj").join(column, "bi").crossJoin(pivot).select("bi", "bj", "m", "row", "column", "pivot")
-            now = stage(met.mapInArrow(step(k), "bi int, bj int, m binary"))
-    finally:
-        spark.conf.set(name, before)
-    return now
-
-
-def ease(history: DataFrame, max_items: int = 20_000, l2: float = 500.0, block: int = 512) -> DataFrame:
-    """(item_id, other, similarity): item-item ridge without self-weights, on the most popular items.
-
-    With P the inverse of the Gram matrix plus l2, the weight of item i for item j is -P[i, j] / P[j, j]. The matrix is
-    built and inverted in blocks that only tasks hold.
-    """
-    best = history.groupBy("item_id").count().orderBy(F.desc("count"), "item_id").limit(max_items)
-    index = stage(global_rank(best.select("item_id"), "item_id").select("item_id", (F.col("place") - 1).alias("at")))
-    n = index.count()
-    kept = history.join(index.select("item_id"), "item_id", "left_semi").select("user_id", "item_id")
-    inverse = block_inverse(gram_blocks(kept, index, l2, block), -(-n // block), block)
-
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                w = -np.frombuffer(r["m"]).reshape(block, block) / np.frombuffer(r["d"]).reshape(block, block).diagonal()
-                if r["bi"] == r["bj"]:
-                    w[np.diag_indices(block)] = 0
-                i, j = np.nonzero(w)
-                yield pa.RecordBatch.from_pydict({"ai": i + r["bi"] * block, "aj": j + r["bj"] * block, "similarity": w[i, j]})
-
-    diagonal = inverse.where("bi = bj").select("bj", F.col("m").alias("d"))
-    weights = inverse.join(diagonal, "bj").select("bi", "bj", "m", "d").mapInArrow(cells, "ai bigint, aj bigint, similarity double")
-    named = lambda c, name: index.select(F.col("at").alias(c), F.col("item_id").alias(name))
-    return weights.join(named("ai", "item_id"), "ai").join(named("aj", "other"), "aj").select("item_id", "other", "similarity")
-
-
 def implicit_als(history: DataFrame, users: DataFrame, k: int, rank: int = 64, seed: int = 42, **options) -> DataFrame:
     """Lists from MLlib's implicit matrix factorization: unseen items of largest inner product. Ids are numbered first, so long ones do."""
     from pyspark.ml.recommendation import ALS
@@ -209,11 +101,16 @@ def pooled_vectors(history: DataFrame, vectors: DataFrame) -> DataFrame:
     return mean.select("user_id", F.transform("m", lambda x: x / norm).alias("vector"))
 
 
+def _matrix(column: pa.ListArray) -> np.ndarray:
+    """A column of equally long arrays as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
 def vector_lists(users: DataFrame, items: DataFrame, seen: DataFrame, k: int, block_rows: int = 1024) -> DataFrame:
     """(user_id, item_id, score, rank): the k unseen items of largest inner product of each user (user_id, vector).
 
-    Users and items (item_id, embedding) meet block by block; a pair of blocks is one matrix product that gives each
-    user its k best, and only those are shuffled. Scores are rounded to 9 digits, ties go to the smaller id.
+    Users and items (item_id, embedding) meet block by block; a pair of blocks is one matrix product of all its users with all
+    its items, which gives each user its k best, and only those are shuffled. Scores are rounded to 9 digits, ties go to the smaller id.
     """
     own = seen.join(users.select("user_id"), "user_id", "left_semi").groupBy("user_id").agg(F.collect_set("item_id").alias("seen"))
     wide = users.join(own, "user_id", "left").select("user_id", "vector", F.coalesce("seen", F.array().cast("array<bigint>")).alias("seen"))
@@ -223,45 +120,30 @@ def vector_lists(users: DataFrame, items: DataFrame, seen: DataFrame, k: int, bl
         block = F.pmod(F.xxhash64(key), F.col("n")).alias("block")
         return df.crossJoin(n).select(block, F.struct(*columns).alias("x")).groupBy("block").agg(F.collect_list("x").alias(name)).select(name)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for us, its in zip(b["us"], b["its"], strict=True):
-                ids = np.array([x["item_id"] for x in its], dtype=np.int64)
-                order = np.argsort(ids)
-                ids, matrix = ids[order], np.array([x["embedding"] for x in its], dtype=float)[order]
-                for u in us:
-                    scores = np.round(matrix @ np.asarray(u["vector"], dtype=float), 9)
-                    scores[np.isin(ids, u["seen"])] = -np.inf
-                    best = np.argsort(-scores, kind="stable")[:k]
-                    best = best[np.isfinite(scores[best])]
-                    yield pd.DataFrame({"user_id": u["user_id"], "item_id": ids[best], "score": scores[best]})
+            for r in range(b.num_rows):
+                us, its = b.column(0)[r].values, b.column(1)[r].values
+                ids = its.field("item_id").to_numpy()
+                order = np.argsort(ids, kind="stable")
+                ids, matrix = ids[order], _matrix(its.field("embedding"))[order]
+                scores = np.round(_matrix(us.field("vector")) @ matrix.T, 9)
+                seen = us.field("seen")
+                user, item = np.repeat(np.arange(len(us)), np.diff(seen.offsets.to_numpy())), seen.flatten().to_numpy()
+                place = np.minimum(np.searchsorted(ids, item), len(ids) - 1)
+                known = ids[place] == item
+                scores[user[known], place[known]] = -np.inf
+                least = -np.partition(-scores, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
+                user, place = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
+                best = scores[user, place]
+                order = np.lexsort((place, -best, user))  # of equal scores at the end the smaller ids stay
+                user, place, best = user[order], place[order], best[order]
+                chosen = np.arange(len(user)) - np.searchsorted(user, user) < k
+                yield pa.RecordBatch.from_pydict({"user_id": us.field("user_id").take(pa.array(user[chosen])), "item_id": pa.array(ids[place[chosen]]), "score": pa.array(best[chosen])})
 
     # A stated set of users against all items, in blocks.
     pairs = packed(wide, "user_id", ["user_id", "vector", "seen"], "us").crossJoin(packed(items, "item_id", ["item_id", "embedding"], "its"))
-    return top_k(pairs.mapInPandas(score, "user_id bigint, item_id bigint, score double"), k)
-
-
-def inverted_list_search(vectors: DataFrame, queries: DataFrame, k: int, lists: int = 16, probes: int = 10, fit_rows: int = 8192, seed: int = 42) -> DataFrame:
-    """(query_id, vec_id, score, rank): inner-product search in the ``probes`` nearest of ``lists`` clusters.
-
-    Centers are fit on the ``fit_rows`` vectors of least hash; every vector (vec_id, embedding) gets a list. A query
-    (query_id, q) whose lists hold fewer than k vectors is answered from all of them.
-    """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    spark = vectors.sparkSession
-    rows = vectors.select("vec_id", "embedding", array_to_vector("embedding").alias("features"))
-    model = KMeans(k=lists, seed=seed, maxIter=10).fit(rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_rows))
-    placed = model.transform(rows).select("vec_id", "embedding", F.col("prediction").alias("list"))
-    centers = F.broadcast(spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(model.clusterCenters())], "list int, center array<double>"))  # ``lists`` rows
-    gap = F.aggregate(F.zip_with("q", "center", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    near = top_k(queries.crossJoin(centers).withColumn("near", -gap), probes, "query_id", "near", "list")
-    held = placed.groupBy("list").agg(F.count("*").alias("n"))
-    short = near.join(held, "list", "left").groupBy("query_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).where(F.col("n") < k)
-    probed = near.select("query_id", "q", "list").unionByName(queries.join(short, "query_id", "left_semi").crossJoin(centers).select("query_id", "q", "list")).distinct()
-    scores = probed.join(placed, "list").select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("embedding")), 9).alias("score"))
-    return top_k(scores, k, "query_id", "score", "vec_id")
+    return top_k(pairs.mapInArrow(score, "user_id bigint, item_id bigint, score double"), k)
 
 
 def candidates(recs: DataFrame, relevant: DataFrame) -> DataFrame:
@@ -306,19 +188,6 @@ def rerank(rows: DataFrame, score: str, k: int) -> DataFrame:
     return top_k(rows, k, "user_id", score, "retrieval_rank")
 
 
-def train_ranker(rows: DataFrame, features: list[str], holdout: DataFrame, trees: int = 20, seed: int = 42):
-    """Boosted trees on candidate rows; rows of ``holdout`` users stop the training early."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import Imputer, VectorAssembler
-
-    flagged = rows.join(holdout.select("user_id", F.lit(True).alias("held")), "user_id", "left").withColumn("held", F.coalesce("held", F.lit(False)))
-    doubles = flagged.withColumns({f: F.col(f).cast("double") for f in features}).withColumn("label", F.col("label").cast("double"))
-    filled = [f"{f}_filled" for f in features]
-    trees_ = GBTClassifier(maxIter=trees, seed=seed, validationIndicatorCol="held", featuresCol="x")
-    return Pipeline(stages=[Imputer(inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="x", handleInvalid="keep"), trees_]).fit(doubles)
-
-
 def recommend_with_fallback(requests: DataFrame, personal: DataFrame, popular: DataFrame, seen: DataFrame, k: int) -> DataFrame:
     """Personal lists where there is one, else the most popular unseen items, with their source."""
     known = personal.select("user_id").distinct()

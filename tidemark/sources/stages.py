@@ -24,3 +24,9 @@ def stage(df: DataFrame) -> DataFrame:
     path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``scratch`` named, once no later step reads it."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop(path), True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tidemark.catalog import EV, MV, RT, SPLIT, TG, cutoff_of, query, rounded, split_of, train_of
@@ -13,6 +14,8 @@ from tidemark.operators import monitoring as M
 from tidemark.operators import recommend as R
 from tidemark.operators import sequences as Q
 from tidemark.operators import splits as T
+from tidemark.operators import trees as G
+from tidemark.operators.ridge import ease
 from tidemark.plans import views as V
 from tidemark.sources import files
 from tidemark.sources.stages import scratch, stage
@@ -292,11 +295,11 @@ def setup_sql(partition: str) -> str:
 rel AS (SELECT user_id, item_id FROM later WHERE label = 1 AND user_id IN (SELECT user_id FROM hist)), us AS (SELECT DISTINCT user_id FROM rel)"""
 
 
-def model_sql(name: str, score: str) -> str:
+def model_sql(name: str, score: str, k: int = 100) -> str:
     """CTEs ``<name>_m``: the row of fit_and_evaluate of a model whose items have the score."""
     return f"""{name}_s AS (SELECT item_id, {score} AS score FROM (SELECT item_id, CAST(count(*) AS double) AS n, count(*) FILTER (ts >= (SELECT c FROM cutoff) - 90 * 86400) AS r90, count(*) FILTER (ts >= (SELECT c FROM cutoff) - 30 * 86400) AS r30,
  count(*) FILTER (ts >= (SELECT c FROM cutoff) - 365 * 86400) AS r365 FROM hist GROUP BY item_id) g),
-{name}_l AS (SELECT * FROM (SELECT us.user_id, s.item_id, row_number() OVER (PARTITION BY us.user_id ORDER BY s.score DESC, s.item_id) AS rank FROM us, {name}_s s WHERE NOT EXISTS (SELECT 1 FROM hist t WHERE t.user_id = us.user_id AND t.item_id = s.item_id)) q WHERE rank <= 100),
+{name}_l AS (SELECT * FROM (SELECT us.user_id, s.item_id, row_number() OVER (PARTITION BY us.user_id ORDER BY s.score DESC, s.item_id) AS rank FROM us, {name}_s s WHERE NOT EXISTS (SELECT 1 FROM hist t WHERE t.user_id = us.user_id AND t.item_id = s.item_id)) q WHERE rank <= {k}),
 {name}_u AS (SELECT rel.user_id, count(*) FILTER (rank <= 10) / CAST(least(10, count(*)) AS double) AS recall_10, count(*) FILTER (rank <= 100) / CAST(least(100, count(*)) AS double) AS recall_100, coalesce(1.0 / min(rank), 0) AS mrr
  FROM rel LEFT JOIN {name}_l l ON rel.user_id = l.user_id AND rel.item_id = l.item_id GROUP BY rel.user_id)"""
 
@@ -332,12 +335,15 @@ def j12_test_period(spark, d):
     return rounded(X.compare_models([popular(), recent(365)], X.eval_setup(split_of(spark, d), "test")).select(SHOWN))
 
 
+def ridge_model() -> X.Model:
+    return X.Neighbours("ease", lambda s: ease(s.history))
+
+
 @query()
 def j6_j7_models(spark, d):
     """Neighbours and the ridge through the same evaluation."""
     knn = X.Neighbours("knn", lambda s: R.item_knn(s.history, 50))
-    ridge = X.Neighbours("ease", lambda s: R.ease(s.history))
-    return rounded(X.compare_models([knn, ridge], X.eval_setup(split_of(spark, d), "val")))
+    return rounded(X.compare_models([knn, ridge_model()], X.eval_setup(split_of(spark, d), "val")))
 
 
 @query(f"""WITH {setup_sql('val')}, {model_sql('p', SCORES['p'])}, {model_sql('b', SCORES['b'])}, h AS (SELECT user_id, CASE WHEN count(*) <= 20 THEN '1-20' WHEN count(*) <= 40 THEN '21-40' WHEN count(*) <= 60 THEN '41-60' ELSE '>60' END AS segment FROM hist GROUP BY user_id)
@@ -390,29 +396,97 @@ def k5_drift_windows(spark, d):
     return side(reference, "reference").unionByName(side(current, "current"))
 
 
-def ranker_rows(spark, d):
+def ranker_rows(spark, d, n: int = 200):
+    """(setup, candidates with the ranker's inputs, their names): ``n`` candidates a user from recent popularity."""
     split, train = train_of(spark, d)
     s, movies = X.eval_setup(split, "val"), V.movies(spark, d)
-    rows = R.candidates(popular().lists(s, 50), s.relevant)
+    rows = R.candidates(recent(90).lists(s, n), s.relevant)
     made = R.ranker_features(rows, P.snapshots(train, P.standard("user")), P.snapshots(train, P.standard("item")), R.user_profiles(train, movies, V.GENRES), movies, s.cutoff, V.GENRES)
     keys = {"user_id", "item_id", "label", "n_relevant"}
     return s, stage(made), [c for c in made.columns if c not in keys and c != "retrieval_rank"]
 
 
+def ranker_parts(spark, d):
+    """(setup, rows of the users to fit on, to tune on and to judge by): a user is in one of the three, by hashes; features are one vector."""
+    s, rows, features = ranker_rows(spark, d)
+    draw = lambda salt: S.unit(42, F.lit(salt), F.col("user_id"))
+    part = F.when(draw("eval") < 0.5, "eval").when(draw("inner") < 0.2, "inner").otherwise("fit")
+    wide = stage(G.vectors(rows, features, rows.where(part == "fit")).withColumn("part", part))
+    return s, features, *[wide.where(F.col("part") == name).drop("part") for name in ("fit", "inner", "eval")]
+
+
+#: (trees, share of users) of each round of tuning.
+RUNGS = [(4, 0.25), (8, 0.5), (16, 1.0)]
+
+
+def tuned_ranker(spark, d, n_settings: int = 8):
+    """(setup, features, rows to judge by, fitted ranker, trials): settings drawn, halved in rounds, and the best fitted with early stopping."""
+    s, features, fit, inner, judged = ranker_parts(spark, d)
+    setting, trials = G.halving(fit.unionByName(inner), inner.select("user_id"), s.relevant, G.draw_settings(n_settings), RUNGS)
+    return s, features, judged, G.fit_ranker(fit.unionByName(inner), inner.select("user_id"), setting), trials
+
+
+@query()
+def j26_ranker_tuning(spark, d):
+    """Trials of a search over eight settings: which were left out in which round, by the NDCG@10 of users not fitted on."""
+    return rounded(tuned_ranker(spark, d)[4])
+
+
+def compared_systems(spark, d) -> tuple[X.Setup, dict]:
+    """Lists of three systems for the users that the ranker is judged by: the ridge, retrieval, and retrieval put in order by the tuned ranker."""
+    s, _, judged, model, _ = tuned_ranker(spark, d)
+    users = stage(s.users.join(judged.select("user_id").distinct(), "user_id", "left_semi"))
+    theirs = X.Setup(s.history, s.cutoff, stage(s.relevant.join(users, "user_id", "left_semi")), stage(s.excluded.join(users, "user_id", "left_semi")), s.cold)
+    retrieval = judged.select("user_id", "item_id", F.col("retrieval_rank").alias("rank")).where("rank <= 100")
+    return theirs, {"ridge": stage(ridge_model().lists(theirs, 100)), "retrieval": stage(retrieval), "ranker": stage(G.ranked(model, judged).where("rank <= 100"))}
+
+
+@query()
+def j29_three_systems(spark, d):
+    """Mean metrics of three systems over the same users."""
+    s, lists = compared_systems(spark, d)
+    return rounded(X.system_table(lists, s.relevant))
+
+
+@query()
+def c5_paired_systems(spark, d):
+    """Each pair of the three systems: mean difference of NDCG@10 over users, its interval and verdict."""
+    s, lists = compared_systems(spark, d)
+    return rounded(X.paired_systems(lists, s.relevant, "ndcg_10"))
+
+
+@query()
+def j32_three_variants(spark, d):
+    """The ten items that each of three systems shows each user."""
+    _, lists = compared_systems(spark, d)
+    return X.variants(lists, 10)
+
+
 @query()
 def j25_j29_two_stage(spark, d):
-    """Lift of a ranker trained on half of the users over the retrieval order of the other half."""
-    s, rows, features = ranker_rows(spark, d)
-    halves = T.split_users(s.users, s.users.limit(0), 0.5)
-    first, second = (rows.join(halves.where(F.col("half") == h), "user_id", "left_semi") for h in ("first", "second"))
-    model = R.train_ranker(first, features, first.select("user_id").distinct().where("user_id % 5 = 0"), 10)
-    return rounded(X.ranker_lift(model, second, s.relevant))
+    """Lift of the tuned ranker over the retrieval order, on users that it wasn't fitted or tuned on."""
+    s, _, judged, model, _ = tuned_ranker(spark, d)
+    users = s.relevant.join(judged.select("user_id").distinct(), "user_id", "left_semi")
+    before = E.per_user_metrics(judged.select("user_id", "item_id", F.col("retrieval_rank").alias("rank")), users, (10,))
+    return rounded(E.paired_difference(stage(before), stage(E.per_user_metrics(G.ranked(model, judged), users, (10,))), "ndcg_10"))
 
 
 @query()
 def j28_importances(spark, d):
-    s, rows, features = ranker_rows(spark, d)
-    return rounded(X.importances(R.train_ranker(rows, features, s.users.where("user_id % 5 = 0"), 5), features))
+    """Mean absolute contribution of each feature to the ranker's margin over all candidates of the users that it is judged by."""
+    _, features, fit, inner, judged = ranker_parts(spark, d)
+    model = G.fit_ranker(fit.unionByName(inner), inner.select("user_id"), {"maxDepth": 5, "stepSize": 0.1}, 20)
+    return rounded(G.importances(model, judged, features))
+
+
+@query(f"""WITH {setup_sql('val')}, {model_sql('b', SCORES['b'], 200)} SELECT count(*) AS rows, 0 AS off FROM b_l WHERE rank <= 200 AND {unit_sql("'42-eval-' || CAST(user_id AS varchar)")} < 0.5""")
+def j28_contributions_add_up(spark, d):
+    """Candidates whose contributions and bias don't sum to the margin that the ranker gives."""
+    _, _, fit, inner, judged = ranker_parts(spark, d)
+    model = G.fit_ranker(fit.unionByName(inner), inner.select("user_id"), {"maxDepth": 4, "stepSize": 0.1}, 10)
+    made = G.contributions(model, model.transform(judged))
+    margin = F.aggregate("contributions", F.col("bias"), lambda t, c: t + c)
+    return made.agg(F.count("*").alias("rows"), F.count_if(F.abs(margin - vector_to_array("rawPrediction")[1]) > 1e-9).alias("off"))
 
 
 @query(f"""WITH {setup_sql('val')}, {model_sql('p', SCORES['p'])} SELECT 'popular' AS variant, user_id, item_id, CAST(rank AS integer) AS rank FROM p_l WHERE rank <= 10

@@ -8,7 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import evaluation as E
 from tidemark.operators import features as P
+from tidemark.operators import monitoring as M
 from tidemark.operators import pairs, ridge
 from tidemark.operators.recommend import item_knn
 
@@ -98,3 +100,39 @@ def test_as_of_of_empty_sides(spark):
     none = spark.createDataFrame([], "k long, s long, v string")
     assert [r.v for r in P.as_of_join(some, none, "k", "t", "s", ["v"]).collect()] == [None]
     assert P.as_of_join(some.limit(0), none, "k", "t", "s", ["v"]).collect() == []
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 101, 201, 4000])
+def test_percentiles_are_exact(spark, n):
+    rng = np.random.default_rng(n)
+    values = {"a": rng.normal(size=n).tolist(), "b": np.round(rng.exponential(size=n), 1).tolist(), "c": [4.0] * n}
+    rows = spark.createDataFrame([(s, float(v)) for s, x in values.items() for v in x] + [("a", None)], "stage string, ms double").repartition(3)
+    for r in M.latency_percentiles(rows, "stage", "ms").collect():
+        want = np.percentile(values[r.stage], [50, 95, 99])
+        assert (r.n, r.max_ms) == (n, max(values[r.stage])) and [r.p50, r.p95, r.p99] == pytest.approx(want.tolist(), abs=1e-12)
+
+
+def test_percentiles_with_a_coarse_sketch(spark, monkeypatch):
+    monkeypatch.setattr(M, "SKETCH", 50)
+    values = np.random.default_rng(1).normal(size=5000)
+    r = M.latency_percentiles(spark.createDataFrame([("x", float(v)) for v in values], "stage string, ms double"), "stage", "ms").first()
+    assert [r.p50, r.p95, r.p99] == pytest.approx(np.percentile(values, [50, 95, 99]).tolist(), abs=1e-12)
+
+
+def test_bootstrap_draws_the_same_by_vectors_and_by_rows(spark):
+    rows = [(u, float(u % 7), None if u % 5 == 0 else u / 10.0, "even" if u % 2 == 0 else "odd") for u in range(60)]
+    df = spark.createDataFrame(rows, "user_id long, a double, b double, segment string").repartition(3)
+    mean = lambda value, w: F.sum(w * value) / F.nullif(F.sum(F.when(value.isNotNull(), w)), F.lit(0))
+    key = lambda r: (r.metric, r["segment"] if "segment" in r else "")
+    for by in (None, "segment"):
+        one, other = (sorted(E.bootstrap(df, ["a", "b"], 200, by=by, aggregate=f).collect(), key=key) for f in (None, mean))
+        for x, y in zip(one, other, strict=True):
+            assert (x.metric, x.n) == (y.metric, y.n) and [x.mean, x.low, x.high] == pytest.approx([y.mean, y.low, y.high], abs=1e-12)
+    weights = E.draws(list(range(2000)), 40, 1)
+    assert abs(weights.mean() - 1) < 0.02 and abs(weights.var() - 1) < 0.03
+
+
+def test_bootstrap_takes_an_aggregate(spark):
+    df = spark.createDataFrame([(u, float(u)) for u in range(50)], "user_id long, a double")
+    r = E.bootstrap(df, ["a"], 100, aggregate=lambda value, w: F.max(F.when(w > 0, value))).first()
+    assert r["mean"] == 49.0 and r.low < 49.0 and r.high == 49.0

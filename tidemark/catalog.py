@@ -210,10 +210,24 @@ def d14_d17_user_metrics(spark, d):
     return rounded(E.per_user_metrics(recs, relevant))
 
 
-@query()
+def bootstrap_sql(rows: str, by: str = "metric") -> str:
+    """CTE ``ci`` (metric, n, mean, low, high) of the rows (user_id, metric, value)."""
+    u = "CAST('0x' || substr(md5('42-' || CAST(user_id AS varchar) || '-' || CAST(r // 4 AS varchar)), CAST(1 + 8 * (r % 4) AS integer), 8) AS bigint) / 4294967296.0"
+    steps = " + ".join(f"CAST(u >= CAST({e} AS double) AS integer)" for e in E.POISSON)
+    return f"""bv AS ({rows}), bw AS (SELECT user_id, r, {steps} AS w FROM (SELECT user_id, r, {u} AS u FROM (SELECT DISTINCT user_id FROM bv) bu, range(1000) t(r)) bd),
+br AS (SELECT {by}, r, sum(w * value) / nullif(sum(w) FILTER (value IS NOT NULL), 0) AS m FROM bv JOIN bw USING (user_id) GROUP BY {by}, r),
+ci AS (SELECT * FROM (SELECT {by}, count(value) AS n, avg(value) AS mean FROM bv GROUP BY {by}) bm JOIN (SELECT {by}, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM br GROUP BY {by}) be USING ({by}))"""
+
+
+CI = ", ".join(f"round({c}, 6) AS {c}" for c in ("mean", "low", "high"))
+VERDICT = "CASE WHEN low > 0 THEN 'better' WHEN high < 0 THEN 'worse' ELSE 'tie' END AS verdict"
+MEASURED = ["recall_10", "recall_100", "ndcg_10", "mrr"]
+
+
+@query(f"WITH {METRICS}, {bootstrap_sql(' UNION ALL '.join(f'SELECT user_id, {chr(39)}{m}{chr(39)} AS metric, CAST({m} AS double) AS value FROM m' for m in MEASURED))} SELECT metric, n, {CI} FROM ci")
 def d18_d20_bootstrap(spark, d):
     _, _, relevant, _, recs = popular_lists(spark, d)
-    return E.bootstrap(E.per_user_metrics(recs, relevant), ["recall_10", "recall_100", "ndcg_10", "mrr"])
+    return rounded(E.bootstrap(E.per_user_metrics(recs, relevant), MEASURED))
 
 
 @query(f"""WITH {POPULAR}, c AS (SELECT i.item_id, count(r.user_id) AS c FROM (SELECT DISTINCT item_id FROM train) i LEFT JOIN (SELECT * FROM recs WHERE rank <= 10) r ON i.item_id = r.item_id GROUP BY i.item_id),
@@ -255,7 +269,7 @@ def c12_co_occurrence(spark, d):
 @query()
 def j7_ease(spark, d):
     """The strongest 20 weights of each target item."""
-    return rounded(E.top_k(rounded(ease(V.ratings(spark, d)), 9), 20, "other", "similarity", "item_id"), 6)
+    return rounded(E.top_k(rounded(ease(V.ratings(spark, d), keep=20), 9), 20, "other", "similarity", "item_id"), 6)
 
 
 @query()
@@ -441,11 +455,12 @@ def d30_list_overlap(spark, d):
     return rounded(E.recall_against_exact(recent_lists(split, train, relevant, excluded), recs, 20, "user_id", "item_id"), 9)
 
 
-@query()
+@query(f"""WITH {RECENT}, hits AS (SELECT r.user_id, count(*) AS n, count(a.item_id) AS a, count(b.item_id) AS b FROM relevant r LEFT JOIN recs a ON a.user_id = r.user_id AND a.item_id = r.item_id LEFT JOIN recent b ON b.user_id = r.user_id AND b.item_id = r.item_id GROUP BY r.user_id),
+{bootstrap_sql("SELECT user_id, 'difference' AS metric, b / CAST(least(100, n) AS double) - a / CAST(least(100, n) AS double) AS value FROM hits")} SELECT metric, n, {CI}, {VERDICT} FROM ci""")
 def c5_d19_k9_paired_difference(spark, d):
     split, train, relevant, excluded, recs = popular_lists(spark, d)
     a, b = E.per_user_metrics(recs, relevant), E.per_user_metrics(recent_lists(split, train, relevant, excluded), relevant)
-    return E.paired_difference(a, b, "recall_100")
+    return rounded(E.paired_difference(a, b, "recall_100"))
 
 
 @query(f"""WITH {POPULAR}, pos AS (SELECT item_id, count(*) AS np FROM train WHERE label = 1 GROUP BY item_id), s AS (SELECT r.user_id, r.item_id, CAST(r.rank AS integer) AS retrieval_rank, coalesce(np, 0) AS score FROM recs r LEFT JOIN pos USING (item_id))

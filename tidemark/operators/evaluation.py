@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,25 +29,67 @@ def per_user_metrics(recs: DataFrame, relevant: DataFrame, ks: tuple[int, ...] =
     return out.select("user_id", "n_relevant", *recall, *ndcg, F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("mrr"))
 
 
+#: The cumulative Poisson law of mean 1, from 0 on.
+POISSON = (0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518, 0.99991675885, 0.99998975080)
+
+
+def draws(users: list, replicates: int, seed: int) -> np.ndarray:
+    """Poisson(1) weights, users x replicates. An MD5 of (seed, user, group) gives those of four replicates."""
+    groups = range(-(-replicates // 4))
+    found = np.empty((len(users), 4 * len(groups)), np.uint8)
+    for k, u in enumerate(users):
+        numbers = np.frombuffer(b"".join([md5(f"{seed}-{u}-{g}".encode()).digest() for g in groups]), ">u4")
+        found[k] = np.searchsorted(POISSON, numbers / 4294967296.0, side="right")
+    return found[:, :replicates]
+
+
+def weight_of(user: Column, replicate: Column, seed: int) -> Column:
+    """The weight that ``draws`` gives, as an expression."""
+    digest = F.md5(F.concat_ws("-", F.lit(str(seed)), user.cast("string"), F.floor(replicate / 4).cast("string")))
+    u = F.conv(digest.substr(1 + 8 * F.pmod(replicate, F.lit(4)), F.lit(8)), 16, 10).cast("bigint") / 4294967296.0
+    return sum((F.when(u >= edge, 1).otherwise(0) for edge in POISSON), F.lit(0))
+
+
 def bootstrap(per_user: DataFrame, metrics: list[str], replicates: int = 1000, level: float = 0.95, seed: int = 42, by: str | None = None, aggregate=None) -> DataFrame:
     """(metric, n, mean, low, high): Poisson bootstrap over users; ``aggregate(value, weight)`` takes the place of the weighted mean.
 
-    Each user draws a Poisson(1) weight for each replicate from a hash, and each partition sums its replicates:
-    the shuffle carries partitions x replicates rows, whatever the number of users.
+    A user's weights for all replicates are one vector, drawn from hashes, and a partition adds them up in one product of
+    matrices: the shuffle carries partitions x replicates numbers, whatever the number of users. An aggregate of one's
+    own gets a row a user and replicate instead, with the same weights. Users without a value don't count for that metric.
     """
-    wide = per_user.select("user_id", (F.col(by) if by else F.lit("all")).alias("segment"), *metrics)
-    u = F.pmod(F.xxhash64(F.lit(seed), "user_id", "r"), F.lit(1 << 30)) / float(1 << 30)
-    weight: Column = F.lit(8)
-    for k, edge in reversed(list(enumerate((0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518, 0.99991675885, 0.99998975080)))):
-        weight = F.when(u < edge, k).otherwise(weight)  # fixed values: the cumulative Poisson(1) law
-    # Users are repeated once for all metrics, and draw one weight for each replicate.
-    drawn = wide.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", weight)
-    mean = aggregate or (lambda value, w: F.sum(w * value) / F.nullif(F.sum(F.when(value.isNotNull(), w)), F.lit(0)))
-    runs = drawn.groupBy("segment", "r").agg(*[mean(F.col(m), F.col("w")).alias(m) for m in metrics]).unpivot(["segment", "r"], metrics, "metric", "m")
-    tail = (1 - level) / 2
-    ends = runs.groupBy("segment", "metric").agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"))
+    wide = per_user.select("user_id", (F.col(by) if by else F.lit("all")).cast("string").alias("segment"), *[F.col(m).cast("double").alias(m) for m in metrics])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str | None, np.ndarray] = {}
+        for whole in batches:
+            for b in (whole.slice(at, 1000) for at in range(0, whole.num_rows, 1000)):
+                weights = draws(b.column(0).to_pylist(), replicates, seed).astype(np.float64)
+                values = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns[2:]], axis=1).astype(np.float64)
+                there = ~np.isnan(values)
+                segments = b.column(1).to_pylist()
+                for s in set(segments):
+                    mine = np.array([x == s for x in segments])
+                    made = np.stack([np.where(there, values, 0.0)[mine].T @ weights[mine], there[mine].T.astype(np.float64) @ weights[mine]])
+                    sums[s] = sums[s] + made if s in sums else made
+        for s, (total, weight) in sums.items():
+            offsets = pa.array(np.arange(len(metrics) + 1, dtype=np.int32) * replicates)
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x.ravel())) for x in (total, weight)]
+            yield pa.RecordBatch.from_pydict({"segment": pa.array([s] * len(metrics), pa.string()), "metric": metrics, "total": lists[0], "weight": lists[1]})
+
     long = wide.unpivot(["user_id", "segment"], metrics, "metric", "value").withColumn("w", F.lit(1))
-    means = long.groupBy("segment", "metric").agg(F.count("value").alias("n"), mean(F.col("value"), F.col("w")).alias("mean"))
+    if aggregate is None:
+        parts = wide.mapInArrow(add, "segment string, metric string, total array<double>, weight array<double>")
+        each = parts.select("segment", "metric", F.posexplode(F.arrays_zip("total", "weight")).alias("r", "x"))
+        runs = each.groupBy("segment", "metric", "r").agg((F.sum("x.total") / F.nullif(F.sum("x.weight"), F.lit(0.0))).alias("m"))
+        mean = F.avg("value")
+    else:
+        drawn = wide.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+        drawn = drawn.withColumn("w", weight_of(F.col("user_id"), F.col("r"), seed))
+        runs = drawn.groupBy("segment", "r").agg(*[aggregate(F.col(m), F.col("w")).alias(m) for m in metrics]).unpivot(["segment", "r"], metrics, "metric", "m")
+        mean = aggregate(F.col("value"), F.col("w"))
+    tail = (1 - level) / 2
+    ends = runs.groupBy("segment", "metric").agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"))  # a row a replicate
+    means = long.groupBy("segment", "metric").agg(F.count("value").alias("n"), mean.alias("mean"))
     out = means.join(ends, ["segment", "metric"]).select("segment", "metric", "n", "mean", "low", "high")
     return out.withColumnRenamed("segment", by) if by else out.drop("segment")
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import DAY_SECONDS, POSITIVE
 from tidemark.operators.evaluation import bootstrap, verdict
 from tidemark.operators.features import as_of_join
+from tidemark.sources.stages import stage
 
 NUMERIC = ["rating", "hour_utc", "item_log_n_ratings_30d", "item_age_days", "item_year"]
 CATEGORICAL = ["positive", "weekday", "item_genre"]
@@ -35,7 +36,7 @@ def wasserstein(reference: DataFrame, current: DataFrame, column: str) -> DataFr
     from the counts of the ranges before it, and the gap between two ranges is added once. No task sees all values.
     """
     sides = reference.select(F.col(column).alias("x"), F.lit(1).alias("a")).unionByName(current.select(F.col(column).alias("x"), F.lit(0).alias("a"))).where("x is not null and not isnan(x)")
-    counts = sides.groupBy("x").agg(F.sum("a").alias("na"), F.sum(1 - F.col("a")).alias("nb"))
+    counts = stage(sides.groupBy("x").agg(F.sum("a").alias("na"), F.sum(1 - F.col("a")).alias("nb")))
     cuts = sorted(set(counts.approxQuantile("x", [i / 32 for i in range(1, 32)], 0.01)))
     part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("x"))) if cuts else F.lit(0)
     placed = counts.withColumn("p", part)
@@ -52,7 +53,10 @@ def wasserstein(reference: DataFrame, current: DataFrame, column: str) -> DataFr
 
 def jensen_shannon(reference: DataFrame, current: DataFrame, column: str) -> DataFrame:
     """(column, score): square root of the divergence, natural logarithm, of the category shares."""
-    share = lambda df, name: df.groupBy(F.col(column).alias("x")).agg(F.count("*").alias("n")).withColumn(name, F.col("n") / F.sum("n").over(Window.partitionBy())).select("x", name)
+    def share(df: DataFrame, name: str) -> DataFrame:
+        counts = df.groupBy(F.col(column).alias("x")).agg(F.count("*").alias("n"))
+        return counts.crossJoin(F.broadcast(df.agg(F.count("*").alias("total")))).select("x", (F.col("n") / F.col("total")).alias(name))
+
     p, q = F.coalesce("p", F.lit(0.0)), F.coalesce("q", F.lit(0.0))
     m = (p + q) / 2
     term = lambda a: F.when(a > 0, a * F.log(a / m)).otherwise(0.0)
@@ -131,14 +135,42 @@ def capped_impressions(positives: DataFrame, per_user: int = 20) -> DataFrame:
     return positives.where(F.col("rating") >= POSITIVE).withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_user).drop("n")
 
 
-def latency_percentiles(log: DataFrame, stage: str, ms: str) -> DataFrame:
-    p = F.percentile(ms, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    return log.groupBy(F.col(stage).alias("stage")).agg(p.alias("p"), F.max(ms).alias("max_ms"), F.count(ms).alias("n")).select("stage", "n", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"), F.col("p")[2].alias("p99"), "max_ms")
+PERCENTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+#: A rank that the sketch gives is off by one in so many rows at most.
+SKETCH = 10_000
+
 
+def latency_percentiles(log: DataFrame, stage_col: str, ms: str) -> DataFrame:
+    """(stage, n, p50, p95, p99, max_ms), exact and linear between ranks; nulls don't count.
 
-def latency_histogram(log: DataFrame, stage: str, ms: str, edges: list[float]) -> DataFrame:
+    A mergeable sketch a stage gives two values around each rank. The second pass counts the rows below and above them and
+    keeps the values between, each with its number, so no buffer holds all values and equal ones are one row.
+    """
+    rows = log.select(F.col(stage_col).alias("stage"), F.col(ms).alias("v")).where("v is not null")
+    ends = [min(max(p + side * 2 / SKETCH, 0.0), 1.0) for p in PERCENTILES.values() for side in (-1, 1)]
+    sketch = rows.groupBy("stage").agg(F.count("*").alias("n"), F.max("v").alias("max_ms"), F.min("v").alias("min_ms"), F.percentile_approx("v", F.array(*map(F.lit, ends)), F.lit(SKETCH)).alias("e"))
+    asked = [
+        F.struct(F.lit(name).alias("name"), (p * (F.col("n") - 1)).alias("rank"), (F.col("min_ms") if ends[2 * k] == 0 else F.col("e")[2 * k]).alias("low"), F.col("e")[2 * k + 1].alias("high"))
+        for k, (name, p) in enumerate(PERCENTILES.items())
+    ]
+    brackets = stage(sketch.select("stage", "n", "max_ms", F.explode(F.array(*asked)).alias("a")).select("stage", "n", "max_ms", "a.*"))  # three rows a stage
+    side = F.when(F.col("v") < F.col("low"), -1).when(F.col("v") > F.col("high"), 1).otherwise(0).alias("side")
+    near = rows.join(F.broadcast(brackets), "stage").select("stage", "name", "v", side)
+    counted = near.groupBy("stage", "name", "side", F.when(F.col("side") == 0, F.col("v")).alias("x")).agg(F.count("*").alias("m"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    # The nearest value on either side stands for its side: a rank may lie one beyond the two values.
+    counted = counted.withColumn("v", F.when(F.col("side") < 0, F.col("hi")).otherwise(F.col("lo")))
+    upto = F.sum("m").over(Window.partitionBy("stage", "name").orderBy("side", "v"))
+    placed = counted.withColumn("upto", upto).join(F.broadcast(brackets), ["stage", "name"])
+    at = lambda k: F.min(F.when(F.col("upto") > k, F.col("v")))
+    low, high = F.floor("rank"), F.least(F.floor("rank") + 1, F.col("n") - 1)
+    found = placed.groupBy("stage", "name", "n", "max_ms", "rank").agg(at(low).alias("a"), at(high).alias("b"))
+    value = F.col("a") + (F.col("b") - F.col("a")) * (F.col("rank") - F.floor("rank"))
+    return found.groupBy("stage", "n").agg(*[F.max(F.when(F.col("name") == p, value)).alias(p) for p in PERCENTILES], F.max("max_ms").alias("max_ms"))
+
+
+def latency_histogram(log: DataFrame, stage_col: str, ms: str, edges: list[float]) -> DataFrame:
     """Per stage and upper edge, how many values don't exceed it; one pass, as many columns as edges."""
     counts: list[Column] = [F.count_if(F.col(ms) <= e).alias(f"le_{i}") for i, e in enumerate(edges)]
-    wide = log.groupBy(F.col(stage).alias("stage")).agg(*counts)
+    wide = log.groupBy(F.col(stage_col).alias("stage")).agg(*counts)
     pairs = F.array(*[F.struct(F.lit(float(e)).alias("le"), F.col(f"le_{i}").alias("n")) for i, e in enumerate(edges)])
     return wide.select("stage", F.explode(pairs).alias("x")).select("stage", "x.le", "x.n")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tidemark.catalog import EV, MV, RT, SPLIT, TG, cutoff_of, query, rounded, split_of, train_of
+from tidemark.catalog import EV, MV, RT, SPLIT, TG, VERDICT, bootstrap_sql, cutoff_of, query, rounded, split_of, train_of
 from tidemark.functions import scalars as S
 from tidemark.operators import evaluation as E
 from tidemark.operators import experiments as X
@@ -347,12 +347,13 @@ def j6_j7_models(spark, d):
 
 
 @query(f"""WITH {setup_sql('val')}, {model_sql('p', SCORES['p'])}, {model_sql('b', SCORES['b'])}, h AS (SELECT user_id, CASE WHEN count(*) <= 20 THEN '1-20' WHEN count(*) <= 40 THEN '21-40' WHEN count(*) <= 60 THEN '41-60' ELSE '>60' END AS segment FROM hist GROUP BY user_id)
-SELECT segment, count(*) AS users, round(avg(p_u.recall_100), 6) AS mean_a, round(avg(b_u.recall_100), 6) AS mean_b, round(avg(b_u.recall_100 - p_u.recall_100), 6) AS difference FROM p_u JOIN b_u USING (user_id) JOIN h USING (user_id) GROUP BY segment HAVING count(*) >= 30""")
+, two AS (SELECT user_id, segment, p_u.recall_100 AS a, b_u.recall_100 AS b FROM p_u JOIN b_u USING (user_id) JOIN h USING (user_id)), {bootstrap_sql("SELECT user_id, segment, b - a AS value FROM two", "segment")}
+SELECT segment, users, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, round(mean, 6) AS difference, round(low, 6) AS low, round(high, 6) AS high, {VERDICT} FROM ci JOIN (SELECT segment, count(*) AS users, avg(a) AS mean_a, avg(b) AS mean_b FROM two GROUP BY segment) g USING (segment) WHERE users >= 30""")
 def d25_j30_segment_comparison(spark, d):
     s = X.eval_setup(split_of(spark, d), "val")
     a, b = (E.per_user_metrics(m.lists(s, 100), s.relevant, (100,)).select("user_id", F.col("recall_100").alias(n)) for m, n in ((popular(), "a"), (recent(90), "b")))
     labels = X.history_segments(s.history, [20, 40, 60], ["1-20", "21-40", "41-60", ">60"])
-    return rounded(X.segment_table(a.join(b, "user_id"), labels, "a", "b").drop("low", "high", "verdict"))
+    return rounded(X.segment_table(a.join(b, "user_id"), labels, "a", "b"))
 
 
 @query()
@@ -432,9 +433,19 @@ def j26_ranker_tuning(spark, d):
     return rounded(tuned_ranker(spark, d)[4])
 
 
-def compared_systems(spark, d) -> tuple[X.Setup, dict]:
-    """Lists of three systems for the users that the ranker is judged by: the ridge, retrieval, and retrieval put in order by the tuned ranker."""
-    s, _, judged, model, _ = tuned_ranker(spark, d)
+#: A setting of the ranker where none is searched for.
+SETTING = {"maxDepth": 4, "stepSize": 0.1, "minInstancesPerNode": 20}
+
+
+def fixed_ranker(spark, d):
+    """(setup, features, rows to judge by, ranker fitted with early stopping)."""
+    s, features, fit, inner, judged = ranker_parts(spark, d)
+    return s, features, judged, G.fit_ranker(fit.unionByName(inner), inner.select("user_id"), SETTING)
+
+
+def compared_systems(spark, d, tuned: bool = False) -> tuple[X.Setup, dict]:
+    """Lists of three systems for the users that the ranker is judged by: the ridge, retrieval, and retrieval put in order by the ranker."""
+    s, _, judged, model = (tuned_ranker if tuned else fixed_ranker)(spark, d)[:4]
     users = stage(s.users.join(judged.select("user_id").distinct(), "user_id", "left_semi"))
     theirs = X.Setup(s.history, s.cutoff, stage(s.relevant.join(users, "user_id", "left_semi")), stage(s.excluded.join(users, "user_id", "left_semi")), s.cold)
     retrieval = judged.select("user_id", "item_id", F.col("retrieval_rank").alias("rank")).where("rank <= 100")
@@ -443,8 +454,8 @@ def compared_systems(spark, d) -> tuple[X.Setup, dict]:
 
 @query()
 def j29_three_systems(spark, d):
-    """Mean metrics of three systems over the same users."""
-    s, lists = compared_systems(spark, d)
+    """Mean metrics of three systems over the same users, the ranker tuned."""
+    s, lists = compared_systems(spark, d, tuned=True)
     return rounded(X.system_table(lists, s.relevant))
 
 
@@ -464,8 +475,8 @@ def j32_three_variants(spark, d):
 
 @query()
 def j25_j29_two_stage(spark, d):
-    """Lift of the tuned ranker over the retrieval order, on users that it wasn't fitted or tuned on."""
-    s, _, judged, model, _ = tuned_ranker(spark, d)
+    """Lift of the ranker over the retrieval order, on users that it wasn't fitted on."""
+    s, _, judged, model = fixed_ranker(spark, d)
     users = s.relevant.join(judged.select("user_id").distinct(), "user_id", "left_semi")
     before = E.per_user_metrics(judged.select("user_id", "item_id", F.col("retrieval_rank").alias("rank")), users, (10,))
     return rounded(E.paired_difference(stage(before), stage(E.per_user_metrics(G.ranked(model, judged), users, (10,))), "ndcg_10"))

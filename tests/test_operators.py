@@ -12,6 +12,7 @@ from tidemark.operators import trees as G
 from tidemark.operators import splits as T
 from tidemark.sources import files
 from tidemark.streaming import sessions as SS
+from tidemark.streaming.sink import KeyedTable
 
 DAY = 86_400
 RATINGS = "user_id long, item_id long, rating double, ts long"
@@ -100,20 +101,20 @@ def test_stream_equals_batch(spark, tmp_path):
     late = ratings(spark, [(0, 0, 5.0, 0), (0, 99, 5.0, 5)])
     events.coalesce(1).write.json(str(tmp_path / "in" / "a"))
     stream = spark.readStream.schema(RATINGS).json(str(tmp_path / "in" / "*"))
-    sink = str(tmp_path / "out")
+    sink = KeyedTable(str(tmp_path / "out"), "user_id", SS.NEWEST, 4)
 
     def run():
-        q = SS.stream_sessions(stream).writeStream.foreachBatch(SS.upsert_latest(sink)).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q = SS.stream_sessions(stream).writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
         q.awaitTermination(120)
 
     run()
-    online = SS.latest_sessions(spark, sink)
+    online = spark.createDataFrame(sink.read(spark).collect(), SS.SESSION)
     columns = ["session_n_events", "session_n_positive", "session_mean_rating"]
     bad = {r.feature: r.mismatches for r in E.parity(online, SS.batch_sessions(events), ["user_id"], columns).collect()}
     assert bad == dict.fromkeys(columns, 0)
     late.coalesce(1).write.json(str(tmp_path / "in" / "b"))
     run()
-    again = {r.user_id: r.session_n_events for r in SS.latest_sessions(spark, sink).collect()}
+    again = {r.user_id: r.session_n_events for r in sink.read(spark).collect()}
     assert again == {r.user_id: r.session_n_events for r in online.collect()}
 
 

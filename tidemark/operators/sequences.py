@@ -91,20 +91,27 @@ def negatives(positives: DataFrame, catalog: DataFrame, n: int, seed: int = 42)
     return drawn.join(chances, "token").join(positives.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti").select("user_id", "item_id", "token", "log_q")
 
 
+STATE_EVENTS = "array<struct<ts:bigint,token:bigint,positive:int,gap:int>>"
+
+
 def append_events(state: DataFrame, events: DataFrame, n: int) -> DataFrame:
-    """Serving state after new events (user_id, token, positive, gap, ts) in order of ``ts``: the last ``n`` events, newest last,
-    and the sorted set of tokens seen. Events that a user has seen, or older than the newest, change nothing.
+    """Serving state after new events (user_id, token, positive, ts): the last ``n`` events, newest last, with the gap of each
+    to the one before, and the sorted set of tokens seen. Events that a user has seen, or older than the newest of the state,
+    change nothing; those of one second count in the order of ``tie`` if there is such a column, then of tokens.
 
     State rows are (user_id, recent array of (ts, token, positive, gap), seen array of tokens, last_ts).
     """
-    fresh = events.join(state.select("user_id", "seen", "last_ts"), "user_id", "left")
+    tie = F.col("tie") if "tie" in events.columns else F.lit("")
+    fresh = events.withColumn("_tie", tie).join(state.select("user_id", "seen", "last_ts"), "user_id", "left")
     fresh = fresh.where((F.col("last_ts").isNull() | (F.col("ts") >= F.col("last_ts"))) & ~F.coalesce(F.array_contains("seen", F.col("token")), F.lit(False)))
-    once = fresh.groupBy("user_id", "token").agg(F.min(F.struct("ts", "token", "positive", "gap")).alias("e"))
+    once = fresh.groupBy("user_id", "token").agg(F.min(F.struct("ts", "_tie", "token", "positive")).alias("e"))
     added = once.groupBy("user_id").agg(F.sort_array(F.collect_list("e")).alias("new"))
-    both = state.join(added, "user_id", "full_outer")
-    recent = F.concat(F.coalesce("recent", F.array().cast("array<struct<ts:bigint,token:bigint,positive:int,gap:int>>")), F.coalesce("new", F.array().cast("array<struct<ts:bigint,token:bigint,positive:int,gap:int>>")))
+    both = state.join(added, "user_id", "full_outer").withColumn("new", F.coalesce("new", F.array().cast("array<struct<ts:bigint,_tie:string,token:bigint,positive:int>>")))
+    before = lambda i: F.when(i == 0, F.col("last_ts")).otherwise(F.get("new", i - 1)["ts"])
+    made = F.transform("new", lambda e, i: F.struct(e["ts"].alias("ts"), e["token"].alias("token"), e["positive"].alias("positive"), gap_bucket(e["ts"] - before(i)).cast("int").alias("gap")))
+    recent = F.concat(F.coalesce("recent", F.array().cast(STATE_EVENTS)), made.cast(STATE_EVENTS))
     kept = F.when(F.size(recent) > n, F.slice(recent, -n, n)).otherwise(recent)
-    seen = F.sort_array(F.array_union(F.coalesce("seen", F.array().cast("array<bigint>")), F.coalesce(F.transform("new", lambda e: e["token"]), F.array().cast("array<bigint>"))))
+    seen = F.sort_array(F.array_union(F.coalesce("seen", F.array().cast("array<bigint>")), F.transform("new", lambda e: e["token"].cast("bigint"))))
     return both.select("user_id", kept.alias("recent"), seen.alias("seen"), F.greatest("last_ts", F.array_max(F.transform("new", lambda e: e["ts"]))).alias("last_ts"))
 
 
@@ -120,5 +127,5 @@ def load_state(sequences: DataFrame, n: int) -> DataFrame:
 
 
 def history_view(state: DataFrame) -> DataFrame:
-    """(user_id, place, token, ts): each user's last events, newest first from 1."""
-    return state.select("user_id", F.posexplode(F.reverse("recent")).alias("p", "e")).select("user_id", (F.col("p") + 1).alias("place"), F.col("e.token").alias("token"), F.col("e.ts").alias("ts"))
+    """(user_id, place, token, positive, gap, ts): each user's last events, newest first from 1."""
+    return state.select("user_id", F.posexplode(F.reverse("recent")).alias("p", "e")).select("user_id", (F.col("p") + 1).alias("place"), "e.token", "e.positive", "e.gap", "e.ts")

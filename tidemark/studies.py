@@ -19,7 +19,9 @@ from tidemark.operators.ridge import ease
 from tidemark.plans import views as V
 from tidemark.sources import files
 from tidemark.sources.stages import scratch, stage
+from tidemark.streaming import serving as SV
 from tidemark.streaming import sessions as SS
+from tidemark.streaming.sink import KeyedTable
 
 
 def unit_sql(text: str) -> str:
@@ -255,27 +257,51 @@ def i4_g4_serving_state(spark, d):
     return s.select("user_id", F.array_join(F.transform("recent", lambda e: e["token"]), ",").alias("recent"), F.array_join("seen", ",").alias("seen"), "last_ts")
 
 
-@query(f"""WITH {STATE}, n AS (SELECT user_id, item_id, ts FROM ratings WHERE ts >= 883612800), a AS (SELECT user_id, item_id, ts, 0 AS late, pos FROM h WHERE b <= 20 UNION ALL SELECT user_id, item_id, ts, 1, 0 FROM n),
-r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY late DESC, ts DESC, CASE WHEN late = 1 THEN item_id ELSE pos END DESC) AS k FROM a)
-SELECT user_id, CAST(k AS integer) AS place, item_id AS token, ts FROM r WHERE k <= 20""")
+WHOLE = """SELECT *, CAST(rating >= 4 AS integer) AS positive, CAST(CASE WHEN g IS NULL THEN 1 ELSE least(32, 2 + floor(log2(g + 1))) END AS integer) AS gap
+ FROM (SELECT *, row_number() OVER w AS pos, ts - lag(ts) OVER w AS g, count(*) OVER (PARTITION BY user_id) AS n, max(ts) OVER (PARTITION BY user_id) AS last_ts FROM {rows}
+ WINDOW w AS (PARTITION BY user_id ORDER BY ts, md5(CAST(user_id AS varchar) || '-' || CAST(item_id AS varchar)), item_id)) q"""
+
+
+@query(f"WITH {RT}, h AS ({WHOLE.format(rows='ratings')}) SELECT user_id, CAST(n - pos + 1 AS integer) AS place, item_id AS token, positive, gap, ts FROM h WHERE pos > n - 20")
 def i3_i9_history_view(spark, d):
-    """State loaded from the old events, new ones appended, read newest first."""
+    """State loaded from the old events, new ones appended, read newest first: gaps and all as from the whole history."""
     new = V.ratings(spark, d).where("ts >= 883612800")
-    events = new.select("user_id", F.col("item_id").alias("token"), F.lit(1).alias("positive"), F.lit(1).alias("gap"), "ts")
+    events = new.select("user_id", F.col("item_id").alias("token"), (F.col("rating") >= S.POSITIVE).cast("int").alias("positive"), "ts", S.tie_key(F.col("user_id"), F.col("item_id")).alias("tie"))
     return Q.history_view(Q.append_events(old_state(spark, d), events, 20))
 
 
+@query(f"""WITH {RT}, x AS (SELECT * FROM ratings WHERE ts < 883612800 OR item_id % 2 = 0), h AS ({WHOLE.format(rows='x')})
+SELECT user_id, array_to_string(list(item_id || ':' || positive || ':' || gap ORDER BY pos) FILTER (pos > n - 20), ',') AS recent, max(n) AS n_seen, max(last_ts) AS last_ts FROM h WHERE user_id IN (SELECT user_id FROM x WHERE ts >= 883612800) GROUP BY user_id""")
+def i3_i6_stream_serving(spark, d):
+    """State loaded from the old events; new ones come by a stream in four batches, with repeated and late ones and items outside the catalog
+    among them, into a keyed table: what readers find equals the state of the whole history."""
+    top, rows = scratch(spark), stage(V.ratings(spark, d))
+    new = rows.where("ts >= 883612800").select("user_id", "item_id", "rating", "ts")
+    late = new.select("user_id", (F.col("item_id") % 150 + 1).alias("item_id"), "rating", (F.col("ts") - 100_000_000).alias("ts"))
+    third, last = (new.agg(F.percentile_approx("ts", [0.4, 0.8])).first() or [[0, 0]])[0] or (0, 0)
+    for part in (new.where(F.col("ts") <= third), new.where((F.col("ts") > third) & (F.col("ts") <= last)), new.where(F.col("ts") > last), new.unionByName(late)):
+        part.coalesce(1).write.mode("append").json(f"{top}/in")  # a file a batch, in this order
+    events = spark.readStream.schema(SS.EVENT).option("maxFilesPerTrigger", 1).json(f"{top}/in")
+    tokens = V.table(spark, d, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("item_id"), F.col("p_partkey").alias("token"))
+    table = KeyedTable(f"{top}/state", "user_id", ("last_ts", "n_seen"), 8)
+    SV.serve(SV.serving_updates(events, tokens, 20, stage(old_state(spark, d))), table, f"{top}/at").awaitTermination()
+    line = F.transform("recent", lambda e: F.concat_ws(":", e["token"].cast("string"), e["positive"].cast("string"), e["gap"].cast("string")))
+    return table.read(spark).select("user_id", F.array_join(line, ",").alias("recent"), "n_seen", "last_ts")
+
+
 @query(f"""WITH {EV}, u AS (SELECT DISTINCT user_id, item_id, ts, max(rating) AS rating FROM stream WHERE item_id % 2 = 0 GROUP BY ALL), e AS (SELECT *, max(ts) OVER (PARTITION BY user_id) AS t FROM u), w AS (SELECT * FROM e WHERE ts > t - 1800)
-SELECT user_id, t AS ts, CAST(count(*) AS double) AS session_n_events, CAST(max(ts * 100000 + item_id) % 100000 AS double) AS session_last_item_id, CAST(t AS double) AS session_last_ts FROM w GROUP BY user_id, t""")
+SELECT user_id, t AS ts, CAST(count(*) AS double) AS session_n_events, CAST(count(*) FILTER (rating >= 4) AS double) AS session_n_positive, round(avg(rating), 6) AS session_mean_rating,
+ CAST(max(ts * 100000 + item_id) % 100000 AS double) AS session_last_item_id, CAST(t AS double) AS session_last_ts FROM w GROUP BY user_id, t""")
 def i1_i7_stream_sessions(spark, d):
     """Events replayed through a stream of files into the keyed sink; its last rows equal the batch definition."""
     top = scratch(spark)
     V.event_stream(spark, d).select("user_id", "item_id", "rating", "ts").repartition(4, "user_id").write.json(f"{top}/in")
     catalog = V.table(spark, d, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("item_id"))
     events = spark.readStream.schema(SS.EVENT).json(f"{top}/in")
-    asked = SS.stream_sessions(events, catalog).writeStream.foreachBatch(SS.upsert_latest(f"{top}/out")).option("checkpointLocation", f"{top}/at").trigger(availableNow=True).start()
+    table = KeyedTable(f"{top}/out", "user_id", SS.NEWEST, 8)
+    asked = SS.stream_sessions(events, catalog).writeStream.foreachBatch(table).option("checkpointLocation", f"{top}/at").trigger(availableNow=True).start()
     asked.awaitTermination()
-    return SS.latest_sessions(spark, f"{top}/out").select("user_id", "ts", "session_n_events", "session_last_item_id", "session_last_ts")
+    return rounded(table.read(spark).drop("item_id"))
 
 
 # --- evaluation of recommenders ---

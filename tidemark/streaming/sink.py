@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,8 +42,14 @@ class KeyedTable:
         return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
 
     def places(self, spark: SparkSession, number: int) -> dict[int, int]:
-        """Which batch wrote each bucket last, as of a batch: ``buckets`` rows at most."""
-        return {r.bucket: r.written for r in spark.read.schema("bucket int, written bigint").parquet(f"{self.path}/lists/batch={number}").collect()}
+        """Which batch wrote each bucket last, as of a batch: ``buckets`` entries at most."""
+        place, fs = _hadoop(spark, f"{self.path}/lists/batch={number}")
+        file = fs.open(place)
+        try:
+            found = json.loads(bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(file)))
+        finally:
+            file.close()
+        return {int(b): written for b, written in found.items()}
 
     def __call__(self, batch: DataFrame, number: int) -> None:
         """Take a batch in: a ``foreachBatch`` function. Rows that are equal in ``order`` don't replace what is there."""
@@ -66,9 +73,11 @@ class KeyedTable:
 
     def _list(self, spark: SparkSession, held: dict[int, int], number: int) -> None:
         beside, final = f"{self.path}/beside-{number}", f"{self.path}/lists/batch={number}"
-        spark.createDataFrame(sorted(held.items()), "bucket int, written bigint").coalesce(1).write.mode("overwrite").parquet(beside)
         target, fs = _hadoop(spark, final)
         fs.mkdirs(target.getParent())
+        file = fs.create(_hadoop(spark, beside)[0], True)
+        file.write(bytearray(json.dumps(held).encode()))
+        file.close()
         fs.delete(target, True)  # only a batch that is done again finds one
         if not fs.rename(_hadoop(spark, beside)[0], target):
             raise OSError(f"cannot put {final} in place")

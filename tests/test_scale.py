@@ -136,3 +136,23 @@ def test_bootstrap_takes_an_aggregate(spark):
     df = spark.createDataFrame([(u, float(u)) for u in range(50)], "user_id long, a double")
     r = E.bootstrap(df, ["a"], 100, aggregate=lambda value, w: F.max(F.when(w > 0, value))).first()
     assert r["mean"] == 49.0 and r.low < 49.0 and r.high == 49.0
+
+
+@pytest.mark.parametrize("from_day", [None, 15])
+def test_snapshots_of_every_kind_of_feature(spark, from_day):
+    rng = random.Random(9)
+    events = [(k, float(rng.randint(1, 5)), rng.randrange(30) * 86400 + rng.randrange(86400)) for k in range(3) for _ in range(25)]
+    kinds = [("count", None), ("sum", "rating"), ("min", "rating"), ("max", "ts")]
+    made = tuple(P.Feature(f"{kind}_{days}_{pos}", kind, c, days, pos) for kind, c in kinds for days in (None, 4, 9) for pos in (False, True))
+    df = spark.createDataFrame(events, "k long, rating double, ts long")
+    got = {(r.k, r.snapshot_day): r for r in P.snapshots(df, P.FeatureTable("k", made), from_day).collect()}
+    due = {(k, t // 86400 + 1 + w) for k, _, t in events for w in (0, 4, 9)}
+    if from_day is not None:
+        due = {(k, d) for k, d in due if d >= from_day} | {(k, from_day) for k, d in due if d < from_day}
+    assert set(got) == due
+    for (k, day), row in got.items():
+        for f in made:
+            inside = [(r, t) for a, r, t in events if a == k and t // 86400 < day and (f.days is None or t // 86400 >= day - f.days) and (r >= 4 or not f.positives)]
+            values = [t if f.column == "ts" else r for r, t in inside]
+            want = len(inside) if f.kind == "count" else sum(values) if f.kind == "sum" else None if not values else min(values) if f.kind == "min" else max(values)
+            assert row[f.name] == want, (f.name, k, day)

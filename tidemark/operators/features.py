@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import DAY_SECONDS, POSITIVE, day_of, smoothed
 from tidemark.sources.stages import stage
 
-MERGE = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
+KINDS = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}
 
 
 @dataclass(frozen=True)
@@ -24,19 +24,21 @@ class Feature:
     positives: bool = False
 
     def __post_init__(self) -> None:
-        if self.kind not in MERGE or (self.kind == "count") == (self.column is not None) or (self.days is not None and self.days < 1):
+        if self.kind not in KINDS or (self.kind == "count") == (self.column is not None) or (self.days is not None and self.days < 1):
             raise ValueError(f"{self.name}: a count has no column, other kinds need one, days must be positive")
 
-    def daily(self) -> Column:
-        chosen = F.col("rating") >= POSITIVE if self.positives else F.lit(True)
-        value = F.when(chosen, F.col(self.column) if self.column else F.lit(1))
-        return (F.count(value) if self.kind == "count" else MERGE[self.kind](value)).alias(self.name)
+    @property
+    def measure(self) -> str:
+        """What is taken of a day's events; features that differ only in ``days`` share it."""
+        return "_".join(["m", self.kind, self.column or "rows", "positive" if self.positives else "all"])
+
+    @property
+    def adds_up(self) -> bool:
+        return self.kind in ("count", "sum")
 
-    def as_of(self, key: str) -> Column:
-        frame = Window.partitionBy(key).orderBy("snapshot_day").rangeBetween(-self.days if self.days else Window.unboundedPreceding, -1)
-        total = MERGE[self.kind](self.name).over(frame)
-        whole = self.kind == "count" or self.column == "ts"
-        return (F.coalesce(total, F.lit(0)) if self.kind in ("count", "sum") else total).cast("bigint" if whole else "double").alias(self.name)
+    def of_day(self) -> Column:
+        what = F.col(self.column) if self.column else F.lit(1)
+        return KINDS[self.kind](F.when(F.col("rating") >= POSITIVE, what) if self.positives else what).alias(self.measure)
 
 
 @dataclass(frozen=True)
@@ -69,19 +71,45 @@ def snapshots(events: DataFrame, spec: FeatureTable, from_day: int | None = None
     """A row per entity and day on which its features may change: the day after activity, and when a window lets it go.
 
     Features cover the days strictly before. ``from_day`` leaves out earlier rows and adds one on that day for each
-    entity active before. Events are summed per day before any window, and all frames share one sort per entity.
+    entity active before.
+
+    A day's measures enter an entity's features on the next day and leave a window of w days w days later, with their
+    sign turned. What enters and leaves on a day is one row, and a snapshot is the running total of those rows up to its
+    day: no frame is searched, and the rows are the snapshots. Smallest and largest values can't leave; over a window they
+    are taken from the days inside it.
     """
     key = spec.key
-    days = events.withColumn("snapshot_day", day_of(F.col("ts"))).groupBy(key, "snapshot_day").agg(*[f.daily() for f in spec.features])
-    moved = F.transform(F.array(*[F.lit(w) for w in (0, *spec.windows)]), lambda w: F.col("snapshot_day") + 1 + w)
-    if from_day is not None:
-        late = F.filter(moved, lambda d: d >= from_day)
-        moved = F.when(F.col("snapshot_day") < from_day, F.array_union(late, F.array(F.lit(from_day).cast("bigint")))).otherwise(late)
-    due = days.select(key, F.explode(moved).alias("snapshot_day")).distinct().withColumn("due", F.lit(True))
-    line = days.join(due, [key, "snapshot_day"], "full_outer")
-    out = line.select(key, "snapshot_day", "due", *[f.as_of(key) for f in spec.features]).where("due")
+    measures = {f.measure: f.of_day() for f in spec.features}
+    days = events.groupBy(key, day_of(F.col("ts")).alias("day")).agg(*measures.values())
+    shifts = F.explode(F.array(*[F.lit(w) for w in (0, *spec.windows)])).alias("shift")
+    due = F.col("day") + 1 + F.col("shift")
+    moves = days.select("*", shifts).withColumn("snapshot_day", due if from_day is None else F.greatest(due, F.lit(from_day).cast("bigint")))
+
+    def moved(f: Feature) -> Column:
+        enters = F.when(F.col("shift") == 0, F.col(f.measure))
+        if f.adds_up:
+            return F.coalesce(F.sum(enters.when(F.col("shift") == f.days, -F.col(f.measure)) if f.days else enters), F.lit(0)).alias(f.name)
+        if f.days:  # the days inside a window, each with its value
+            return F.collect_list(F.when((F.col("shift") == 0) & F.col(f.measure).isNotNull(), F.struct("day", f.measure))).alias(f.name)
+        return KINDS[f.kind](enters).alias(f.name)
+
+    so_far = Window.partitionBy(key).orderBy("snapshot_day").rowsBetween(Window.unboundedPreceding, 0)
+
+    def held(f: Feature) -> Column:
+        whole = "bigint" if f.kind == "count" or f.column == "ts" else "double"
+        if f.adds_up:
+            return F.sum(f.name).over(so_far).cast(whole).alias(f.name)
+        if f.days:
+            late = Window.partitionBy(key).orderBy("snapshot_day").rangeBetween(-f.days, 0)  # the first of them may hold older days
+            inside = F.filter(F.flatten(F.collect_list(f.name).over(late)), lambda x: x["day"] >= F.col("snapshot_day") - f.days)
+            return (F.array_min if f.kind == "min" else F.array_max)(F.transform(inside, lambda x: x[f.measure])).cast(whole).alias(f.name)
+        return KINDS[f.kind](f.name).over(so_far).cast(whole).alias(f.name)
+
+    # An entity's rows stay together from here on, so summing, sorting and running totals need no further exchange.
+    steps = moves.repartition(key).groupBy(key, "snapshot_day").agg(*[moved(f) for f in spec.features])
+    out = steps.select(key, "snapshot_day", *[held(f) for f in spec.features])
     out = out.withColumns({name: smoothed(F.col(n), F.col(d), prior, weight) for name, n, d, prior, weight in spec.ratios})
-    return out.withColumn("event_timestamp", F.timestamp_seconds(F.col("snapshot_day") * DAY_SECONDS)).drop("due")
+    return out.withColumn("event_timestamp", F.timestamp_seconds(F.col("snapshot_day") * DAY_SECONDS))
 
 
 #: Keys of more than one in so many of all rows are cut into ranges of time; there are fewer of them than this number.

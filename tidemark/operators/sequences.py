@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import POSITIVE, gap_bucket, log_inclusion, tie_key, unit, year_bucket
+from tidemark.sources.stages import stage
 
 
 def global_rank(df: DataFrame, first: str, *rest: str, name: str = "place", ranges: int = 64) -> DataFrame:
@@ -16,8 +17,9 @@ def global_rank(df: DataFrame, first: str, *rest: str, name: str = "place", rang
     """
     cuts = sorted(set(df.approxQuantile(first, [i / ranges for i in range(1, ranges)], 0.01)))
     part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(first))) if cuts else F.lit(0)
-    ranked = df.withColumn("_p", part).withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(first, *rest)))
-    sizes = df.groupBy(part.alias("_p")).agg(F.count("*").alias("n"))  # a row a range
+    placed = stage(df.withColumn("_p", part))  # read by two branches, which must see the same ranges
+    ranked = placed.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(first, *rest)))
+    sizes = placed.groupBy("_p").agg(F.count("*").alias("n"))  # a row a range
     starts = sizes.select("_p", (F.sum("n").over(Window.orderBy("_p")) - F.col("n")).alias("_start"))
     return ranked.join(F.broadcast(starts), "_p").withColumn(name, F.col("_start") + F.col("_r")).drop("_p", "_r", "_start")
 

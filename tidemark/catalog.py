@@ -12,6 +12,7 @@ from tidemark.functions import scalars as S
 from tidemark.operators import evaluation as E
 from tidemark.operators import features as P
 from tidemark.operators import monitoring as M
+from tidemark.operators import ranker_inputs as RI
 from tidemark.operators import recommend as R
 from tidemark.operators import sequences as Q
 from tidemark.operators import splits as T
@@ -367,6 +368,43 @@ def j23_ranker_features(spark, d):
     return R.ranker_features(rows, P.snapshots(train, P.standard("user")), P.snapshots(train, P.standard("item")), R.user_profiles(train, movies, V.GENRES), movies, cutoff_of(split), V.GENRES)
 
 
+PARITY_SQL = f"""WITH {POPULAR}, {MV}, c AS (SELECT user_id, item_id, CAST(score AS float) AS score, rank FROM recs UNION ALL SELECT -1 - user_id, item_id, CAST(score AS float), rank FROM recs),
+b AS (SELECT floor(min(ts) / 86400) AS d, min(ts) AS t FROM split WHERE partition = 'val'),
+past AS (SELECT train.*, d - floor(ts / 86400) AS ago FROM train, b WHERE floor(ts / 86400) < d),
+us AS (SELECT user_id, count(*) AS n, (count(*) FILTER (rating >= 4) + 2.5) / (count(*) + 5.0) AS pr, (sum(rating) + 17.5) / (count(*) + 5.0) AS mr, count(*) FILTER (ago <= 30) AS n30, min(ts) AS ft, max(ts) AS lt FROM past GROUP BY user_id),
+it AS (SELECT item_id, count(*) AS n, (count(*) FILTER (rating >= 4) + 2.5) / (count(*) + 5.0) AS pr, (sum(rating) + 17.5) / (count(*) + 5.0) AS mr, count(*) FILTER (ago <= 7) AS n7, count(*) FILTER (ago <= 30) AS n30,
+ min(ts) AS ft, max(ts) AS lt FROM past GROUP BY item_id),
+y AS (SELECT user_id, avg(year) AS mean_year FROM train JOIN movies USING (item_id) GROUP BY user_id),
+w AS (SELECT user_id, g, n / sqrt(sum(n * n) OVER (PARTITION BY user_id)) AS w FROM (SELECT user_id, g, count(*) AS n FROM (SELECT user_id, unnest(genres) AS g FROM train JOIN movies USING (item_id) WHERE rating >= 4) q GROUP BY ALL) r),
+ig AS (SELECT DISTINCT item_id, unnest(genres) AS g FROM movies), ng AS (SELECT item_id, (SELECT count(*) FROM ig WHERE ig.item_id = m.item_id) AS n FROM movies m),
+dot AS (SELECT c.user_id, c.item_id, sum(w.w) AS p FROM c JOIN ig USING (item_id) JOIN w ON w.user_id = c.user_id AND w.g = ig.g GROUP BY ALL),
+made AS (SELECT CAST(c.score AS double) AS retrieval_score, CAST(rank AS double) AS retrieval_rank, us.pr AS user_positive_rate, us.mr AS user_mean_rating, CAST(us.n30 AS double) AS user_n_ratings_30d, it.pr AS item_positive_rate,
+ it.mr AS item_mean_rating, CAST(ng.n AS double) AS item_n_genres, ln(1 + coalesce(us.n, 0)) AS user_log_n_ratings, (t - us.lt) / 86400.0 AS user_days_since_last, (t - us.ft) / 86400.0 AS user_tenure_days, ln(1 + coalesce(it.n, 0)) AS item_log_n_ratings,
+ ln(1 + coalesce(it.n7, 0)) AS item_log_n_ratings_7d, ln(1 + coalesce(it.n30, 0)) AS item_log_n_ratings_30d, (t - it.ft) / 86400.0 AS item_age_days, (t - it.lt) / 86400.0 AS item_days_since_last, CAST(m.year AS double) AS item_year,
+ CASE WHEN ng.n > 0 THEN coalesce(p, 0.0) / sqrt(ng.n) ELSE 0.0 END AS genre_affinity, abs(m.year - mean_year) AS year_gap
+ FROM c CROSS JOIN b LEFT JOIN us USING (user_id) LEFT JOIN it ON it.item_id = c.item_id LEFT JOIN y ON y.user_id = c.user_id LEFT JOIN movies m ON m.item_id = c.item_id LEFT JOIN ng ON ng.item_id = c.item_id
+ LEFT JOIN dot ON dot.user_id = c.user_id AND dot.item_id = c.item_id)
+SELECT feature, count(value) AS n_known, round(avg(value), 3) AS mean, CAST(0 AS bigint) AS mismatches FROM made UNPIVOT INCLUDE NULLS (value FOR feature IN (COLUMNS(*))) GROUP BY feature"""
+
+
+@query(PARITY_SQL)
+def j24_feature_parity(spark, d):
+    """The features of the request path, and where they differ from the candidate table's; each list is also asked for by an unknown user."""
+    split, train, relevant, _, recs = popular_lists(spark, d)
+    movies, cutoff = V.movies(spark, d), cutoff_of(split)
+    listed = R.candidates(recs, relevant).select("user_id", "item_id", "retrieval_score", "retrieval_rank")
+    rows = stage(listed.unionByName(listed.withColumn("user_id", -1 - F.col("user_id"))))
+    users, items = (stage(P.snapshots(train, P.standard(e))) for e in ("user", "item"))
+    profiles = stage(R.user_profiles(train, movies, V.GENRES))
+    until = F.timestamp_seconds(F.lit(cutoff))
+    online = [P.latest_per_key(t, k, "event_timestamp", until) for t, k in ((users, "user_id"), (items, "item_id"))]
+    made = stage(RI.request_features(RI.requests(rows, *online, profiles, movies, cutoff, V.GENRES), V.GENRES))
+    offline = R.ranker_features(rows, users, items, profiles, movies, cutoff, V.GENRES)
+    differ = E.parity(made, offline, ["user_id", "item_id"], RI.FEATURES, 1e-6)
+    held = made.agg(*[F.struct(F.count(c).alias("n_known"), F.round(F.avg(c), 3).alias("mean")).alias(c) for c in RI.FEATURES]).unpivot([], RI.FEATURES, "feature", "held")
+    return held.join(differ, "feature").select("feature", "held.n_known", "held.mean", "mismatches")
+
+
 @query()
 def k4_k8_drift(spark, d):
     split, rows = split_of(spark, d), stage(V.ratings(spark, d))

@@ -13,6 +13,7 @@ from tidemark.functions.scalars import DAY_SECONDS, POSITIVE
 from tidemark.operators.evaluation import top_k
 from tidemark.operators.features import latest_per_key
 from tidemark.operators.pairs import co_occurrence
+from tidemark.operators.ranker_inputs import column_features, content
 from tidemark.operators.sequences import global_rank
 from tidemark.sources.stages import stage
 
@@ -167,20 +168,9 @@ def ranker_features(rows: DataFrame, user_snaps: DataFrame, item_snaps: DataFram
     """Candidates plus the ranker's inputs, from the latest snapshots before the cutoff."""
     until = F.timestamp_seconds(F.lit(cutoff))
     u, i = latest_per_key(user_snaps, "user_id", "event_timestamp", until), latest_per_key(item_snaps, "item_id", "event_timestamp", until)
-    mine = F.array(*[F.array_contains("genres", g).cast("double") for g in genres])
-    items = movies.select("item_id", "year", mine.alias("item_genres"), F.aggregate(mine, F.lit(0.0), lambda s, x: s + x).alias("item_n_genres"))
-    df = rows.join(u.drop("snapshot_day", "event_timestamp"), "user_id", "left").join(i.drop("snapshot_day", "event_timestamp"), "item_id", "left").join(profiles, "user_id", "left").join(items, "item_id", "left")
-    days = lambda c: (cutoff - F.col(c)) / float(DAY_SECONDS)
-    log = lambda c: F.log1p(F.coalesce(c, F.lit(0)))
-    inner = F.aggregate(F.zip_with("user_genres", "item_genres", lambda a, b: F.coalesce(a, F.lit(0.0)) * F.coalesce(b, F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
-    made = {
-        "user_log_n_ratings": log("user_n_ratings"), "user_days_since_last": days("user_last_ts"), "user_tenure_days": days("user_first_ts"),
-        "item_log_n_ratings": log("item_n_ratings"), "item_log_n_ratings_7d": log("item_n_ratings_7d"), "item_log_n_ratings_30d": log("item_n_ratings_30d"),
-        "item_age_days": days("item_first_ts"), "item_days_since_last": days("item_last_ts"), "item_year": F.col("year"),
-        "genre_affinity": F.when(F.col("item_n_genres") > 0, F.coalesce(inner, F.lit(0.0)) / F.sqrt("item_n_genres")).otherwise(0.0), "year_gap": F.abs(F.col("year") - F.col("user_mean_year")),
-    }
-    kept = ["user_positive_rate", "user_mean_rating", "user_n_ratings_30d", "item_positive_rate", "item_mean_rating", "item_n_genres"]
-    return df.select(*rows.columns, *[F.col(c).cast("float").alias(c) for c in kept], *[c.cast("float").alias(n) for n, c in made.items()])
+    df = rows.join(u.drop("snapshot_day", "event_timestamp"), "user_id", "left").join(i.drop("snapshot_day", "event_timestamp"), "item_id", "left")
+    df = df.join(profiles, "user_id", "left").join(content(movies, genres), "item_id", "left")
+    return df.select(*rows.columns, *column_features(df, cutoff))
 
 
 def rerank(rows: DataFrame, score: str, k: int) -> DataFrame:

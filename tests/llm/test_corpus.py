@@ -120,6 +120,27 @@ def test_main_text(spark):
     assert "story 3" in got[25].text and len(got) == 20
 
 
+def test_what_stays_in_an_article():
+    text = lambda source: Page(source).text(set())
+    two = "<main><article><p>First story.</p></article><article><h2>B</h2><p>Second.</p></article></main><article><p>Teaser</p></article>"
+    assert text(two) == "First story.\n\nB\n\nSecond."
+    assert text("<article><p>One</p></article><div><article><p>Two</p><article class='comment'><p>lol</p></article></article></div>") == "One\n\nTwo"
+    inner = "<section class='social-history'><p>S</p></section><div class='related-work'>R</div><div class='social share-bar'>x</div><div class='related'>x</div><p class='legal-history'>L</p>"
+    assert text(f"<article><p>a</p>{inner}<div class='ad-slot-3'>x</div><div class='promo-summer'>x</div><noscript>N</noscript><object>O</object></article>") == "a\n\nS\n\nR\n\nL\n\nNO"
+    assert text("<body><noscript>Enable scripts</noscript><p><a href=a>One linked paragraph</a></p><p><a href=b>Another</a></p><ul><li><a href=c>menu</a></ul></body>") == "One linked paragraph\n\nAnother"
+    assert text("<article class='post comments-open'>kept</article>") == "kept"
+
+
+def test_shapes_recur(spark):
+    """Menus whose words change on each page are templates by their shape; one like them on another host, and the articles, stay."""
+    box = lambda i: f"<div class=m{i}><p><a href=/{i}>go {i}</a></p><p><a href=/x{i}>see {i}</a></p></div>"
+    rows = [(i, f"https://h.example/{i}", f"<body>{box(i)}<div><p>Story {i} is told here.</p><p>And ends {i}.</p></div></body>") for i in range(12)]
+    rows += [(20, "https://other.example/", f"<body>{box(20)}<p>Alone.</p></body>"), (21, "https://h.example/m", "<nav>x 21</nav><article><p>Plain 21.</p></article>")]
+    got = {r.page_id: r for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i].text == f"Story {i} is told here.\n\nAnd ends {i}." and got[i].n_template_blocks == 2 for i in range(12))
+    assert got[20].text == "go 20\n\nsee 20\n\nAlone." and got[21].text == "Plain 21."
+
+
 def slow_article(source):
     """Main text of a page of the test tables by Python's own parser: what lies in <article>, split at block tags."""
     from html.parser import HTMLParser
@@ -164,11 +185,14 @@ def test_main_text_of_the_tables(spark):
     source = {r.page_id: r.html for r in pages.collect()}
     got = main_text(pages).collect()
     assert len(got) == len(source) and all(r.text == slow_article(source[r.page_id]) for r in got)
-    # Menus and footers of these tables differ from page to page, so the counts find nothing; planted ones: test_main_text.
+    # Menus and footers of these tables differ from page to page; their shapes recur, on hosts with enough pages to tell.
+    host = lambda r: (r.url or "").split("/")[2:3]
+    many = [r for r in got if sum(host(r) == host(x) for x in got) >= 10]
+    assert len(many) > 50 and sum(r.n_template_blocks > 0 for r in many) > 0.9 * len(many)
     menu = "<nav><ul><li>Home</li><li>News</li></ul></nav><div><p>Read all our stories</p></div>"
     planted = [(i, f"https://h.example/{i}", f"<body>{menu}{(s or '')[(s or '').find('<article'):]}") for i, s in list(source.items())[:40]]
     again = main_text(spark.createDataFrame(planted, "page_id long, url string, html string")).collect()
-    assert all(r.text == slow_article(source[r.page_id]) and r.n_template_blocks == 3 for r in again if "<article" in source[r.page_id])
+    assert all(r.text == slow_article(source[r.page_id]) and r.n_template_blocks >= 3 for r in again if "<article" in source[r.page_id])
 
 
 def test_lines(spark):

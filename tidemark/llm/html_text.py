@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import batch, cut
 
 # Element and word lists of the tag rules.
-RAW = {"script", "style", "textarea", "title", "iframe", "xmp", "noembed", "noframes", "noscript", "template", "svg", "object", "select", "canvas", "audio", "video"}
+RAW = {"script", "style", "textarea", "title", "iframe", "xmp", "noembed", "noframes", "template", "svg", "select", "canvas", "audio", "video"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption".split()
 )
 PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "dd", "dt", "td", "th", "tr", "figcaption", "figure", "caption", "summary"}
+PARAGRAPHS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figcaption"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 CLOSES_ITSELF = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select", "datalist")}
 DROPPED_TAGS = {"nav", "footer", "aside", "form", "head", "button", "menu", "dialog", "search", "fieldset", "label", "datalist", "map", "dir"}
@@ -32,6 +33,15 @@ DROPPED_WORDS = set(
     "subscription signup login signin register paywall popup modal overlay lightbox share sharing social related recommended recommendations trending "
     "widget widgets disclaimer copyright legal skip search searchbox form hidden".split()
 )
+# Inside a marked article these drop by any part of a class; other words only where the rest of the class says no more than a box does.
+PLAIN_WORDS = set(
+    "ad ads adv advert adverts advertisement advertisements advertising adsense adslot adbox adunit sponsored sponsors promo promos promoted sidebar navbar topnav subnav "
+    "breadcrumb breadcrumbs pagination pager comment comments commentlist disqus cookie cookies gdpr newsletter paywall popup".split()
+)
+BOX_WORDS = set(
+    "area articles bar block bottom box bottom button buttons container content group icon icons inner item items left line link links list media "
+    "outer page panel posts reader right row section site slot stories this top unit user wrap wrapper".split()
+)
 SOFT_WORDS = {"header", "heading", "head"}
 CONTENT_WORDS = {"article", "content", "body", "main", "post", "entry", "story", "text"}
 
@@ -41,10 +51,23 @@ TAG = re.compile(
     re.DOTALL,
 )
 ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+CLASS = re.compile(r"""\bclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+DIGITS = re.compile(r"[0-9]+")
 NEGATED = re.compile(r"\b(?:no|has|with|without|hide)[-_](\w+)")
 
 
-def _dropped(tag: str, attrs: str) -> str:
+def _furniture(value: str, tag: str, in_article: bool) -> bool:
+    """Whether a class or id names what isn't main text; in an article a word that also names subjects (social-history) must stand by itself."""
+    if tag == "article":
+        return bool(set(value.split()) & DROPPED_WORDS)
+    for token in value.split():
+        parts = set(re.split(r"[^a-z0-9]+", token)) - {""}
+        if parts & DROPPED_WORDS and (not in_article or parts & PLAIN_WORDS or all(x in DROPPED_WORDS or x in BOX_WORDS or len(x) == 1 or x[0].isdigit() for x in parts)):
+            return True
+    return False
+
+
+def _dropped(tag: str, attrs: str, in_article: bool = False) -> str:
     """'all' if the element isn't main text, 'soft' if only its headings are, else ''."""
     if tag in DROPPED_TAGS:
         return "all"
@@ -57,11 +80,12 @@ def _dropped(tag: str, attrs: str) -> str:
             return "all"
         if name == "role" and value.strip() in DROPPED_ROLES:
             return "all"
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-            words = set(re.split(r"[^a-z0-9]+", NEGATED.sub(" ", value)))
-            if words & DROPPED_WORDS:
+        if name in ("class", "id") and tag not in ("html", "body", "main"):
+            value = NEGATED.sub(" ", value)
+            if _furniture(value, tag, in_article):
                 return "all"
-            if words & SOFT_WORDS and not words & CONTENT_WORDS:
+            words = set(re.split(r"[^a-z0-9]+", value))
+            if tag != "article" and words & SOFT_WORDS and not words & CONTENT_WORDS:
                 kind = "soft"
     return kind
 
@@ -69,15 +93,17 @@ def _dropped(tag: str, attrs: str) -> str:
 class Page:
     """Blocks of text and the elements around them.
 
-    ``elements`` holds [tag, parent, hash of the subtree, characters that the tag rules leave, all characters];
-    ``blocks`` holds (element, text, link characters, whether the rules drop it).
+    ``elements`` holds [tag, parent, hash of the subtree, characters that the tag rules leave, all characters, link
+    characters, hash of the subtree's shape]; ``blocks`` holds (element, text, link characters, whether the rules drop it).
+    A shape is tags, class words without digits and marks for text and links; repeats in a row are one.
     """
 
     def __init__(self, source: str):
-        self.elements: list[list] = [["#root", -1, 0, 0, 0]]
+        self.elements: list[list] = [["#root", -1, 0, 0, 0, 0, 0]]
         self.blocks: list[tuple[int, str, int, bool]] = []
         self._digests = [xxhash.xxh64()]
-        self._stack, self._drops = [0], [""]
+        self._shapes: list[list[str]] = [[]]
+        self._stack, self._drops, self._in_article = [0], [""], [False]
         self._line: list[str] = []
         self._linked = 0
         self._read(source)
@@ -96,20 +122,31 @@ class Page:
                 self._digests[at].update(text.encode("utf-8", "replace"))
                 self.elements[at][3] += 0 if dropped else len(text)
                 self.elements[at][4] += len(text)
+                self.elements[at][5] += min(self._linked, len(text))
+                self._mark(at, "a" if self._linked >= 0.5 * len(text) else "t")
             self._line, self._linked = [], 0
 
+    def _mark(self, at: int, shape: str) -> None:
+        if self._shapes[at][-1:] != [shape]:
+            self._shapes[at].append(shape)
+
     def _pop(self) -> None:
         at = self._stack[-1]
         tag, up = self.elements[at][:2]
         self._flush()
         self._stack.pop()
         self._drops.pop()
+        self._in_article.pop()
         digest = self._digests[at].intdigest()
         self.elements[at][2] = digest
         self.elements[up][3] += self.elements[at][3]
         self.elements[up][4] += self.elements[at][4]
+        self.elements[up][5] += self.elements[at][5]
         if self.elements[at][4]:
             self._digests[up].update(f"<{tag} {digest}>".encode())
+            self.elements[at][6] = xxhash.xxh64_intdigest("shape " + " ".join(self._shapes[at]))
+            self._mark(up, f"<{self.elements[at][6]}>")
+        self._shapes[at] = []
 
     def _close(self, tags: set[str] | tuple[str, ...], scope: set[str] | tuple[str, ...] = ()) -> None:
         for i in range(len(self._stack) - 1, 0, -1):
@@ -123,13 +160,16 @@ class Page:
 
     def _open(self, tag: str, attrs: str) -> None:
         self._flush()
-        drop, kind = self._drops[-1], _dropped(tag, attrs)
+        drop, kind = self._drops[-1], _dropped(tag, attrs, self._in_article[-1])
         if drop == "all" or kind == "all":
             drop = "all"
         elif drop == "soft" or kind == "soft":
             drop = "" if tag in HEADINGS and any(self.elements[i][0] in ("article", "main") for i in self._stack) else "soft"
-        self.elements.append([tag, self._stack[-1], 0, 0, 0])
+        self.elements.append([tag, self._stack[-1], 0, 0, 0, 0, 0])
         self._digests.append(xxhash.xxh64())
+        named = CLASS.search(attrs) if attrs else None
+        self._shapes.append([f"{tag}.{DIGITS.sub('', named[1] or named[2] or named[3]).lower()}" if named else tag])
+        self._in_article.append(self._in_article[-1] or tag == "article")
         self._stack.append(len(self.elements) - 1)
         self._drops.append(drop)
 
@@ -154,7 +194,7 @@ class Page:
                 if m[0].startswith("<![CDATA["):
                     self._text(html.escape(m[0][9:-3], quote=False), False)
                 continue
-            if tag in RAW and not attrs.endswith("/"):
+            if (tag in RAW or tag == "noscript" and not self._in_article[-1]) and not attrs.endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.IGNORECASE).search(source, at)
                 at = end.end() if end else len(source)
             elif tag == "br" or tag in ("img", "wbr", "input") or tag in VOID and tag != "hr":
@@ -174,7 +214,7 @@ class Page:
             elif tag == "a":
                 inline = [x for x in inline if x != "a"] + ["a"]
             elif tag == "span" and not attrs.endswith("/"):
-                inline.append("drop" if _dropped(tag, attrs) == "all" else "span")
+                inline.append("drop" if _dropped(tag, attrs, self._in_article[-1]) == "all" else "span")
         if at < len(source) and "drop" not in inline:
             self._text(source[at:], False)
 
@@ -182,48 +222,62 @@ class Page:
         self._line.append(text)
         self._linked += linked * len(text)
 
-    def _inside(self, root: int) -> list[bool]:
-        inside = [False] * len(self.elements)
-        inside[root] = True
-        for i in range(root + 1, len(self.elements)):
-            inside[i] = inside[i] or inside[self.elements[i][1]]
+    def _within(self, roots: set[int]) -> list[bool]:
+        inside: list[bool] = []
+        for i, e in enumerate(self.elements):
+            inside.append(i in roots or e[1] >= 0 and inside[e[1]])
         return inside
 
-    def main(self) -> tuple[int, list[bool]]:
-        """The element that holds the article, 0 if none is marked, and which elements lie in it."""
-        best = 0
-        sizes = {tag: max(((e[3], -i) for i, e in enumerate(self.elements) if e[0] == tag and e[3]), default=(0, 0)) for tag in ("article", "main")}
-        if sizes["article"][0]:
-            best = -sizes["article"][1]
-        if sizes["main"][0] > 2 * sizes["article"][0]:
-            best = -sizes["main"][1]
-        return best, self._inside(best)
-
-    def _boxes(self) -> list[bool]:
-        """Which elements may be site furniture: not what holds the article, and in a page with a marked article boxes, not prose."""
-        root, up = self.main()[0], set()
-        at = root
-        while at >= 0:
-            up.add(at)
-            at = self.elements[at][1]
-        return [i not in up and e[4] > 0 and (not root or e[0] not in PROSE) and e[0] not in ("body", "html") for i, e in enumerate(self.elements)]
-
-    def subtrees(self) -> list[int]:
-        """Hashes of the subtrees that may be site furniture."""
-        return [_signed(e[2]) for e, box in zip(self.elements, self._boxes(), strict=True) if box]
+    def main(self) -> tuple[bool, set[int], list[bool]]:
+        """Whether the article is marked, the elements that hold it (the page, if not), and which elements lie in them.
+
+        All outermost articles that the rules leave, in <main> if some are there; <main> itself if it has over twice their text.
+        """
+        tags, n = [e[0] for e in self.elements], [e[3] for e in self.elements]
+        in_main = self._within({i for i, tag in enumerate(tags) if tag == "main"})
+        nested = self._within({i for i, tag in enumerate(tags) if tag == "article"})
+        found = [i for i, tag in enumerate(tags) if tag == "article" and n[i] and not nested[self.elements[i][1]]]
+        found = [i for i in found if in_main[i]] or found
+        largest = max((i for i, tag in enumerate(tags) if tag == "main"), key=lambda i: (n[i], -i), default=0)
+        roots = {largest} if largest and n[largest] > 2 * sum(n[i] for i in found) else set(found) or {0}
+        return roots != {0}, roots, self._within(roots)
+
+    def _furniture(self) -> list[tuple[bool, bool]]:
+        """Which elements may be site furniture by their text and by their shape.
+
+        Never what holds the article. By text: in a page with a marked article boxes, not prose. By shape, since pages'
+        prose has few shapes: what lies outside of a marked article, and in a page without one what is links for 70 %.
+        """
+        marked, roots, inside = self.main()
+        holds: set[int] = set()
+        for at in roots:
+            while at >= 0 and at not in holds:
+                holds.add(at)
+                at = self.elements[at][1]
+        out = []
+        for i, e in enumerate(self.elements):
+            may = i not in holds and e[4] > 0 and e[0] not in ("body", "html")
+            out.append((may and (not marked or e[0] not in PROSE), may and (not inside[i] if marked else e[5] >= 0.7 * e[4])))
+        return out
+
+    def subtrees(self) -> set[int]:
+        """Hashes of the subtrees that may be site furniture, and of their shapes."""
+        both = list(zip(self.elements, self._furniture(), strict=True))
+        return {_signed(e[2]) for e, (text, _) in both if text} | {_signed(e[6]) for e, (_, shape) in both if shape}
 
     def body_hash(self) -> int:
         """A hash of the article as the rules leave it: pages that differ around it only are copies."""
-        inside = self.main()[1]
+        inside = self.main()[2]
         return _signed(xxhash.xxh64_intdigest("\n".join(text for at, text, _, dropped in self.blocks if inside[at] and not dropped).encode("utf-8", "replace")))
 
     def read(self, templates: set[int]) -> tuple[str, int]:
         """The main text, and how many blocks the templates took."""
-        root, inside = self.main()
+        marked, _, inside = self.main()
         gone: list[bool] = []
-        for e, box in zip(self.elements, self._boxes(), strict=True):
-            gone.append((e[1] >= 0 and gone[e[1]]) or (box and _signed(e[2]) in templates))
-        kept = [text for at, text, linked, dropped in self.blocks if not (gone[at] or dropped) and inside[at] and (root or linked < 0.7 * len(text))]
+        for e, (text, shape) in zip(self.elements, self._furniture(), strict=True):
+            gone.append((e[1] >= 0 and gone[e[1]]) or (text and _signed(e[2]) in templates) or (shape and _signed(e[6]) in templates))
+        prose = lambda at: self.elements[at][0] in PARAGRAPHS
+        kept = [text for at, text, linked, dropped in self.blocks if not (gone[at] or dropped) and inside[at] and (marked or linked < 0.7 * len(text) or prose(at))]
         return "\n\n".join(kept), sum(gone[at] for at, *_ in self.blocks)
 
     def text(self, templates: set[int]) -> str:
@@ -240,13 +294,16 @@ HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 5, min_share: float = 0.2, broadcast_rows: int = 200_000) -> DataFrame:
     """One row per row of ``pages``: (id_col, url_col, text, n_chars, n_template_blocks).
 
-    The subtrees of all pages are hashed and counted per host, once for each distinct article, so copies of a page don't
-    make its article a template; those on at least ``min_pages`` articles and ``min_share`` of the host's are deleted
-    (n_template_blocks: the blocks of text that go with them). A host has so few of them that its list is bounded by
-    (subtrees of a page / min_share). Tag, role and class rules then drop what isn't the article and doesn't recur: changing
-    adverts, reader comments, sidebars of a host with few pages. Inside a marked article, recurring paragraphs, list items,
-    headings and cells stay, since near copies of an article share them; in a page without one, blocks that are links
-    for 70 % go. Null or empty html gives an empty text; a null or odd url is host ''; a null id is one like any other.
+    The subtrees of all pages are hashed, by their text and by their shape, and counted per host, once for each distinct
+    article, so copies of a page don't make its article a template; those on at least ``min_pages`` articles and
+    ``min_share`` of the host's are deleted (n_template_blocks: the blocks of text that go with them). A host has so few of
+    them that its list is bounded by (subtrees of a page / min_share). Shapes find menus, adverts and footers whose words
+    change from page to page; they never delete what lies in a marked article, nor prose. Tag, role and class rules then
+    drop what isn't the article and doesn't recur: adverts within it, reader comments, sidebars of a host with few pages.
+    All articles of a page stay (those in <main>, if some are); recurring paragraphs, list items, headings and cells in them
+    stay too, since near copies of an article share them. In a page without a marked article, list items, cells and bare
+    boxes that are links for 70 % go; paragraphs of links stay unless they recur. Null or empty html gives an empty text;
+    a null or odd url is host ''; a null id is one like any other. Very long pages are read whole, in one pass.
     Repeated rows each get a row; extra columns are left out; no row gives no row.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), HOST, 1)).alias("host"), F.col(html_col).alias("html"))
@@ -256,7 +313,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             host, tree, body = [], [], []
             for h, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 page = Page(source or "")
-                found = {0, *page.subtrees()}  # 0 counts the bodies of the host
+                found = {0} | page.subtrees()  # 0 counts the bodies of the host
                 host += [h] * len(found)
                 tree += found
                 body += [page.body_hash()] * len(found)

@@ -118,6 +118,24 @@ def test_stream_equals_batch(spark, tmp_path):
     assert again == {r.user_id: r.session_n_events for r in online.collect()}
 
 
+def test_ingest_refuses_broken_tables(spark, tmp_path):
+    raw, out = tmp_path / "raw", tmp_path / "out"
+    raw.mkdir()
+    good = {
+        "ratings": "userId,movieId,rating,timestamp\n1,1,4.0,10\n",
+        "movies": "movieId,title,genres\n1,A (1999),Drama\n",
+        "tags": "userId,movieId,tag,timestamp\n1,1,fun,5\n",
+        "links": "movieId,imdbId,tmdbId\n1,0114709,862\n",
+    }
+    broken = {"ratings": "1,2,4.1,10\n", "movies": "1,B (1998),War\n", "tags": "1,1,fun,-1\n", "links": "1,0114710,863\n"}
+    for table, line in broken.items():
+        for name, text in good.items():
+            (raw / f"{name}.csv").write_text(text + (line if name == table else ""))
+        with pytest.raises(ValueError, match="break|repeat"):
+            files.ingest(spark, str(raw), str(out))
+        assert not out.exists()
+
+
 def test_ingest_and_lineage(spark, tmp_path):
     raw = tmp_path / "raw"
     raw.mkdir()
@@ -125,8 +143,10 @@ def test_ingest_and_lineage(spark, tmp_path):
     (raw / "movies.csv").write_text('movieId,title,genres\n1," A, b (1999) ",Drama|War\n2,No year,(no genres listed)\n')
     (raw / "tags.csv").write_text('userId,movieId,tag,timestamp\n1,1,"  Fun, ny ",5\n1,1,"  ",6\n')
     (raw / "links.csv").write_text("movieId,imdbId,tmdbId\n1,0114709,862\n2,0113497,\n")
-    audit = {r.table: r.dropped for r in files.ingest(spark, str(raw), str(tmp_path / "out")).collect()}
-    assert audit == {"ratings": 1, "tags": 0}
+    for _ in range(2):  # the second run replaces what the first wrote
+        audit = {(r.table, r.reason): r.dropped for r in files.ingest(spark, str(raw), str(tmp_path / "out")).collect()}
+        assert audit == {("ratings", "unknown item"): 1, ("tags", "unknown item"): 0, ("tags", "empty"): 1}
+    assert sorted(x.name for x in (tmp_path / "out").iterdir() if not x.name.startswith(".")) == ["links.parquet", "movies.parquet", "ratings.parquet", "tags.parquet"]
     movies = {r.item_id: r for r in spark.read.parquet(str(tmp_path / "out/movies.parquet")).collect()}
     assert (movies[1].title, movies[1].year, movies[1].genres, movies[2].genres) == ("A, b (1999)", 1999, ["Drama", "War"], [])
     assert [r.tag for r in spark.read.parquet(str(tmp_path / "out/tags.parquet")).collect()] == ["fun, ny"]

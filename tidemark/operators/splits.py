@@ -65,9 +65,9 @@ RATING_RULES = {
     "user_id": "user_id >= 0", "item_id": "item_id >= 0", "ts": "ts >= 0",
     "rating": "rating between 0.5 and 5.0 and rating * 2 = floor(rating * 2)",
 }
-MOVIE_RULES = {"item_id": "item_id >= 1", "title": "length(title) >= 1", "year": "year is null or year between 1870 and 2100", "genres": "genres is not null"}
+MOVIE_RULES = {"item_id": "item_id >= 1", "title": "length(title) >= 1", "year": "year is null or year between 1870 and 2030", "genres": "genres is not null"}
 TAG_RULES = {"user_id": "user_id >= 1", "item_id": "item_id >= 1", "tag": "length(tag) >= 1", "ts": "ts >= 0"}
-LINK_RULES = {"item_id": "item_id >= 1", "imdb_id": "imdb_id is null or imdb_id >= 1", "tmdb_id": "tmdb_id is null or tmdb_id >= 1"}
+LINK_RULES = {"item_id": "item_id >= 1"}
 
 
 def sample_users(df: DataFrame, percent: int, seed: int = 42) -> DataFrame:

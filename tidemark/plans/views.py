@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import genre_list, strip, title_year
@@ -61,7 +61,11 @@ def tags_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean_tags(raw: DataFrame) -> DataFrame:
     """Tags stripped and lower-cased; null and empty ones go."""
-    return raw.withColumn("tag", F.lower(strip(F.col("tag")))).where("tag is not null and tag <> ''")
+    return raw.where(~no_tag(F.col("tag"))).withColumn("tag", F.lower(strip(F.col("tag"))))
+
+
+def no_tag(tag: Column) -> Column:
+    return F.coalesce(strip(tag), F.lit("")) == ""
 
 
 TAGS_SQL = """tags AS (SELECT user_id, item_id, lower(trim(p_type)) AS tag, ts FROM ratings JOIN part ON item_id = p_partkey

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.splits import RATING_RULES, drop_orphans, expectations, require_unique
-from tidemark.plans.views import clean_movies, clean_tags
+from tidemark.operators.splits import LINK_RULES, MOVIE_RULES, RATING_RULES, TAG_RULES, drop_orphans, expectations, require_unique
+from tidemark.plans.views import clean_movies, clean_tags, no_tag
 
 SCHEMAS = {
     "ratings": "userId long, movieId long, rating double, timestamp long",
@@ -45,15 +45,25 @@ def read_links(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, files: int | None = None) -> None:
-    """Parquet that appears whole or not at all: written beside the path and renamed; ``files=1`` for tables known to be small."""
+    """Parquet that appears whole or not at all: written beside the path and renamed; ``files=1`` for tables known to be small.
+
+    The old table is renamed aside until the new one is in place, and put back if that fails; a crash between the two
+    renames leaves it beside the path, under a name that ends in ``.old``.
+    """
     spark = df.sparkSession
     beside = f"{path}.part-{uuid.uuid4().hex}"
     (df.coalesce(files) if files else df).write.parquet(beside)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(hadoop(path), True)
+    old = f"{beside}.old"
+    if there := fs.exists(hadoop(path)):
+        if not fs.rename(hadoop(path), hadoop(old)):
+            raise OSError(f"cannot move {path} aside")
     if not fs.rename(hadoop(beside), hadoop(path)):
+        if there:
+            fs.rename(hadoop(old), hadoop(path))
         raise OSError(f"cannot move {beside} to {path}")
+    fs.delete(hadoop(old), True)
 
 
 def write_ordered(df: DataFrame, path: str, keys: list[str]) -> None:
@@ -61,18 +71,29 @@ def write_ordered(df: DataFrame, path: str, keys: list[str]) -> None:
     df.repartitionByRange(keys[0]).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
 
 
-def ingest(spark: SparkSession, raw: str, out: str) -> DataFrame:
-    """Read the four raw tables, check them, drop orphans, write them, and return the audit (table, dropped)."""
-    ratings, movies = read_ratings(spark, f"{raw}/ratings.csv"), read_movies(spark, f"{raw}/movies.csv")
-    bad = expectations(ratings, RATING_RULES).where("violations > 0").collect()
-    if bad:
-        raise ValueError(f"ratings break {[tuple(r) for r in bad]}")
-    require_unique(ratings, ["user_id", "item_id"])
-    require_unique(movies, ["item_id"])
-    kept, tags, audit = drop_orphans(ratings, read_tags(spark, f"{raw}/tags.csv"), movies)
-    for name, df in (("ratings", kept), ("movies", movies), ("tags", tags), ("links", read_links(spark, f"{raw}/links.csv"))):
+#: What each table must hold; user ids start at 0 in tags as in ratings.
+INGEST_RULES = {"ratings": RATING_RULES, "movies": MOVIE_RULES, "tags": {**TAG_RULES, "user_id": RATING_RULES["user_id"]}, "links": LINK_RULES}
+UNIQUE = {"ratings": ["user_id", "item_id"], "movies": ["item_id"], "links": ["item_id"]}
+
+
+def ingest(spark: SparkSession, raw: str, out: str, rules: dict[str, dict[str, str]] = INGEST_RULES) -> DataFrame:
+    """Read the four raw tables, check them, drop orphans and empty tags, write them, and return the audit (table, reason, dropped).
+
+    Nothing is written unless all four keep their rules and unique keys.
+    """
+    read = {"ratings": read_ratings, "movies": read_movies, "tags": read_tags, "links": read_links}
+    tables = {name: f(spark, f"{raw}/{name}.csv") for name, f in read.items()}
+    for name, df in tables.items():
+        bad = expectations(df, rules.get(name, {})).where("violations > 0").collect() if rules.get(name) else []
+        if bad:
+            raise ValueError(f"{name} break {[tuple(r) for r in bad]}")
+        if name in UNIQUE:
+            require_unique(df, UNIQUE[name])
+    empty = read_csv(spark, f"{raw}/tags.csv", "tags").agg(F.lit("tags").alias("table"), F.lit("empty").alias("reason"), F.count_if(no_tag(F.col("tag"))).alias("dropped"))
+    ratings, tags, orphans = drop_orphans(tables["ratings"], tables["tags"], tables["movies"])
+    for name, df in (tables | {"ratings": ratings, "tags": tags}).items():
         write_table(df, f"{out}/{name}.parquet")
-    return audit
+    return orphans.select("table", F.lit("unknown item").alias("reason"), "dropped").unionByName(empty)
 
 
 FINGERPRINT = T.StructType().add("name", "string").add("length", "long").add("sha256", "string")

@@ -208,7 +208,7 @@ def test_lines(spark):
                 line[rng.randrange(len(line))] = "changed"
         texts.append("\n".join("  ".join(x).upper() if rng.random() < 0.3 else " ".join(x) for x in picked))
     docs = odd(spark, *texts)
-    got = {(r.id, r.pos): r.keep for r in L.line_groups(docs, block_rows=4).collect()}
+    got = {(r.id, r.pos): r.keep for r in L.line_groups(docs, radius=4, min_words=5, block_rows=4).collect()}
     all_lines = [(i, p, L.normalise(x.encode())) for i, t in enumerate(texts) for p, x in enumerate((t or "").split("\n")) if len(x.split()) >= 5]
     hashed = [words_of([b" ".join(w)]) for _, _, w in all_lines]
     sims = [int(L.line_simhashes(x.words, x.sizes)[0]) for x in hashed]
@@ -219,7 +219,7 @@ def test_lines(spark):
     for g, (i, p, _) in zip(root, all_lines, strict=True):
         first[g] = min((i, p), first.get(g, (i, p)))
     assert got == {(i, p): first[g] == (i, p) for g, (i, p, _) in zip(root, all_lines, strict=True)}
-    out = {r.doc_id: r for r in L.line_dedup(docs).collect()}
+    out = {r.doc_id: r for r in L.line_dedup(docs, radius=4, min_words=5).collect()}
     assert len(out) == len(texts) and out[0].text is None and out[2].text == texts[2]
     assert sum(r._n_removed for r in out.values()) == sum(not k for k in got.values()) > 10
 

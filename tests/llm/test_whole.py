@@ -32,7 +32,7 @@ def test_lines_cover_the_similarity(spark):
     for g, (i, p, _) in zip(root, rows, strict=True):
         first[g] = min((i, p), first.get(g, (i, p)))
     assert got == {(i, p): first[g] == (i, p) for g, (i, p, _) in zip(root, rows, strict=True)}
-    out = {r.doc_id: r.text for r in L.line_dedup(docs, **L.WHOLE).collect()}
+    out = {r.doc_id: r.text for r in L.line_dedup(docs).collect()}
     assert out[2] == "Of.\nAnd  ornd.\n\n" and out[3] == "  \nOf. In" and out[4] == ""
 
 

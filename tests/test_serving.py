@@ -4,9 +4,11 @@ import glob
 import random
 import time
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import catalog
 from tidemark.functions.scalars import gap_bucket
 from tidemark.operators import sequences as Q
 from tidemark.streaming import serving as SV
@@ -134,3 +136,23 @@ def test_a_batch_done_again_after_a_crash_starts_from_the_one_before(spark, tmp_
     assert sorted((r.k, r.v) for r in table.read(spark).collect()) == [(1, "c"), (2, "b")]
     table(frame([]), 2)
     assert table.read(spark).count() == 2
+
+
+def test_users_of_whom_every_event_is_refused_have_no_row(spark, tmp_path):
+    """User 1 has old events and new ones outside the catalog alone, user 2 only the latter, users 3, 4 and 6 an even item.
+
+    What users 6 and 7 have outside the catalog is so new that, moved back by 100 million seconds, it would still be newer than their state."""
+    new, old = 10_400, 9_500  # days
+    bought = [(1, 4, old), (1, 3, new), (1, 151, new + 1), (2, 5, new), (2, 7, new + 9), (3, 8, old), (3, 6, new), (3, 9, new + 2), (4, 2, new + 3), (5, 2, old), (6, 2, new + 9), (6, 11, new + 1309), (7, 4, old), (7, 13, new + 1300)]
+    lines = [(n, 1, item, 30.0, 100.0, day) for n, (_, item, day) in enumerate(bought)]
+    made = spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_extendedprice double, day int")
+    made.withColumn("l_shipdate", F.date_from_unix_date("day")).drop("day").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(n, user) for n, (user, _, _) in enumerate(bought)], "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(300).withColumnRenamed("id", "p_partkey").write.parquet(str(tmp_path / "part.parquet"))
+    duck = duckdb.connect()
+    for t in ("lineitem", "orders", "part"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    name = "i3_i6_stream_serving"
+    want = duck.execute(f"SELECT user_id, recent, n_seen, last_ts FROM ({catalog.ORACLES[name]})").fetchall()
+    got = [(r.user_id, r.recent, r.n_seen, r.last_ts) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and {r[0] for r in got} == {3, 4, 6}

@@ -1,6 +1,7 @@
 """Operators on keys that hold most rows, in several blocks: the same results as on small ones."""
 
 import random
+import re
 from collections import Counter
 from itertools import combinations
 
@@ -35,6 +36,29 @@ def test_pairs_of_long_histories(spark, monkeypatch, hot):
     assert keys <= 3 * 16
 
 
+@pytest.mark.parametrize("hot_rows", [3, 10**6])
+def test_pairs_are_made_where_they_are_counted(spark, monkeypatch, hot_rows):
+    """No pair of an ordinary item is shuffled by both its items, and none again for the nearest; items of many rows give the same."""
+    rng = random.Random(6)
+    rows = [(u, rng.randrange(25)) for u in range(40) for _ in range(rng.choice([1, 4, 9]))]
+    monkeypatch.setattr(pairs, "HOT_ROWS", hot_rows)
+    monkeypatch.setattr(pairs, "PAIRS_PER_TASK", 100)
+    df = spark.createDataFrame(rows, "user_id long, item_id long")
+    both, near = pairs.co_occurrence(df, block=4), item_knn(df, 3)
+    want = brute_pairs(rows)
+    assert {(r.i, r.j): r.n for r in both.collect()} == want
+    size, similar = Counter(i for _, i in rows), {}
+    for (i, j), n in want.items():
+        for a, b in ((i, j), (j, i)):
+            similar.setdefault(a, []).append((-round(n / ((size[i] * size[j]) ** 0.5 + 10), 9), b))
+    assert sorted((r.item_id, r.other) for r in near.collect()) == sorted((a, b) for a, x in similar.items() for _, b in sorted(x)[:3])
+    for df in (both, near):
+        plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        by_both = re.findall(r"Exchange hashpartitioning\((?:i|item_id)#\d+L, [^)]*(?:j|other)#", plan)
+        assert bool(by_both) == (hot_rows == 3)
+        assert hot_rows == 3 or len(re.findall(r"Exchange hashpartitioning\(item_id#\d+L, \d+\), REPARTITION_BY_NUM", plan)) == 1
+
+
 def test_pairs_of_latest_rows_and_of_none(spark):
     rows = [(1, i, 100 - i) for i in range(20)]
     df = spark.createDataFrame(rows, "user_id long, item_id long, ts long")

@@ -13,7 +13,7 @@ from tidemark.operators import evaluation as E
 from tidemark.operators import features as P
 from tidemark.operators import monitoring as M
 from tidemark.operators import pairs, ridge
-from tidemark.operators.recommend import item_knn
+from tidemark.operators.recommend import item_knn, score_by_similarity
 
 
 def brute_pairs(rows):
@@ -84,6 +84,40 @@ def test_inverse_of_several_blocks(spark, monkeypatch, small):
         assert not any(i == j for i, j in got)
 
 
+@pytest.mark.parametrize("panel", [0, 1 << 20])
+def test_lists_of_the_ridge_are_sums_of_its_weights(spark, monkeypatch, panel):
+    """Lists by columns of the matrix equal those of weights as rows; no step of the inverse passes blocks through the driver."""
+    rng = random.Random(8)
+    rows = sorted({(u, 10 * rng.randrange(12) + (200 if u % 2 else 0)) for u in range(40) for _ in range(5)})
+    monkeypatch.setattr(ridge, "PANEL_BYTES", panel)
+    monkeypatch.setattr(ridge, "USERS_PER_COPY", 15)
+    monkeypatch.setattr(ridge, "SLAB_BYTES", 8 * 7 * 3)
+    df = spark.createDataFrame(rows, "user_id long, item_id long")
+    mine, seen = df.where("user_id < 30"), df.where("user_id < 20")
+    want = {}
+    for r in score_by_similarity(mine, ridge.ease(df, 100, 2.0, 7), seen, 4).collect():
+        want.setdefault(r.user_id, []).append((r["rank"], r.item_id, r.score))
+    got = {}
+    lists = ridge.ease_lists(df, mine, seen, 4, 100, 2.0, 7)
+    for r in lists.collect():
+        got.setdefault(r.user_id, []).append((r["rank"], r.item_id, r.score))
+    assert set(got) == set(want) == set(range(30))
+    for u, x in want.items():
+        assert [r[:2] for r in sorted(got[u])] == [r[:2] for r in sorted(x)]
+        assert [r[2] for r in sorted(got[u])] == pytest.approx([r[2] for r in sorted(x)], abs=1e-12)
+    assert ridge.ease_lists(df.limit(0), mine.limit(0), seen.limit(0), 4).collect() == []
+
+
+def test_blocks_of_the_ridge_are_not_broadcast(spark, monkeypatch):
+    """A join by broadcast takes blocks through the driver: none holds the matrix."""
+    plans, write = [], ridge._write
+    monkeypatch.setattr(ridge, "_write", lambda df, *rest: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(df, *rest))[1])
+    df = spark.createDataFrame([(u, i) for u in range(9) for i in range(u + 1)], "user_id long, item_id long")
+    ridge.ease(df, 100, 1.0, 4).count()
+    assert len(plans) == 1 + 3 * 3 + 1
+    assert not any("BroadcastExchange" in p and "m#" in p for p in plans[1:])
+
+
 def test_only_the_most_popular_items_and_empty_history(spark):
     rows = [(u, i) for u in range(8) for i in range(u + 1)]
     df = spark.createDataFrame(rows, "user_id long, item_id long")

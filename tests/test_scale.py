@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from tidemark.operators import evaluation as E
 from tidemark.operators import features as P
 from tidemark.operators import monitoring as M
-from tidemark.operators import pairs, ridge
-from tidemark.operators.recommend import item_knn, score_by_similarity
+from tidemark.operators import pairs, recommend, ridge
+from tidemark.operators.recommend import candidates, item_knn, popular_unseen, score_by_similarity
 
 
 def brute_pairs(rows):
@@ -67,6 +67,28 @@ def test_pairs_of_latest_rows_and_of_none(spark):
     assert item_knn(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("k", [1, 4, 50])
+def test_popular_lists_shuffle_histories_only(spark, monkeypatch, k):
+    """Users who have seen nothing, all, the first, the last, some twice, or what isn't scored; others' rows count nothing. No row of a list is shuffled."""
+    rng = random.Random(2)
+    scores = [(i, float(rng.randrange(6))) for i in range(30)]
+    seen = [(1, i) for i in range(30)] + [(2, i) for i, s in scores if s == 5] + [(3, 7), (3, 7), (3, 8), (3, 99)] + [(4, rng.randrange(30)) for _ in range(12)] + [(9, 1)]
+    seen += [(5, min(scores, key=lambda x: (x[1], -x[0]))[0])]
+    best = [i for i, _ in sorted(scores, key=lambda x: (-x[1], x[0]))]
+    users = spark.createDataFrame([(u,) for u in range(6)], "user_id long")
+    args = spark.createDataFrame(scores, "item_id long, score double"), users, spark.createDataFrame(seen, "user_id long, item_id long"), k
+    got = popular_unseen(*args)
+    want = sorted((u, n + 1, i, dict(scores)[i]) for u in range(6) for n, i in enumerate([i for i in best if (u, i) not in seen][:k]))
+    assert sorted((r.user_id, r["rank"], r.item_id, r.score) for r in got.collect()) == want
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "Generate explode" in plan and "Exchange hashpartitioning" not in plan.split("Generate explode")[0]
+    monkeypatch.setattr(recommend, "TOP", 0)
+    assert sorted((r.user_id, r["rank"], r.item_id, r.score) for r in popular_unseen(*args).collect()) == want
+    marked = candidates(got, spark.createDataFrame([(0, best[0]), (0, 99), (4, best[-1]), (8, 1)], "user_id long, item_id long"))
+    assert {r.user_id for r in marked.collect()} == {0, 4} and {r.n_relevant for r in marked.where("user_id = 0").collect()} == {2}
+    assert [r.item_id for r in marked.where("label = 1 and user_id = 0").collect()] == [best[0]]
+
+
 @pytest.mark.parametrize("small", [True, False])
 def test_inverse_of_several_blocks(spark, monkeypatch, small):
     rng = np.random.default_rng(3)

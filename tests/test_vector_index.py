@@ -63,6 +63,25 @@ def test_capped_fetch_falls_back_to_all_vectors(spark, tables):
     assert enough == {q for q, s in sources.items() if s == "lists"}
 
 
+@pytest.mark.parametrize("segment", [40, 10**6])
+def test_search_in_segments_gives_the_same(spark, tables, monkeypatch, segment):
+    """Several copies and segments change nothing, and no more leaves a segment than its best."""
+    vectors, queries = tables
+    gone = {(q, v) for q, found in brute_force(vectors, queries, 300).items() for v, _ in found[:5] if q % 20 == 0}
+    excluded = spark.createDataFrame(sorted(gone), "query_id long, vec_id long")
+    index = I.build_index(vectors, lists=8, block_rows=20)
+    same = lists_of(I.search(index, queries, 10, probes=3, fetch=30, excluded=excluded, fall_back=False))
+    monkeypatch.setattr(I, "SEGMENT_ROWS", segment)
+    monkeypatch.setattr(I, "QUERIES_PER_COPY", 6)
+    left = []
+    monkeypatch.setattr(I, "top_k", lambda df, n, *rest: (left.append(df.count()), E.top_k(df, n, *rest))[1])
+    assert lists_of(I.search(index, queries, 10, probes=3, fetch=30, excluded=excluded, fall_back=False)) == same
+    assert left[-1] <= queries.count() * 30
+    left.clear()
+    assert lists_of(I.search(index, queries, 10, probes=8, fetch=10**4, excluded=excluded)) == brute_force(vectors, queries, 10, gone)
+    assert left[0] <= queries.count() * 10 * (1 if segment > 40 else -(-vectors.count() // 40))
+
+
 def test_more_asked_than_there_are_and_no_queries(spark, tables):
     vectors, queries = tables
     few = vectors.orderBy("vec_id").limit(7)

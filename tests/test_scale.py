@@ -236,3 +236,22 @@ def test_snapshots_of_every_kind_of_feature(spark, from_day):
             values = [t if f.column == "ts" else r for r, t in inside]
             want = len(inside) if f.kind == "count" else sum(values) if f.kind == "sum" else None if not values else min(values) if f.kind == "min" else max(values)
             assert row[f.name] == want, (f.name, k, day)
+
+
+def test_tasks_of_snapshots_and_as_of_joins_follow_the_rows(spark, monkeypatch):
+    """Twice the rows are twice the tasks, so a task's memory stays; ordered snapshots hold ranges of the key, in order."""
+    monkeypatch.setattr(P, "ROWS_PER_TASK", 100)
+    spec = P.FeatureTable("k", (P.Feature("n", "count"), P.Feature("n_7d", "count", days=7)))
+    made = {}
+    for n in (1000, 2000):
+        events = spark.createDataFrame([(i % 97, i * 5000, 4.0) for i in range(n)], "k long, ts long, rating double")
+        plain, ordered = P.snapshots(events, spec), P.snapshots(events, spec, ordered=True)
+        assert plain.rdd.getNumPartitions() == 2 * n // 100
+        rows = ordered.withColumn("p", F.spark_partition_id()).collect()
+        assert [(r.k, r.snapshot_day) for r in rows] == sorted((r.k, r.snapshot_day) for r in rows)
+        assert len({(r.k, r.p) for r in rows}) == len({r.k for r in rows}) and len({r.p for r in rows}) > 4
+        assert sorted((r.k, r.snapshot_day, r.n, r.n_7d) for r in rows) == sorted((r.k, r.snapshot_day, r.n, r.n_7d) for r in plain.collect())
+        joined = P.as_of_join(events, events.select("k", F.col("ts").alias("s")), "k", "ts", "s", ["s"])
+        assert joined.where("s = ts").count() == n
+        made[n] = joined.rdd.getNumPartitions()
+    assert made == {1000: 20, 2000: 40}

@@ -66,9 +66,9 @@ def write_table(df: DataFrame, path: str, files: int | None = None) -> None:
     fs.delete(hadoop(old), True)
 
 
-def write_ordered(df: DataFrame, path: str, keys: list[str]) -> None:
-    """Files hold ranges of the first key, rows in order within."""
-    df.repartitionByRange(keys[0]).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
+def write_ordered(df: DataFrame, path: str, keys: list[str], in_ranges: bool = False) -> None:
+    """Files hold ranges of the first key, rows in order within. ``in_ranges`` says that the partitions of ``df`` do already."""
+    (df if in_ranges else df.repartitionByRange(keys[0])).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
 
 
 #: What each table must hold; user ids start at 0 in tags as in ratings.

@@ -7,12 +7,15 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from conftest import DATA
 from pyspark.sql import functions as F
 
+from tidemark import catalog
 from tidemark.operators import evaluation as E
 from tidemark.operators import features as P
 from tidemark.operators import monitoring as M
 from tidemark.operators import pairs, recommend, ridge
+from tidemark.operators import splits as T
 from tidemark.operators.recommend import candidates, item_knn, popular_unseen, score_by_similarity
 
 
@@ -255,3 +258,12 @@ def test_tasks_of_snapshots_and_as_of_joins_follow_the_rows(spark, monkeypatch):
         assert joined.where("s = ts").count() == n
         made[n] = joined.rdd.getNumPartitions()
     assert made == {1000: 20, 2000: 40}
+
+
+def test_cut_points_are_found_in_a_written_table(spark, monkeypatch):
+    """Four passes look for two cut points; none of them makes the ratings again."""
+    seen, found = [], T.order_statistic
+    monkeypatch.setattr(T, "order_statistic", lambda df, *a: (seen.append(df), found(df, *a))[1])
+    assert catalog.QUERIES["d13_cut_points"](spark, DATA).count() == 1
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in seen]
+    assert len(plans) == 2 and not any("Join" in p or "Window" in p for p in plans)

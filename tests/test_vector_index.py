@@ -106,3 +106,42 @@ def test_vector_lists_by_blocks(spark, block_rows):
         best = sorted((-float(users[u] @ items[i]), i) for i in range(50) if (u, i) not in seen)[:6]
         want += [(u, n + 1, i, -s) for n, (s, i) in enumerate(best)]
     assert got == sorted(want)
+
+
+def test_vector_lists_shuffle_k_rows_a_user_and_segment(spark):
+    """What leaves a task is a user's k best of all its blocks of items, not of each block."""
+    rng = np.random.default_rng(3)
+    users, items = rng.normal(size=(6, 4)), rng.normal(size=(300, 4))
+    frames = (
+        spark.createDataFrame([(u, users[u].tolist()) for u in range(6)], "user_id long, vector array<double>"),
+        spark.createDataFrame([(i, items[i].tolist()) for i in range(300)] + [(300, [float("nan"), 0.0, 0.0, 0.0]), (301, [float("inf"), 0.0, 0.0, 0.0])], "item_id long, embedding array<double>"),
+        spark.createDataFrame([(u, i) for u in range(6) for i in range(0, 300, 3)], "user_id long, item_id long"),
+    )
+    made = []
+    top_k, R.top_k = R.top_k, lambda scores, k: made.append(scores) or top_k(scores, k)
+    try:
+        got = sorted((r.user_id, r["rank"], r.item_id, r.score) for r in R.vector_lists(*frames, 5, block_rows=4).collect())
+    finally:
+        R.top_k = top_k
+    scores = np.round(users @ items.T, 9)
+    scores[:, ::3] = -np.inf
+    assert got == sorted((u, n + 1, int(i), scores[u, i]) for u in range(6) for n, i in enumerate(np.lexsort((np.arange(300), -scores[u]))[:5]))
+    tasks = 3 * spark.sparkContext.defaultParallelism
+    assert made[0].count() <= 6 * 5 * tasks < 6 * 5 * 300 // 4  # a segment is several blocks
+
+
+def test_best_items_of_large_small_and_equal_numbers():
+    rng = np.random.default_rng(4)
+    for scale in (1.0, 1e-7, 1e25, 1e80):
+        users, items = rng.normal(size=(40, 8)), scale * np.repeat(rng.normal(size=(30, 8)), 3, axis=0)
+        row, seen = np.repeat(np.arange(40), 20), rng.integers(0, 95, 800)
+        best = R.BestItems(np.arange(40), users, row, seen, 7, rows=16)
+        order = rng.permutation(90)
+        for at in range(0, 90, 11):
+            some = order[at : at + 11]
+            best.add(some, items[some])
+        scores = np.round(np.array([[np.einsum("j,j", u, i) for i in items] for u in users]), 9)
+        scores[row[seen < 90], seen[seen < 90]] = -np.inf
+        for u in range(40):
+            want = np.lexsort((np.arange(90), -scores[u]))[:7]
+            assert best.item[u].tolist() == want.tolist(), (scale, u)

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -267,3 +268,16 @@ def test_cut_points_are_found_in_a_written_table(spark, monkeypatch):
     assert catalog.QUERIES["d13_cut_points"](spark, DATA).count() == 1
     plans = [df._jdf.queryExecution().executedPlan().toString() for df in seen]
     assert len(plans) == 2 and not any("Join" in p or "Window" in p for p in plans)
+
+
+def test_shuffles_of_a_factorization_are_deleted_while_it_runs(spark, monkeypatch):
+    """Twenty iterations write forty shuffles; when the lists are made, most of their files are gone."""
+    rng = random.Random(5)
+    rows = spark.createDataFrame(sorted({(rng.randrange(80), rng.randrange(60)) for _ in range(900)}), "user_id long, item_id long")
+    top = spark.conf.get("spark.local.dir")
+    files = lambda: {p.name.split("_")[1] for p in Path(top).rglob("shuffle_*.data")}
+    there, cleaned, lists, seen = files(), recommend.shuffles_cleaned, recommend.vector_lists, []
+    monkeypatch.setattr(recommend, "shuffles_cleaned", lambda s: cleaned(s, 0.2))
+    monkeypatch.setattr(recommend, "vector_lists", lambda *a: seen.append(len(files() - there)) or lists(*a))
+    found = recommend.implicit_als(rows, rows.select("user_id").distinct(), 5, rank=4, maxIter=20)
+    assert found.count() == 5 * 80 and seen[0] < 25

@@ -281,3 +281,20 @@ def test_shuffles_of_a_factorization_are_deleted_while_it_runs(spark, monkeypatc
     monkeypatch.setattr(recommend, "vector_lists", lambda *a: seen.append(len(files() - there)) or lists(*a))
     found = recommend.implicit_als(rows, rows.select("user_id").distinct(), 5, rank=4, maxIter=20)
     assert found.count() == 5 * 80 and seen[0] < 25
+
+
+def test_personal_lists_are_made_once(spark):
+    """Who has no personal list is asked in several steps; the lists behind it aren't made again for each."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    schema = "user_id long, item_id long, score double, rank int"
+    personal = spark.createDataFrame([(u, 7, 0.5, 1) for u in range(6)], schema).mapInArrow(count, schema)
+    requests, popular = spark.createDataFrame([(u,) for u in range(9)], "user_id long"), spark.createDataFrame([(3, 9.0), (4, 8.0)], "item_id long, score double")
+    found = recommend.recommend_with_fallback(requests, personal, popular, spark.createDataFrame([(8, 3)], "user_id long, item_id long"), 1)
+    assert {(r.user_id, r.item_id) for r in found.collect()} == {(u, 7) for u in range(6)} | {(6, 3), (7, 3), (8, 4)}
+    assert made.value == 6

@@ -145,3 +145,25 @@ def test_best_items_of_large_small_and_equal_numbers():
         for u in range(40):
             want = np.lexsort((np.arange(90), -scores[u]))[:7]
             assert best.item[u].tolist() == want.tolist(), (scale, u)
+
+
+def test_own_group_is_left_out_without_pairs(spark, tables):
+    """Groups give what the pairs of queries and vectors of one group give, also in the answers from all vectors; a null is no group."""
+    vectors, queries = tables
+    group = lambda c: F.when(F.col(c) % 7 != 0, F.col(c) % 3).alias("group")
+    items, asked = vectors.withColumn("group", group("vec_id")), queries.withColumn("group", group("query_id"))
+    pairs = asked.select("query_id", "group").join(items.select("vec_id", "group"), "group").select("query_id", "vec_id")
+    index, grouped = I.build_index(vectors), I.build_index(items)
+    for options in ({"probes": 2, "fetch": 14}, {"probes": 8, "fetch": 10**4}, {"probes": 2, "fetch": 14, "fall_back": False}):
+        want = I.search(index, queries, 10, excluded=pairs, **options).select("query_id", "vec_id", "rank", "source").collect()
+        got = I.search(grouped, asked, 10, **options).select("query_id", "vec_id", "rank", "source").collect()
+        assert sorted(got) == sorted(want) and len(got) > 0
+
+
+def test_a_query_with_groups_makes_no_pairs(spark, monkeypatch):
+    from tidemark import catalog
+
+    seen, search = [], I.search
+    monkeypatch.setattr(I, "search", lambda *a, **o: (seen.append(o.get("excluded")), search(*a, **o))[1])
+    assert catalog.QUERIES["j17_capped_with_fallback"](spark, "/root/testdata/sf0.001").count() > 0
+    assert seen == [None]

@@ -156,3 +156,35 @@ def test_users_of_whom_every_event_is_refused_have_no_row(spark, tmp_path):
     want = duck.execute(f"SELECT user_id, recent, n_seen, last_ts FROM ({catalog.ORACLES[name]})").fetchall()
     got = [(r.user_id, r.recent, r.n_seen, r.last_ts) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(want) and {r[0] for r in got} == {3, 4, 6}
+
+
+@pytest.mark.parametrize("begun", [True, False])
+def test_state_kept_by_joins_equals_events_one_by_one(spark, tmp_path, begun):
+    """Late, repeated and unknown events leave no trace, nor does a batch that is done again; users without an event taken are told by their counts."""
+    rng = random.Random(4)
+    old = [(u, u * 100 + k, float(rng.randint(1, 5)), 1000 * k + u) for u in range(6) for k in range(rng.randint(0, 9))] if begun else []
+    new = sorted([(u, u * 100 + 50 + k, float(rng.randint(1, 5)), 20_000 + 777 * k * (u + 1)) for u in range(1, 8) for k in range(7)], key=lambda e: e[3])
+    late, outside = [(u, i + 30, r, t - 100_000) for u, i, r, t in new[::3]], [(u, 9_999, 5.0, 10**6) for u in range(9)]
+    for rows in [new[:20] + new[5:9], new[20:40] + (late if begun else []) + new[:6], outside + new[40:], new]:
+        spark.createDataFrame(rows, EVENT).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    events = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    tokens = spark.createDataFrame([(i, i) for i in range(1000)], "item_id long, token long")
+    frame = lambda rows: spark.createDataFrame(rows, EVENT)
+    table = KeyedTable(str(tmp_path / "table"), "user_id", SV.ORDER, 3)
+    loaded = Q.load_state(Q.user_sequences(frame(old)), 5) if begun else None
+    SV.serve_table(events, tokens, 5, table, str(tmp_path / "at"), loaded).awaitTermination()
+    whole = {r.user_id: ([tuple(e) for e in r.recent], len(r.seen)) for r in Q.load_state(Q.user_sequences(frame(old + new)), 5).collect()}
+    assert state_of(table.read(spark).collect()) == whole
+    untouched = {u for u, *_ in old} - {u for u, *_ in new}
+    assert {r.user_id for r in table.read(spark).where("n_seen = n_loaded").collect()} == untouched
+    for name in ("3", ".3.crc"):  # as after a crash before the last batch was noted as done
+        (tmp_path / "at" / "commits" / name).unlink()
+    written = table.places(spark, 3)
+    SV.serve_table(events, tokens, 5, table, str(tmp_path / "at"), loaded).awaitTermination()
+    assert (tmp_path / "at" / "commits" / "3").exists() and table.places(spark, 3) == written
+    assert state_of(table.read(spark).collect()) == whole
+
+
+def test_the_query_keeps_its_state_by_joins(spark, monkeypatch):
+    monkeypatch.setattr(SV, "ServingState", None)
+    assert catalog.QUERIES["i3_i6_stream_serving"](spark, "/root/testdata/sf0.001").count() > 0

@@ -101,6 +101,11 @@ class KeyedTable:
         found = [f"{self.path}/data/batch={written}/bucket={b}" for b, written in sorted(places.items())]
         return spark.read.parquet(*found) if found else None
 
+    def before(self, spark: SparkSession, number: int) -> DataFrame | None:
+        """The table as a batch finds it, also one that is done again; none before the first row."""
+        numbers = [n for n in self.lists(spark) if n < number]
+        return self._read(spark, self.places(spark, numbers[-1])) if numbers else None
+
     def read(self, spark: SparkSession) -> DataFrame | None:
         """The table as of the last batch, one row a key; none before the first row."""
         numbers = self.lists(spark)
